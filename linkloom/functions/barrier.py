@@ -1,5 +1,7 @@
 """Keeping long expression chains from being copied by the optimizer."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +15,8 @@ def computed_once(df: DataFrame, kept: list[str], columns: list[Column]) -> Data
     generated code. Filters on ``kept`` columns are still pushed to the scan.
     """
     return df.select(*kept, F.inline(F.array(F.struct(*columns))))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

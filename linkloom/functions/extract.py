@@ -4,34 +4,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import fixed
-from linkloom.functions.barrier import computed_once
+from linkloom.functions.barrier import bind, computed_once
 
 
 def _count(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char)))
 
 
-def strip_punctuation(df: DataFrame, match: str, name: str) -> DataFrame:
-    """Add ``name``: the URL in ``match`` without prose punctuation at its end.
+# Read from the right, every punctuation character of a match goes until a ")" is met that has a
+# partner. So of the closing parentheses in the trailing run as many stay as still find an opening
+# one, with everything before the last of them.
+def _base(url: Column) -> Column:
+    return F.rtrim(url, F.lit(fixed.TRAILING_PUNCTUATION))
 
-    Read from the right, every punctuation character goes until a ``)`` is met that has a
-    partner. So of the closing parentheses in the trailing run as many stay as still find an
-    opening one, with everything before the last of them.
-    """
-    url, base, run, kept = F.col(match), F.col("base"), F.col("run"), F.col("kept")
+
+def _run(url: Column, base: Column) -> Column:
+    return F.substring(url, F.length(base) + 1, F.length(url))
+
+
+def _kept(base: Column, run: Column) -> Column:
+    return F.least(_count(base, "(") - _count(base, ")"), _count(run, ")"))
+
+
+def _stripped(url: Column, base: Column, run: Column, kept: Column) -> Column:
+    up_to_kept = F.call_function("substring_index", run, F.lit(")"), kept)
     return (
-        df.withColumn("base", F.rtrim(url, F.lit(fixed.TRAILING_PUNCTUATION)))
-        .withColumn("run", F.substring(url, F.length(base) + 1, F.length(url)))
-        .withColumn("kept", F.least(_count(base, "(") - _count(base, ")"), _count(run, ")")))
-        .withColumn(
-            name,
-            F.when(F.endswith(url, F.lit(")/")), F.left(url, F.length(url) - 1))
-            .when(F.length(run) == 0, url)
-            .when(kept <= 0, base)
-            .otherwise(
-                F.concat(base, F.call_function("substring_index", run, F.lit(")"), kept), F.lit(")"))
-            ),
-        )
+        F.when(F.endswith(url, F.lit(")/")), F.left(url, F.length(url) - 1))
+        .when(F.length(run) == 0, url)
+        .when(kept <= 0, base)
+        .otherwise(F.concat(base, up_to_kept, F.lit(")")))
+    )
+
+
+def strip_punctuation(url: Column) -> Column:
+    """A URL match without prose punctuation at its end, balanced parentheses kept."""
+    return bind(
+        _base(url),
+        lambda base: bind(
+            _run(url, base), lambda run: _stripped(url, base, run, _kept(base, run))
+        ),
+    )
+
+
+def with_stripped(df: DataFrame, match: str, name: str) -> DataFrame:
+    """``strip_punctuation`` of a column as projections, which run as generated code."""
+    url, base, run = F.col(match), F.col("base"), F.col("run")
+    return (
+        df.withColumn("base", _base(url))
+        .withColumn("run", _run(url, base))
+        .withColumn("kept", _kept(base, run))
+        .withColumn(name, _stripped(url, base, run, F.col("kept")))
         .drop("base", "run", "kept")
     )
 
@@ -41,16 +63,21 @@ def url_matches(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(fixed.URL_PATTERN), F.lit(1))
 
 
+def explode_matches(df: DataFrame, kept: list[str], matches: Column) -> DataFrame:
+    """One row per match: the kept columns, ``match_idx`` and ``raw_url``."""
+    exploded = df.select(*kept, F.posexplode(matches).alias("match_idx", "match"))
+    stripped = with_stripped(exploded.withColumn("match_idx", F.col("match_idx").cast("long")), "match", "stripped")
+    return computed_once(
+        stripped, [*kept, "match_idx"], [F.col("stripped").alias("raw_url")]
+    ).where(F.length("raw_url") <= fixed.MAX_URL_LENGTH)
+
+
 def extract_urls(records: DataFrame, text: str = "text") -> DataFrame:
     """One row per URL in ``text``: the other columns, ``match_idx`` and ``raw_url``.
 
     ``contains`` is a cheap byte search that spares texts without any URL the regular expression.
     """
     kept = [c for c in records.columns if c != text]
-    matches = records.where(F.contains(text, F.lit("://"))).select(
-        *kept, F.posexplode(url_matches(F.col(text))).alias("match_idx", "match")
+    return explode_matches(
+        records.where(F.contains(text, F.lit("://"))), kept, url_matches(F.col(text))
     )
-    stripped = strip_punctuation(matches, "match", "stripped")
-    return computed_once(
-        stripped, [*kept, "match_idx"], [F.col("stripped").alias("raw_url")]
-    ).where(F.length("raw_url") <= fixed.MAX_URL_LENGTH)
