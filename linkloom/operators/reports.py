@@ -113,7 +113,7 @@ def import_report(sources: DataFrame, links: DataFrame) -> DataFrame:
 def import_activity(sources: DataFrame, limit: int = 40) -> DataFrame:
     """The newest import events with the library's size after each, newest first.
 
-    The size after a source is the size of the library less what later sources added. The window
+    A URL list has no file and so no size. The size after a source is the size of the library less what later sources added. The window
     runs over the ``limit`` newest sources only.
     """
     newest = sources.orderBy(F.desc("source_id")).limit(limit)
@@ -124,7 +124,7 @@ def import_activity(sources: DataFrame, limit: int = 40) -> DataFrame:
         .withColumn("one", F.lit(1))
         .join(total, "one")
         .select(
-            F.lit("SOURCE IMPORTED").alias("event"),
+            F.when(F.col("file_size") == 0, "HARVEST INDEXED").otherwise("SOURCE IMPORTED").alias("event"),
             F.concat("source_file", F.lit(" +"), (F.col("total") - F.col("later")).cast("string")).alias("detail"),
             F.col("imported_at").alias("created_at"),
             F.col("source_id").alias("seq"),

@@ -6,9 +6,14 @@ punctuation, wrapping and balanced parentheses, capitals, default, other and bad
 hosts, repeats inside one cell, and URLs and hosts that a large share of all rows repeat.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkloom.session import spread
+from linkloom.operators.links import source_counters
+from linkloom.operators.occurrences import occurrences
+from linkloom.session import shared_folder, spread, stage
 
 # Runs as it stands in Spark and in DuckDB.
 PAGE_NOTES = """
@@ -70,9 +75,142 @@ SEEN_AT = "TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(CAST(source_id
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text records with the import time of their source."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "documents", "lineitem")}
-    sql = RECORDS
+    sql = f"SELECT *, {SEEN_AT} AS seen_at FROM ({RECORDS})"
+    found = derived(spark, sf_dir, sql, "pages", "documents", "lineitem")
+    return spread(found, "source_id", "source_row")
+
+
+def occurrence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as an import leaves it: occurrences, written once."""
+    return stage(occurrences(records(spark, sf_dir)))
+
+
+def source_table(records_: DataFrame, occurrences_: DataFrame, first: DataFrame) -> DataFrame:
+    """The sources of the corpus with their counters; sources without any URL included."""
+    counters = source_counters(occurrences_, first)
+    files = records_.groupBy("source_id").agg(
+        F.any_value("source_file").alias("source_file"),
+        F.any_value("seen_at").alias("imported_at"),
+        F.sum(F.octet_length("text").cast("long")).alias("file_size"),
+    )
+    zero = F.lit(0).cast("long")
+    names = ("urls_discovered", "urls_inserted", "duplicates", "invalid_urls")
+    return files.join(counters, "source_id", "left").select(
+        "source_id",
+        "source_file",
+        "imported_at",
+        "file_size",
+        F.lit("complete").alias("status"),
+        *[F.coalesce(n, zero).alias(n) for n in names],
+    )
+
+
+# Queue events made of ``events``: who clicks, buys, views or signs up queues a link, an error
+# takes it off, and the first user's sign-ups clear the queue.
+QUEUE_EVENTS = """
+SELECT event_id AS seq,
+       CASE WHEN event_type = 'signup' AND user_id = 0 THEN 'CLEAR'
+            WHEN event_type = 'error' THEN 'REMOVE' ELSE 'ADD' END AS action,
+       user_id + 1 AS link_id,
+       CASE event_type WHEN 'click' THEN 'NORMAL' WHEN 'purchase' THEN 'HIGH'
+                       WHEN 'view' THEN 'LOW' ELSE 'urgent' END AS priority,
+       date_trunc('second', ts) AS at
+FROM events
+"""
+
+# Result links as search engines wrap them, made of ``pages``: both wrappers, a plain link, and a
+# link back to the engine.
+RESULT_LINKS = """
+SELECT page_id, 'yahoo' AS engine,
+       concat('https://r.search.yahoo.com/YLT=x/RU=', enc, '/RK=2/RS=z') AS href
+FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(url, '%', '%25'),
+             ':', '%3A'), '/', '%2F'), '?', '%3F'), '=', '%3D'), '&', '%26'), '#', '%23') AS enc FROM pages)
+UNION ALL
+SELECT page_id, 'bing' AS engine,
+       concat('https://www.bing.com/ck/a?!&&p=abc&u=a1',
+              rtrim(translate(base64(CAST(url AS BINARY)), '+/', '-_'), '=')) AS href
+FROM pages
+UNION ALL
+SELECT page_id, 'other' AS engine, url AS href FROM pages
+UNION ALL
+SELECT page_id, 'bing' AS engine, concat('https://www.bing.com/search?q=', page_id) AS href FROM pages
+UNION ALL
+SELECT page_id, 'yahoo' AS engine, concat('  ', url, ' ') AS href FROM pages
+UNION ALL
+SELECT page_id, 'other' AS engine, concat('//www.google.com/', page_id) AS href FROM pages
+"""
+
+# Stored result pages: the page as it is, with wrapped links, an escaped link and a bare URL added.
+RESULT_PAGES = f"""
+SELECT p.page_id, 'yahoo' AS engine,
+       concat(p.html, '<p><a class="r" href="', l.href, '">one</a> <A HREF=''', p.url, ''' >two</A> <a href=',
+              replace(p.url, '&', '&amp;'), '>three</a> see (', p.url, '_(x)). <a href="/local">four</a>') AS html
+FROM pages p JOIN ({RESULT_LINKS}) l ON p.page_id = l.page_id AND l.engine = 'yahoo' AND l.href LIKE 'https://r.%'
+"""
+
+URL_LIST = """
+SELECT page_id + 1 AS position,
+       CASE page_id % 5 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN replace(url, 'http', 'ftp')
+                        WHEN 2 THEN '' WHEN 3 THEN concat('HTTP://user:Secret@', page_id, '.Example.ORG.:080/a?#')
+                        ELSE url END AS url
+FROM pages
+"""
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """A derived table: the SQL above over the named test tables."""
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     for name in tables:
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}")
-    found = spark.sql(f"SELECT *, {SEEN_AT} AS seen_at FROM ({sql})", **tables)
-    return spread(found, "source_id", "source_row")
+    return spark.sql(sql, **read)
+
+
+def queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, QUEUE_EVENTS, "events")
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/linkloom-{name}-{uuid.uuid4().hex}"
+
+
+# A folder of files holds 500 pages or 5,000 documents of a source, in id order.
+TEXT_LABEL = "concat(replace(source_file, '.txt', ''), '-', CAST(floor((source_row - 1) / 500) AS INT))"
+CSV_LABEL = "concat('docs-', source, '-', CAST(floor(doc_id / 5000) AS INT))"
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> str:
+    """Page notes as text files, one line each; a file per label. Returns the folder."""
+    folder = _new_folder(spark, "txt")
+    notes = derived(spark, sf_dir, PAGE_NOTES, "pages").withColumn("label", F.expr(TEXT_LABEL))
+    notes.repartition("label").sortWithinPartitions("label", "source_row").select(
+        "label", F.col("text").alias("value")
+    ).write.partitionBy("label").option("compression", "none").text(folder)
+    return folder
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as CSV files with a header and line breaks inside cells. Returns the folder."""
+    folder = _new_folder(spark, "csv")
+    texts = derived(
+        spark,
+        sf_dir,
+        """SELECT doc_id, source, lang, concat(text, ' (https://', lang, '.docs.example.org/', source, '/', doc_id,
+                  '.html); https://portal.example.gov/start, "quoted"') AS body FROM documents""",
+        "documents",
+    ).withColumn("label", F.expr(CSV_LABEL))
+    texts.repartition("label").sortWithinPartitions("label", "doc_id").select(
+        "label", "doc_id", "lang", "body"
+    ).write.partitionBy("label").options(
+        header=True,
+        quoteAll=True,
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        compression="none",
+    ).csv(folder)
+    return folder
+
+
+def label_of(path):
+    """The label in a path written by ``text_files`` or ``csv_files``."""
+    return F.regexp_extract(path, "/label=([^/]*)/", 1)

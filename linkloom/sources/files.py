@@ -1,10 +1,13 @@
 """Text and CSV files: discovery, fingerprints and line numbers."""
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions import fixed
+from linkloom.functions.unwrap import percent_decode
 from linkloom.session import stage
 
 # A file's bytes fit in one row up to this size; larger ones are fingerprinted line by line.
@@ -12,6 +15,16 @@ MAX_CONTENT_BYTES = 256 * 1024 * 1024
 FILES_SCHEMA = "path string, file_name string, file_size long, modified timestamp"
 
 
+def file_path() -> Column:
+    """Path of the file a row was read from; Spark's file metadata has it percent-encoded."""
+    return percent_decode(F.col("_metadata.file_path"))
+
+
+def literal_paths(paths: list[str]) -> list[str]:
+    """Paths for a reader that would take ``*``, ``[`` and the like for patterns."""
+    return [re.sub(r"([\\*?{}\[\],])", r"\\\1", p) for p in paths]
+
+
 def path_order(path: str = "path") -> list[Column]:
     """Files sort by the parts of their path."""
     return [F.split(path, "/")]
@@ -56,7 +69,7 @@ def read_lines(spark: SparkSession, paths: list[str] | str, suffix_csv: bool | N
     the test is on file metadata and prunes whole files.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(paths)
-    path = F.col("_metadata.file_path")
+    path = file_path()
     if suffix_csv is not None:
         is_csv = F.lower(path).endswith(".csv")
         lines = lines.where(is_csv if suffix_csv else ~is_csv)
@@ -127,7 +140,7 @@ def fingerprints(
         .text(target)
         .where(F.col("_metadata.file_size") > max_content_bytes)
         .select(
-            F.col("_metadata.file_path").alias("path"),
+            file_path().alias("path"),
             F.col("_metadata.file_size").alias("file_size"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("spot"),
