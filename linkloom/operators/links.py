@@ -58,14 +58,19 @@ def with_link_ids(links: DataFrame, start: Column | int = 1) -> DataFrame:
     return with_dense_ids(links, list(READING_ORDER), "link_id", start)
 
 
-def domains(links: DataFrame) -> DataFrame:
-    """One row per hostname with first and last sighting and number of links."""
-    return links.groupBy("hostname").agg(
-        F.first("registered_domain").alias("registered_domain"),
+def domains(links: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """One row per hostname with first and last sighting and number of links.
+
+    Hosts are classified after they are grouped, so the rules meet each host once.
+    """
+    grouped = links.groupBy("hostname").agg(
         F.min("first_seen").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         F.count(F.lit(1)).alias("link_count"),
     )
+    return with_registered_domain(grouped, rules=rules).select(
+        "hostname", "registered_domain", "first_seen", "last_seen", "link_count"
+    )
 
 
 def domain_counts(occurrences: DataFrame) -> DataFrame:

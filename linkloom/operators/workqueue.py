@@ -38,13 +38,13 @@ def current_queue(events: DataFrame) -> DataFrame:
         .join(removed, "link_id", "left")
         .where(F.col("seq") > F.coalesce("removed_at", F.lit(-1)))
         .groupBy("link_id")
-        .agg(F.min(F.struct("seq", "priority", "at")).alias("entry"))
+        .agg(F.min(F.struct("seq", "priority", "event_time")).alias("entry"))
         .select(
             F.col("entry.seq").alias("queue_id"),
             "link_id",
             F.lit("QUEUED").alias("status"),
             known_priority(F.col("entry.priority")).alias("priority"),
-            F.col("entry.at").alias("added_at"),
+            F.col("entry.event_time").alias("added_at"),
         )
     )
 
@@ -73,7 +73,7 @@ def add_events(
             F.lit("ADD").alias("action"),
             "link_id",
             known_priority(priority).alias("priority"),
-            at.alias("at"),
+            at.alias("event_time"),
         )
     )
 
@@ -85,7 +85,7 @@ def remove_events(queue: DataFrame, queue_ids: DataFrame, at: Column, seq: Colum
         F.lit("REMOVE").alias("action"),
         "link_id",
         F.lit(None).cast("string").alias("priority"),
-        at.alias("at"),
+        at.alias("event_time"),
     )
 
 
@@ -96,7 +96,7 @@ def clear_event(events: DataFrame, at: Column) -> DataFrame:
         F.lit("CLEAR").alias("action"),
         F.lit(None).cast("long").alias("link_id"),
         F.lit(None).cast("string").alias("priority"),
-        at.alias("at"),
+        at.alias("event_time"),
     )
 
 

@@ -217,8 +217,12 @@ def links_query(spark, sf):
     return _numbered(spark, sf).select(*LINK_COLUMNS)
 
 
+def _domains(spark: SparkSession, sf: str) -> DataFrame:
+    return L.domains(L.with_url_parts(L.first_sightings(_occurrences(spark, sf))))
+
+
 def domains_query(spark, sf):
-    return L.domains(_links(spark, sf))
+    return _domains(spark, sf)
 
 
 def source_counters(spark, sf):
@@ -244,9 +248,7 @@ def domain_source_counts(spark, sf):
 
 def url_source_history(spark, sf):
     found = corpus.occurrence_table(spark, sf)
-    sources = found.groupBy("source_id").agg(
-        F.any_value("source_file").alias("source_file"), F.any_value("seen_at").alias("imported_at")
-    )
+    sources = found.select("source_id", "source_file", F.col("seen_at").alias("imported_at")).distinct()
     return S.source_history(L.link_sources(found), sources)
 
 
@@ -265,7 +267,7 @@ def import_report(spark, sf):
 
 
 def scheme_counts(spark, sf):
-    return R.scheme_counts(_links(spark, sf))
+    return R.scheme_counts(L.with_url_parts(L.first_sightings(_occurrences(spark, sf))))
 
 
 def top_domains(spark, sf):
@@ -273,13 +275,12 @@ def top_domains(spark, sf):
 
 
 def library_totals(spark, sf):
-    found = _links(spark, sf)
     sources = corpus.records(spark, sf).select("source_id").distinct()
-    return R.library_totals(L.domains(found), sources)
+    return R.library_totals(_domains(spark, sf), sources)
 
 
 def registered_domain_estimate(spark, sf):
-    return R.registered_domain_count(L.domains(_links(spark, sf)), approximate=True)
+    return R.registered_domain_count(_domains(spark, sf), approximate=True)
 
 
 def tld_breakdown(spark, sf):
@@ -352,11 +353,11 @@ def links_page(spark, sf):
 
 
 def domains_page(spark, sf):
-    return S.ranked_domains(L.domains(_links(spark, sf)), 50, 25)
+    return S.ranked_domains(_domains(spark, sf), 50, 25)
 
 
 def domains_by_tld(spark, sf):
-    found = L.domains(_links(spark, sf))
+    found = stage(_domains(spark, sf))
     other = S.filter_domains(found, tld="other").withColumn("filter", F.lit("other"))
     gov = S.filter_domains(found, q="EXAMPLE", tld=".gov").withColumn("filter", F.lit(".gov"))
     return other.unionByName(gov)
@@ -427,9 +428,7 @@ def export_all(spark, sf):
 
 
 def export_domain(spark, sf):
-    return S.of_domain(_links(spark, sf), "en.docs.example.org").unionByName(
-        S.of_domain(_links(spark, sf), "help.example.gov")
-    ).select(F.col("normalized_url").alias("url"))
+    return S.of_domain(_links(spark, sf), "en.docs.example.org").select(F.col("normalized_url").alias("url"))
 
 
 def export_by_domain(spark, sf):
@@ -437,7 +436,7 @@ def export_by_domain(spark, sf):
 
 
 def export_metadata(spark, sf):
-    return export.domain_metadata(L.domains(_links(spark, sf)))
+    return export.domain_metadata(_domains(spark, sf))
 
 
 def export_selected(spark, sf):

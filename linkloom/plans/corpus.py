@@ -88,9 +88,7 @@ def occurrence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_table(records_: DataFrame, occurrences_: DataFrame, first: DataFrame) -> DataFrame:
     """The sources of the corpus with their counters; sources without any URL included."""
     counters = source_counters(occurrences_, first)
-    files = records_.groupBy("source_id").agg(
-        F.any_value("source_file").alias("source_file"),
-        F.any_value("seen_at").alias("imported_at"),
+    files = records_.groupBy("source_id", "source_file", F.col("seen_at").alias("imported_at")).agg(
         F.sum(F.octet_length("text").cast("long")).alias("file_size"),
     )
     zero = F.lit(0).cast("long")
@@ -114,7 +112,7 @@ SELECT event_id AS seq,
        user_id + 1 AS link_id,
        CASE event_type WHEN 'click' THEN 'NORMAL' WHEN 'purchase' THEN 'HIGH'
                        WHEN 'view' THEN 'LOW' ELSE 'urgent' END AS priority,
-       date_trunc('second', ts) AS at
+       date_trunc('second', ts) AS event_time
 FROM events
 """
 
@@ -128,7 +126,7 @@ FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(ur
 UNION ALL
 SELECT page_id, 'bing' AS engine,
        concat('https://www.bing.com/ck/a?!&&p=abc&u=a1',
-              rtrim(translate(base64(CAST(url AS BINARY)), '+/', '-_'), '=')) AS href
+              replace(translate(base64(CAST(url AS BINARY)), '+/', '-_'), '=', '')) AS href
 FROM pages
 UNION ALL
 SELECT page_id, 'other' AS engine, url AS href FROM pages

@@ -36,7 +36,7 @@ SCHEMAS = {
     ),
     "resightings": "normalized_url string, last_seen timestamp_ntz, import_id long",
     "queue_events": (
-        "seq long, action string, link_id long, priority string, at timestamp_ntz, change_id long"
+        "seq long, action string, link_id long, priority string, event_time timestamp_ntz, change_id long"
     ),
     "activity": "seq long, event string, detail string, created_at timestamp_ntz, change_id long",
 }

@@ -35,5 +35,5 @@ def page_links(pages: DataFrame, key: str, html: str = "html", engine: str = "en
     )
     distinct = F.array_distinct(F.filter(found, lambda u: u.isNotNull() & (u != "")))
     return pages.select(key, engine, F.posexplode(distinct).alias("position", "url")).withColumn(
-        "position", F.col("position") + 1
+        "position", F.col("position").cast("long") + 1
     )

@@ -1,5 +1,6 @@
 """Public suffix rules as a table."""
 
+import functools
 import pathlib
 import zipfile
 
@@ -12,6 +13,7 @@ LIST_IN_JAR = "mozilla/public-suffix-list.txt"
 PRIVATE_SECTION = "===BEGIN PRIVATE DOMAINS==="
 
 
+@functools.cache
 def _bundled_lines() -> list[str]:
     """The rules of the list that ships with Spark's HTTP client, without the private section."""
     jars = pathlib.Path(pyspark.__file__).parent / "jars"
