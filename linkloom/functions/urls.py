@@ -59,47 +59,43 @@ def split_url(df: DataFrame, url: str) -> DataFrame:
     generated code and no part is computed twice.
     """
     u = F.col(url)
-    place = F.col("place")
+    rest, authority, place = F.col("rest"), F.col("authority"), F.col("place")
+    after_slashes = F.substring(rest, F.lit(3), F.length(rest))
+    for mark in "/?#":
+        after_slashes = F.substring_index(after_slashes, mark, 1)
     return (
         df.withColumn("scheme", scheme_of(u))
         .withColumn("rest", F.when(F.col("scheme") == "", u).otherwise(_rest(u, F.col("scheme"))))
-        .withColumn("has_authority", F.startswith("rest", F.lit("//")))
-        .withColumn(
-            "authority",
-            F.when(
-                F.col("has_authority"),
-                F.substring_index(
-                    F.substring_index(
-                        F.substring_index(F.substring("rest", F.lit(3), F.length("rest")), "/", 1), "?", 1
-                    ),
-                    "#",
-                    1,
-                ),
-            ).otherwise(""),
+        .withColumn("authority", F.when(rest.startswith("//"), after_slashes).otherwise(""))
+        .withColumns(
+            {
+                "rest": F.when(rest.startswith("//"), _rest(rest, authority, 2)).otherwise(rest),
+                "place": F.substring_index(authority, "@", -1),
+            }
         )
-        .withColumn(
-            "rest",
-            F.when(F.col("has_authority"), _rest(F.col("rest"), F.col("authority"), 2)).otherwise(
-                F.col("rest")
-            ),
+        .withColumns(
+            {
+                "before_fragment": F.substring_index(rest, "#", 1),
+                "userinfo": F.left(authority, F.length(authority) - F.length(place) - 1),
+                "bracketed": place.startswith("["),
+            }
         )
-        .withColumn("before_fragment", F.substring_index("rest", "#", 1))
-        .withColumn("fragment", _rest(F.col("rest"), F.col("before_fragment")))
-        .withColumn("path", F.substring_index("before_fragment", "?", 1))
-        .withColumn("query", _rest(F.col("before_fragment"), F.col("path")))
-        .withColumn("place", F.substring_index("authority", "@", -1))
-        .withColumn(
-            "userinfo",
-            F.left("authority", F.length("authority") - F.length("place") - 1),
+        .withColumns(
+            {
+                "fragment": _rest(rest, F.col("before_fragment")),
+                "path": F.substring_index("before_fragment", "?", 1),
+                "host": F.when(
+                    F.col("bracketed"), F.concat(F.substring_index(place, "]", 1), F.lit("]"))
+                ).otherwise(F.substring_index(place, ":", 1)),
+            }
         )
-        .withColumn("bracketed", place.startswith("["))
-        .withColumn(
-            "host",
-            F.when(F.col("bracketed"), F.concat(F.substring_index(place, "]", 1), F.lit("]")))
-            .otherwise(F.substring_index(place, ":", 1)),
+        .withColumns(
+            {
+                "query": _rest(F.col("before_fragment"), F.col("path")),
+                "port_text": _rest(place, F.col("host")),
+            }
         )
-        .withColumn("port_text", _rest(place, F.col("host")))
-        .drop("rest", "has_authority", "before_fragment", "place")
+        .drop("rest", "before_fragment", "place")
     )
 
 
@@ -167,25 +163,27 @@ def normalize_urls(
     accepted = [s.lower() for s in schemes]
     host = F.col("host")
     port_text = F.col("port_text")
+    number = F.col("port")
+    default = F.lit(False)
+    for scheme, port in fixed.DEFAULT_PORTS.items():
+        default = default | ((F.col("scheme") == scheme) & (number == port))
     split = (
         split_url(df.withColumn("cleaned", F.col(raw) if trimmed else clean_url(F.col(raw))), "cleaned")
-        .withColumn("host", F.btrim(F.lower(host), F.lit(".")))
-        .withColumn("port", F.when(port_text.rlike("^0*[0-9]{1,5}$"), port_text.cast("int")))
-        .withColumn("port_ok", (port_text == "") | F.coalesce(F.col("port") <= 65535, F.lit(False)))
-        .withColumn(
-            "port",
-            F.when(
-                ((F.col("scheme") == "http") & (F.col("port") == 80))
-                | ((F.col("scheme") == "https") & (F.col("port") == 443)),
-                None,
-            ).otherwise(F.col("port")),
+        .withColumns(
+            {
+                "host": F.btrim(F.lower(host), F.lit(".")),
+                "port": F.when(port_text.rlike("^0*[0-9]{1,5}$"), port_text.cast("int")),
+            }
         )
-        .withColumn(
-            "authority_ok",
-            F.when(
-                F.col("bracketed"),
-                host.rlike(r"^\[(?:[0-9a-f]*:[0-9a-f:.]*(?:%.+)?|v[0-9a-f]+\..+)\]$"),
-            ).otherwise(~F.contains("authority", F.lit("[")) & ~F.contains("authority", F.lit("]"))),
+        .withColumns(
+            {
+                "port_ok": (port_text == "") | F.coalesce(number <= 65535, F.lit(False)),
+                "port": F.when(~default, number),
+                "authority_ok": F.when(
+                    F.col("bracketed"),
+                    host.rlike(r"^\[(?:[0-9a-f]*:[0-9a-f:.]*(?:%.+)?|v[0-9a-f]+\..+)\]$"),
+                ).otherwise(~F.contains("authority", F.lit("[")) & ~F.contains("authority", F.lit("]"))),
+            }
         )
     )
     if international_hosts:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import fixed
+from linkloom.functions.barrier import computed_once
 from linkloom.sources.suffix_rules import suffix_rules
 
 MAX_SUFFIX_LABELS = 5
@@ -48,18 +49,15 @@ def with_registered_domain(
     size, labels = F.col("suffix_labels"), F.col("labels")
     last = F.call_function("substring_index", name, F.lit("."), -(size + 1))
     registered = (size > 0) & (labels > size)
-    out = sized.withColumn("registered_domain", F.when(registered, last).otherwise(name))
+    added = [F.when(registered, last).otherwise(name).alias("registered_domain")]
     if parts:
         suffix = F.call_function("substring_index", name, F.lit("."), -size)
         address = name.rlike(_IPV4) | name.contains(":")
         front = F.when(registered, last).otherwise(F.substring_index(name, ".", -1))
-        out = out.withColumn("suffix", F.when(size > 0, suffix).otherwise("")).withColumn(
-            "subdomain",
-            F.when((labels == size) | address, "").otherwise(
-                F.left(name, F.greatest(F.length(name) - F.length(front) - 1, F.lit(0)))
-            ),
-        )
-    return out.drop("suffix_labels", "labels")
+        before = F.left(name, F.greatest(F.length(name) - F.length(front) - 1, F.lit(0)))
+        added.append(F.when(size > 0, suffix).otherwise("").alias("suffix"))
+        added.append(F.when((labels == size) | address, "").otherwise(before).alias("subdomain"))
+    return computed_once(sized, df.columns, added)
 
 
 def tld_bucket(host: Column) -> Column:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.barrier import computed_once
 from linkloom.functions.urls import split_url
 from linkloom.operators.hosts import with_registered_domain
 from linkloom.operators.numbering import with_dense_ids
@@ -40,22 +41,33 @@ def first_sightings(occurrences: DataFrame) -> DataFrame:
 
 def with_url_parts(df: DataFrame) -> DataFrame:
     """Add scheme, hostname, port, path, query and fragment of normalized_url."""
-    return (
-        split_url(df, "normalized_url")
-        .withColumn("hostname", F.col("host"))
-        .withColumn("port", F.when(F.col("port_text") != "", F.col("port_text").cast("int")))
-        .drop("authority", "userinfo", "bracketed", "host", "port_text")
-    )
+    parts = [
+        F.col("scheme"),
+        F.col("host").alias("hostname"),
+        F.when(F.col("port_text") != "", F.col("port_text").cast("int")).alias("port"),
+        F.col("path"),
+        F.col("query"),
+        F.col("fragment"),
+    ]
+    return computed_once(split_url(df, "normalized_url"), df.columns, parts)
+
+
+def described(first: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """First sightings with their URL parts and registered domain."""
+    return with_registered_domain(with_url_parts(first), rules=rules)
 
 
 def links(occurrences: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """The link table without ids; ``first_id_order`` sorts it by first sighting."""
-    return with_registered_domain(with_url_parts(first_sightings(occurrences)), rules=rules)
+    """The link table without ids."""
+    return described(first_sightings(occurrences), rules)
+
 
+def with_link_ids(first: DataFrame, start: Column | int = 1) -> DataFrame:
+    """Number first sightings in their order, so that the highest id is the newest link.
 
-def with_link_ids(links: DataFrame, start: Column | int = 1) -> DataFrame:
-    """Number links by first sighting, so that the highest id is the newest link."""
-    return with_dense_ids(links, list(READING_ORDER), "link_id", start)
+    Numbering writes the rows once, so it comes before the columns that can be derived.
+    """
+    return with_dense_ids(first, list(READING_ORDER), "link_id", start)
 
 
 def domains(links: DataFrame, rules: DataFrame | None = None) -> DataFrame:

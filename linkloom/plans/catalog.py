@@ -46,7 +46,7 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return L.with_link_ids(_links(spark, sf))
+    return L.with_url_parts(L.with_link_ids(L.first_sightings(_occurrences(spark, sf))))
 
 
 def _queue(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,8 +54,8 @@ def _queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _link_list(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbered links with the status the queue gives them."""
-    return Q.with_status(_numbered(spark, sf), _queue(spark, sf))
+    """Numbered links with registered domain and the status the queue gives them."""
+    return Q.with_status(with_registered_domain(_numbered(spark, sf)), _queue(spark, sf))
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,6 +63,11 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.source_table(corpus.records(spark, sf), found, L.first_sightings(found))
 
 
+def _port_as_text(df: DataFrame) -> DataFrame:
+    """Ports as text in results: a whole number that may be NULL is no whole number everywhere."""
+    return df.withColumn("port", F.col("port").cast("string"))
+
+
 def _result_links(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.derived(spark, sf, corpus.RESULT_LINKS, "pages")
 
@@ -140,7 +145,7 @@ def new_files_only(spark, sf):
 def ingest_url_table(spark, sf):
     urls = corpus.derived(spark, sf, corpus.URL_LIST, "pages")
     found = listed_urls(urls, "url", "harvest:yahoo:pages")
-    return found.select(*[c for c in OCCURRENCE_COLUMNS if c != "seen_at"])
+    return _port_as_text(found.select(*[c for c in OCCURRENCE_COLUMNS if c != "seen_at"]))
 
 
 def stream_import(spark, sf):
@@ -155,7 +160,7 @@ def stream_import(spark, sf):
 
 def page_links_query(spark, sf):
     pages = corpus.derived(spark, sf, corpus.RESULT_PAGES, "pages")
-    return page_links(spread(pages, "page_id"), "page_id").select("page_id", "position", "url")
+    return page_links(pages, "page_id").select("page_id", "position", "url")
 
 
 def extract_urls_query(spark, sf):
@@ -171,7 +176,7 @@ def strip_url_punctuation(spark, sf):
 
 
 def normalize_urls_query(spark, sf):
-    return _occurrences(spark, sf).select(*OCCURRENCE_COLUMNS)
+    return _port_as_text(_occurrences(spark, sf).select(*OCCURRENCE_COLUMNS))
 
 
 def invalid_url_reasons(spark, sf):
@@ -214,7 +219,7 @@ def export_partition_key(spark, sf):
 
 
 def links_query(spark, sf):
-    return _numbered(spark, sf).select(*LINK_COLUMNS)
+    return _port_as_text(with_registered_domain(_numbered(spark, sf)).select(*LINK_COLUMNS))
 
 
 def _domains(spark: SparkSession, sf: str) -> DataFrame:
@@ -440,7 +445,7 @@ def export_metadata(spark, sf):
 
 
 def export_selected(spark, sf):
-    chosen = export.chosen_links(_numbered(spark, sf), "selected", link_ids=_labelled_ids(spark, sf))
+    chosen = export.chosen_links(with_registered_domain(_numbered(spark, sf)), "selected", link_ids=_labelled_ids(spark, sf))
     return export.export_columns(chosen)
 
 

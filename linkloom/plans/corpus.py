@@ -76,8 +76,7 @@ SEEN_AT = "TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(CAST(source_id
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All text records with the import time of their source."""
     sql = f"SELECT *, {SEEN_AT} AS seen_at FROM ({RECORDS})"
-    found = derived(spark, sf_dir, sql, "pages", "documents", "lineitem")
-    return spread(found, "source_id", "source_row")
+    return derived(spark, sf_dir, sql, "pages", "documents", "lineitem")
 
 
 def occurrence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,9 +154,17 @@ FROM pages
 """
 
 
+KEYS = {
+    "pages": ("page_id",),
+    "documents": ("doc_id",),
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"),
+    "events": ("event_id",),
+}
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """A derived table: the SQL above over the named test tables."""
-    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    read = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"), *KEYS[t]) for t in tables}
     for name in tables:
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}")
     return spark.sql(sql, **read)

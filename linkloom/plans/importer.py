@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import fixed
 from linkloom.functions.urls import normalize_urls
-from linkloom.operators.hosts import with_registered_domain
-from linkloom.operators.links import first_sightings, new_links, with_link_ids, with_url_parts
+from linkloom.operators.links import described, first_sightings, new_links, with_link_ids
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.operators.reports import import_report
 from linkloom.plans.library import Library
@@ -75,7 +74,7 @@ class Importer:
         found = normalize_urls(
             self._scan(taken, target, at), schemes=self.schemes, trimmed=True
         )
-        described = taken.select(
+        origin = taken.select(
             "source_id",
             F.col("file_name").alias("source_file"),
             F.col("path").alias("file_path"),
@@ -83,7 +82,7 @@ class Importer:
             "file_hash",
         )
         skipped = listed.count() - taken.count()
-        return self._finish(import_id, found, described, at, skipped, stream, batch_id)
+        return self._finish(import_id, found, origin, at, skipped, stream, batch_id)
 
     def import_list(
         self, urls: DataFrame, url: str, source_name: str, at: Column, label: str = "harvest"
@@ -95,7 +94,7 @@ class Importer:
             library.table("sources", last).agg(F.coalesce(F.max("source_id"), F.lit(0))).first()[0] + 1
         )
         found = listed_urls(urls, url, source_name, label, source_id, seen_at=at)
-        described = self.spark.range(1).select(
+        origin = self.spark.range(1).select(
             F.lit(source_id).cast("long").alias("source_id"),
             short_name(F.lit(source_name)).alias("source_file"),
             F.lit(label).alias("file_path"),
@@ -105,7 +104,7 @@ class Importer:
                 F.concat_ws(":", F.lit(label), F.lit(source_name), at.cast("string"), F.lit(last + 1)), 256
             ).alias("file_hash"),
         )
-        return self._finish(last + 1, found, described, at, 0, None, None)
+        return self._finish(last + 1, found, origin, at, 0, None, None)
 
     def _scan(self, taken: DataFrame, target: str | list[str], at: Column) -> DataFrame:
         """URLs of the taken files in reading order."""
@@ -140,7 +139,7 @@ class Importer:
         self,
         import_id: int,
         found: DataFrame,
-        described: DataFrame,
+        origin: DataFrame,
         at: Column,
         skipped: int,
         stream: str | None,
@@ -156,7 +155,7 @@ class Importer:
         known = library.table("links", last)
         fresh = new_links(first, known)
         start = known.agg(F.coalesce(F.max("link_id"), F.lit(0))).first()[0] + 1
-        numbered = with_link_ids(with_registered_domain(with_url_parts(fresh)), start)
+        numbered = described(with_link_ids(fresh, start))
         # Clustered by host, so that a search for one host reads few row groups; a host with very
         # many links is spread by its URLs.
         library.write_part(
@@ -181,10 +180,10 @@ class Importer:
         )
         zero = F.lit(0).cast("long")
         sources = (
-            described.join(seen, "source_id", "left")
+            origin.join(seen, "source_id", "left")
             .join(inserted, "source_id", "left")
             .select(
-                *described.columns,
+                *origin.columns,
                 at.alias("imported_at"),
                 F.lit("complete").alias("status"),
                 F.coalesce("urls_discovered", zero).alias("urls_discovered"),

@@ -58,4 +58,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 4 * cores:
         return df
-    return df.repartition(2 * cores, *keys)
+    return df.repartition(cores, *keys)
