@@ -26,13 +26,13 @@ def _kept(base: Column, run: Column) -> Column:
     return F.least(_count(base, "(") - _count(base, ")"), _count(run, ")"))
 
 
-def _stripped(url: Column, base: Column, run: Column, kept: Column) -> Column:
+def _stripped(base: Column, run: Column, kept: Column) -> Column:
+    """A slash after a closing parenthesis goes as well."""
     up_to_kept = F.call_function("substring_index", run, F.lit(")"), kept)
     return (
-        F.when(F.endswith(url, F.lit(")/")), F.left(url, F.length(url) - 1))
-        .when(F.length(run) == 0, url)
-        .when(kept <= 0, base)
-        .otherwise(F.concat(base, up_to_kept, F.lit(")")))
+        F.when(kept > 0, F.concat(base, up_to_kept, F.lit(")")))
+        .when(F.endswith(base, F.lit(")/")), F.left(base, F.length(base) - 1))
+        .otherwise(base)
     )
 
 
@@ -41,7 +41,7 @@ def strip_punctuation(url: Column) -> Column:
     return bind(
         _base(url),
         lambda base: bind(
-            _run(url, base), lambda run: _stripped(url, base, run, _kept(base, run))
+            _run(url, base), lambda run: _stripped(base, run, _kept(base, run))
         ),
     )
 
@@ -53,7 +53,7 @@ def with_stripped(df: DataFrame, match: str, name: str) -> DataFrame:
         df.withColumn("base", _base(url))
         .withColumn("run", _run(url, base))
         .withColumn("kept", _kept(base, run))
-        .withColumn(name, _stripped(url, base, run, F.col("kept")))
+        .withColumn(name, _stripped(base, run, F.col("kept")))
         .drop("base", "run", "kept")
     )
 

@@ -45,8 +45,12 @@ def _wanted(path: Column, target: str, recursive: bool) -> Column:
 
 
 def discover_files(spark: SparkSession, target: str, recursive: bool = False) -> DataFrame:
-    """path, file_name, file_size and modified of the files to import; nothing is opened."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    """path, file_name, file_size and modified of the files to import; nothing is opened.
+
+    The whole tree is listed and filtered, as a plain listing would take folders named ``k=v`` for
+    partitions.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
         listed = reader.load(target)
     except AnalysisException as error:
