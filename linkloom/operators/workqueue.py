@@ -11,34 +11,46 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import known_priority, priority_rank
 
 
+# Events of one link come together a million sequence numbers at a time.
+_SPAN_BITS = 20
+
+
 def current_queue(events: DataFrame) -> DataFrame:
     """The queue after all events: queue_id, link_id, status, priority and added_at.
 
-    Both steps are aggregates that combine on the map side, so a link that most events are about
-    does no harm.
+    A link's entry is worked out within spans of the log first: its last removal there and the first
+    ADD after that. A span has at most a million events, whatever share of them one link holds, and
+    leaves one row per link for the second step.
     """
     cleared = events.where(F.col("action") == "CLEAR").agg(
         F.coalesce(F.max("seq"), F.lit(-1)).alias("cleared_at"), F.lit(1).alias("one")
     )
-    # One row at most; it holds the last clearing.
+    # One row; it holds the last clearing.
     alive = (
         events.where(F.col("action").isin("ADD", "REMOVE"))
         .withColumn("one", F.lit(1))
         .join(F.broadcast(cleared), "one")
         .where(F.col("seq") > F.col("cleared_at"))
-        .drop("one", "cleared_at")
+        .withColumn("span", F.shiftright("seq", _SPAN_BITS))
     )
-    removed = (
+    removals = (
         alive.where(F.col("action") == "REMOVE")
-        .groupBy("link_id")
+        .groupBy("link_id", "span")
         .agg(F.max("seq").alias("removed_at"))
     )
-    return (
+    entries = (
         alive.where(F.col("action") == "ADD")
-        .join(removed, "link_id", "left")
+        .join(removals, ["link_id", "span"], "left")
         .where(F.col("seq") > F.coalesce("removed_at", F.lit(-1)))
-        .groupBy("link_id")
+        .groupBy("link_id", "span")
         .agg(F.min(F.struct("seq", "priority", "event_time")).alias("entry"))
+    )
+    removed = removals.groupBy("link_id").agg(F.max("removed_at").alias("removed_at"))
+    return (
+        entries.join(removed, "link_id", "left")
+        .where(F.col("entry.seq") > F.coalesce("removed_at", F.lit(-1)))
+        .groupBy("link_id")
+        .agg(F.min("entry").alias("entry"))
         .select(
             F.col("entry.seq").alias("queue_id"),
             "link_id",

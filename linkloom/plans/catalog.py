@@ -236,7 +236,7 @@ def source_counters(spark, sf):
 
 
 def link_sources(spark, sf):
-    return L.link_sources(_occurrences(spark, sf))
+    return L.link_sources(corpus.occurrence_table(spark, sf))
 
 
 def new_links_only(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import fixed
 from linkloom.functions.urls import normalize_urls
-from linkloom.operators.links import described, first_sightings, new_links, with_link_ids
+from linkloom.operators.links import described, first_sightings, with_link_ids
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.operators.reports import import_report
 from linkloom.plans.library import Library
@@ -151,9 +151,14 @@ class Importer:
         library.write_part(found, "occurrences", import_id)
         written = library.table("occurrences", import_id).where(F.col("import_id") == import_id)
 
-        first = stage(first_sightings(written))
+        # One join tells new links from known ones; the sightings are partitioned for it already.
         known = library.table("links", last)
-        fresh = new_links(first, known)
+        first = stage(
+            first_sightings(written).join(
+                known.select("normalized_url", F.lit(True).alias("is_known")), "normalized_url", "left"
+            )
+        )
+        fresh = first.where(F.col("is_known").isNull()).drop("is_known")
         start = known.agg(F.coalesce(F.max("link_id"), F.lit(0))).first()[0] + 1
         numbered = described(with_link_ids(fresh, start))
         # Clustered by host, so that a search for one host reads few row groups; a host with very
@@ -165,8 +170,7 @@ class Importer:
             "links",
             import_id,
         )
-        again = first.join(known.select("normalized_url"), "normalized_url", "left_semi")
-        library.write_part(again, "resightings", import_id)
+        library.write_part(first.where("is_known"), "resightings", import_id)
 
         inserted = (
             library.table("links", import_id)

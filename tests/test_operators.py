@@ -110,7 +110,7 @@ def test_queue_equals_a_replay(spark):
     for seed in (1, 2, 3):
         rnd = random.Random(seed)
         events = []
-        for seq in range(1, 400):
+        for seq in range(1, 400 * 2**16, 2**16):
             kind = rnd.choices(["ADD", "REMOVE", "CLEAR"], [60, 38, 2])[0]
             link = None if kind == "CLEAR" else rnd.choice([1, 1, 1, *range(2, 12)])
             events.append((seq, kind, link, rnd.choice(["LOW", "NORMAL", "HIGH", "odd", None]), None))
