@@ -23,7 +23,8 @@ def _run(url: Column, base: Column) -> Column:
 
 
 def _kept(base: Column, run: Column) -> Column:
-    return F.least(_count(base, "(") - _count(base, ")"), _count(run, ")"))
+    balance = F.least(_count(base, "(") - _count(base, ")"), _count(run, ")"))
+    return F.when(F.length(run) == 0, 0).otherwise(balance)
 
 
 def _stripped(base: Column, run: Column, kept: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +102,8 @@ def split_url(df: DataFrame, url: str) -> DataFrame:
 def _registry_names():
     """The Arrow function for hosts outside plain ASCII, closed over nothing but itself."""
 
-    def lookup(host: pd.Series, authority: pd.Series) -> pd.Series:
+    def lookup(host: pa.Array, authority: pa.Array) -> pa.Array:
+        import pyarrow
         import unicodedata
 
         try:
@@ -124,15 +125,13 @@ def _registry_names():
             except (idna.IDNAError, UnicodeError):
                 return name
 
-        result = pd.Series([None] * len(host), dtype="object")
-        present = host.notna()
-        if present.any():
-            pairs = pd.DataFrame({"host": host[present], "authority": authority[present]})
-            known = {p: registry_name(*p) for p in set(pairs.itertuples(index=False, name=None))}
-            result[present] = [known[p] for p in pairs.itertuples(index=False, name=None)]
-        return result
+        if host.null_count == len(host):
+            return pyarrow.nulls(len(host), pyarrow.string())
+        pairs = list(zip(host.to_pylist(), authority.to_pylist()))
+        known = {p: registry_name(*p) for p in set(pairs) if p[0] is not None and p[1] is not None}
+        return pyarrow.array([known.get(p) for p in pairs], pyarrow.string())
 
-    return F.pandas_udf(lookup, T.StringType())
+    return F.arrow_udf(lookup, T.StringType())
 
 
 def registry_name(host: Column, authority: Column) -> Column:
