@@ -22,7 +22,7 @@ from linkloom.plans.library import Library, utc
 from linkloom.session import shared_folder, spread, stage
 from linkloom.sources.csv import csv_dialects, scan_cells, scan_csv
 from linkloom.sources.files import discover_files, fingerprints, read_lines, with_line_numbers
-from linkloom.sources.pages import page_links
+from linkloom.sources.pages import distinct_links, page_links
 from linkloom.sources.tables import listed_urls, new_files
 from linkloom.sources.text import scan_text
 from linkloom.streaming.drop_folder import watch
@@ -163,6 +163,12 @@ def page_links_query(spark, sf):
     return page_links(pages, "page_id").select("page_id", "position", "url")
 
 
+def harvested_links(spark, sf):
+    """The different links of all stored result pages, in the order they are met."""
+    pages = corpus.derived(spark, sf, corpus.RESULT_PAGES, "pages")
+    return distinct_links(page_links(pages, "page_id"), "page_id")
+
+
 def extract_urls_query(spark, sf):
     found = extract_urls(corpus.records(spark, sf))
     return found.select("source_id", "source_row", "col_idx", "match_idx", "raw_url")
@@ -479,6 +485,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_url_table": ingest_url_table,
     "stream_import": stream_import,
     "page_links": page_links_query,
+    "harvested_links": harvested_links,
     "extract_urls": extract_urls_query,
     "strip_url_punctuation": strip_url_punctuation,
     "normalize_urls": normalize_urls_query,

@@ -15,6 +15,7 @@ from linkloom.plans.library import Library
 from linkloom.session import stage
 from linkloom.sources.csv import scan_csv
 from linkloom.sources.files import discover_files, fingerprints, literal_paths, path_order
+from linkloom.sources.pages import distinct_links, page_links
 from linkloom.sources.tables import listed_urls, new_files, short_name
 from linkloom.sources.text import scan_text
 
@@ -106,6 +107,13 @@ class Importer:
         )
         return self._finish(last + 1, found, origin, at, 0, None, None)
 
+    def import_pages(
+        self, pages: DataFrame, key: str, source_name: str, at: Column, label: str = "harvest"
+    ) -> ImportResult:
+        """Import the outward links of stored result pages (key, html and engine) as one list."""
+        found = distinct_links(page_links(pages, key), key)
+        return self.import_list(found, "url", source_name, at, label)
+
     def _scan(self, taken: DataFrame, target: str | list[str], at: Column) -> DataFrame:
         """URLs of the taken files in reading order."""
         paths = [r.path for r in taken.select("path").limit(MAX_LISTED_PATHS + 1).collect()]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import fixed
 from linkloom.functions.extract import strip_punctuation, url_matches
 from linkloom.functions.unwrap import decode_entities, unwrap_href
+from linkloom.operators.numbering import with_dense_ids
 
 
 def hrefs(html: Column) -> Column:
@@ -20,6 +21,15 @@ def hrefs(html: Column) -> Column:
     return F.concat(written, anchors)
 
 
+def distinct_links(links: DataFrame, key: str) -> DataFrame:
+    """The links of all pages once each, numbered by ``position`` in page and link order.
+
+    A link most pages share is reduced on the map side.
+    """
+    first = links.groupBy("url").agg(F.min(F.struct(key, F.col("position").alias("place"))).alias("first"))
+    return with_dense_ids(first.select("url", "first.*"), [key, "place"], "position").select("position", "url")
+
+
 def page_links(pages: DataFrame, key: str, html: str = "html", engine: str = "engine") -> DataFrame:
     """Outward links of each page, distinct, in order of first appearance.
 

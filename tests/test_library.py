@@ -172,3 +172,18 @@ def test_exports(spark, tmp_path, inbox):
     chosen = export.chosen_links(links, "selected", link_ids=None)
     assert chosen.count() == 4
     assert export.export_columns(links, False, False, False, False, False).columns == ["url"]
+
+
+def test_stored_result_pages(spark, tmp_path):
+    target = "https://example.gov/a.pdf"
+    wrapped = "https://r.search.yahoo.com/x/RU=https%3A%2F%2Fexample.gov%2Fa.pdf/RK=2/RS=z"
+    pages = spark.createDataFrame(
+        [(2, f'<a href="{target}">x</a><a href="https://b.gov/">', "bing"), (1, f'<a href="{wrapped}">x</a>', "yahoo")],
+        "page_id int, html string, engine string",
+    )
+    library = Library(spark, str(tmp_path / "lib"))
+    report = Importer(library).import_pages(pages, "page_id", "harvest:yahoo+bing:x", utc(T1)).report
+    assert (report["urls_discovered"], report["unique_urls"]) == (2, 2)
+    rows = library.links().orderBy("link_id").select("normalized_url", "source_row", "source_column").collect()
+    assert [tuple(r) for r in rows] == [(target, 1, "harvest"), ("https://b.gov/", 2, "harvest")]
+    assert library.activity().first().event == "HARVEST INDEXED"
