@@ -1,7 +1,9 @@
-"""Session settings and the shared folder for cut lineage."""
+"""Session settings, and written tables in the shared folder where lineage is cut."""
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_SCOPES: list[str] = []
+_PROMISED: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "linkloom", **extra: str) -> SparkSession:
@@ -25,16 +29,59 @@ def build_session(master: str | None = None, app: str = "linkloom", **extra: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where Spark runs locally."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """This run's folder below the one named in spark.checkpoint.dir; it goes when the driver ends.
+
+    Where Spark runs in one process and none is named, it is below the system's temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="linkloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+        folder = tempfile.gettempdir()
+    run = f"{folder.rstrip('/')}/linkloom-{spark.sparkContext.applicationId}"
+    if run not in _PROMISED:
+        _PROMISED.add(run)
+        path, files = _files(spark, run)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return run
+
+
+def _files(spark: SparkSession, folder: str):
+    """A path and its file system, whatever store it is in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _files(spark, folder)
+    files.delete(path, True)
+
+
+def new_scope(spark: SparkSession) -> str:
+    """A folder for tables that are deleted together."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging_below(folder: str) -> Iterator[str]:
+    """Tables staged meanwhile are written below ``folder``; who made it deletes it."""
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables staged meanwhile are deleted at the end: results have to be written by then."""
+    with staging_below(new_scope(spark)) as folder:
+        try:
+            yield folder
+        finally:
+            delete_folder(spark, folder)
 
 
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -44,7 +91,7 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     (row positions). The table is in shared storage, so lost executors cost nothing but a re-read.
     """
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/linkloom-{uuid.uuid4().hex}"
+    path = path or f"{_SCOPES[-1] if _SCOPES else shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
