@@ -23,14 +23,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.batches import slices, whole_text
+from linkloom.llm.batches import free_name, slices, whole_text
 from linkloom.llm.components import components
 from linkloom.llm.shingles import mixed, shingle_sets
 from linkloom.session import stage
 
+BROADCAST_IDS = 200_000
 PAIRWISE = 32  # groups up to this size are compared pair by pair before the next level is tried
 
 
@@ -267,3 +268,30 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return digests.join(keyed, F.col("doc_id") == F.col("k"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The documents, all columns, with the smallest doc_id of each class; of an id's rows the first by text.
+
+    Documents without doc_id stay. The ids that go are joined where the documents are while there
+    are at most BROADCAST_IDS of them; more are joined by a shuffle.
+    """
+    found = stage(near_duplicates(docs, words, percent).where("doc_id IS NOT NULL"))
+    name, copy = free_name(docs, "gone_id"), free_name(docs, "copy_no")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(_sized(gone), key == F.col(name), "left_anti")
+    if again.isEmpty():
+        return kept
+    again = _sized(stage(again))
+    once = kept.join(again, kept["doc_id"].cast("long") == again[name], "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    first = kept.join(again, kept["doc_id"].cast("long") == again[name], "left_semi")
+    first = first.withColumn(copy, F.row_number().over(order)).where(F.col(copy) == 1).drop(copy)
+    return once.unionByName(first)
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    ids = stage(ids)
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids

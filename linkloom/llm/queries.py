@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from linkloom.llm import attribution, chat, decontamination, merkle, packing, partenum, quality, token_files, toxicity, url_filter
 from linkloom.llm.batches import documents
 
@@ -60,11 +62,43 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_token_files, op4_token_counts, op5_chat_windows,
         op6_jaccard_join, op7_merkle_fingerprints, op8_url_filter, op9_quality, op10_decontamination,
+        pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+
+def _glob_expression(glob: str) -> str:
+    """A glob as a regular expression over the whole canonical URL."""
+    forms = {"**": ".*", "*": "[^/]*", "?": "."}
+    return "(?s)" + "".join(forms.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*|\?)", glob))
+
+
+def _url_filter_sql() -> str:
+    ranked = sorted(url_filter.SITE_RULES, key=lambda r: -len(r.name))
+    fits = [f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for r in ranked]
+    rules = " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in zip(fits, ranked, strict=True))
+    verdicts = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, ranked, strict=True))
+    blocked = " OR ".join(f"regexp_full_match(host || path, '{_glob_expression(g)}')" for g in url_filter.BLOCKED_GLOBS)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH cut AS (
+        SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM cut
+    )
+    SELECT page_id, host, path, CASE {rules} END AS rule,
+           CASE {verdicts} WHEN {blocked} THEN 'block' ELSE 'allow' END AS verdict
+    FROM parts"""
+
+
+ORACLES: dict[str, str] = {"op8_url_filter": _url_filter_sql()}
