@@ -56,18 +56,7 @@ BING_HOSTS = ("bing.com", "www.bing.com")
 
 TLD_BUCKETS = (".gov", ".edu", ".org", ".net", ".com")
 PRIORITIES = ("LOW", "NORMAL", "HIGH")
-LINK_STATUSES = (
-    "DISCOVERED",
-    "REVIEWED",
-    "QUEUED",
-    "DOWNLOADING",
-    "DOWNLOADED",
-    "FAILED",
-    "SKIPPED",
-    "ARCHIVED",
-)
 IMPORT_SUFFIXES = (".txt", ".csv")
-CSV_DELIMITERS = ",\t;|"
 CSV_SAMPLE_CHARS = 65536
 PAGE_LIMIT = 200
 SOURCE_NAME_LENGTH = 240

@@ -28,8 +28,9 @@ def contains_text(text: Column, query: str) -> Column:
 
 
 def has_extension(path: Column, extension: str) -> Column:
+    """Whether a path ends in the extension, which may hold the wildcards of LIKE."""
     dotted = extension if extension.startswith(".") else f".{extension}"
-    return F.lower(path).endswith(dotted.lower())
+    return sql_like(F.lower(path), f"%{dotted.lower()}")
 
 
 def before(moment: Column, until: str) -> Column:

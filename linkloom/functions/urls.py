@@ -106,18 +106,13 @@ def _registry_names():
         import pyarrow
         import unicodedata
 
-        try:
-            import idna
-        except ImportError:  # such hosts then stay as they are
-            idna = None
-
         def registry_name(name: str, place: str) -> str | None:
             plain = place.translate({ord(c): None for c in "@:#?"})
             folded = unicodedata.normalize("NFKC", plain)
             if folded != plain and any(c in folded for c in "/?#@:"):
                 return None
-            if idna is None:
-                return name
+            import idna  # a host outside ASCII cannot be stored without it
+
             try:
                 if name.startswith("xn--") or ".xn--" in name:
                     return idna.encode(idna.decode(name)).decode("ascii")

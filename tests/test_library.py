@@ -7,8 +7,12 @@ from linkloom.plans.importer import Importer
 from linkloom.plans.library import Library, utc
 from linkloom.streaming.drop_folder import watch
 
-A = "Visit https://example.com/data\nand also see https://www.example.gov/files/report.pdf\nhttps://example.com/data\nHTTPS://Example.COM/data\n"
-B = "name,url,notes\na,https://data.example.gov/c.csv,see also https://example.gov/b.pdf\n"
+A = (
+    "Opening hours: http://museum.example.org/hours?d=mo;\n"
+    "http://museum.example.org/hours?d=mo HTTP://Museum.Example.org/hours?d=mo\n"
+    "map (https://maps.example.net/a_(b)) http://museum.example.org/\n"
+)
+B = 'no,link\n1,https://plans.example.gov/p.csv\n2,"https://example.gov/s.pdf; https://example.gov/s.pdf"\n3,none\n'
 T1, T2, T3 = "2026-01-01T00:00:00Z", "2026-01-02T00:00:00Z", "2026-01-03T00:00:00Z"
 
 
@@ -35,32 +39,32 @@ def test_import_skip_and_grow(spark, tmp_path, inbox):
     importer = Importer(library)
     first = importer.import_path(str(inbox), utc(T1)).report
     assert (first["files_processed"], first["files_skipped"]) == (2, 1)
-    assert (first["urls_discovered"], first["duplicates"], first["unique_urls"], first["unique_domains"]) == (6, 2, 4, 4)
-    assert (first["http_urls"], first["https_urls"], first["invalid_urls"]) == (0, 4, 0)
+    assert (first["urls_discovered"], first["duplicates"], first["unique_urls"], first["unique_domains"]) == (8, 3, 5, 4)
+    assert (first["http_urls"], first["https_urls"], first["invalid_urls"]) == (2, 3, 0)
 
     again = importer.import_path(str(inbox), utc(T2)).report
-    assert (again["files_processed"], again["files_skipped"], again["unique_urls"]) == (0, 3, 4)
+    assert (again["files_processed"], again["files_skipped"], again["unique_urls"]) == (0, 3, 5)
 
-    (inbox / "z%41 ü[x].txt").write_text("https://example.com/data http://new.org\nhttp://h:99999/ http://straße.de/x")
+    (inbox / "z%41 ü[x].txt").write_text("http://museum.example.org/ http://new.org\nhttp://h:99999/ http://straße.de/x")
     third = importer.import_path(str(inbox), utc(T3)).report
     assert (third["files_processed"], third["urls_discovered"], third["duplicates"], third["invalid_urls"]) == (1, 4, 1, 1)
 
-    urls = spark.createDataFrame([(1, "https://example.gov/b.pdf"), (2, "https://example.gov/new.pdf")], "position int, u string")
-    harvest = importer.import_list(urls, "u", "harvest:yahoo:test", utc(T3)).report
-    assert (harvest["urls_discovered"], harvest["duplicates"], harvest["unique_urls"]) == (2, 1, 7)
+    urls = spark.createDataFrame([(1, "https://example.gov/s.pdf"), (2, "https://example.gov/new.pdf")], "position int, u string")
+    harvest = importer.import_list(urls, "u", "harvest:yahoo:plans", utc(T3)).report
+    assert (harvest["urls_discovered"], harvest["duplicates"], harvest["unique_urls"]) == (2, 1, 8)
 
     rows = listed(library)
-    assert [r[0] for r in rows] == [1, 2, 3, 4, 5, 6, 7]
-    assert rows[0] == (1, "https://example.com/data", "https://example.com/data", "2026-01-01", "2026-01-03", "a.txt", 1)
-    assert rows[3][1:6] == ("https://example.gov/b.pdf", "https://example.gov/b.pdf", "2026-01-01", "2026-01-03", "b.csv")
-    assert rows[4][1] == "http://new.org" and rows[4][5] == "z%41 ü[x].txt"
-    assert rows[6][5:] == ("harvest:yahoo:test", 2)
-    assert [r.detail for r in library.activity().collect()] == ["harvest:yahoo:test +7", "z%41 ü[x].txt +6", "b.csv +4", "a.txt +2"]
+    assert [r[0] for r in rows] == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert rows[2] == (3, "http://museum.example.org/", "http://museum.example.org/", "2026-01-01", "2026-01-03", "a.txt", 3)
+    assert rows[4][1:6] == ("https://example.gov/s.pdf", "https://example.gov/s.pdf", "2026-01-01", "2026-01-03", "b.csv")
+    assert rows[5][1] == "http://new.org" and rows[5][5] == "z%41 ü[x].txt"
+    assert rows[7][5:] == ("harvest:yahoo:plans", 2)
+    assert [r.detail for r in library.activity().collect()] == ["harvest:yahoo:plans +8", "z%41 ü[x].txt +7", "b.csv +5", "a.txt +3"]
     hosts = {r.hostname: (r.registered_domain, r.link_count) for r in library.domains().collect()}
-    assert hosts["example.gov"] == ("example.gov", 2) and hosts["www.example.gov"] == ("example.gov", 1)
+    assert hosts["example.gov"] == ("example.gov", 2) and hosts["plans.example.gov"] == ("example.gov", 1)
 
     page = fetch_page(library.links(), LinkFilter(q="example.gov", extension="pdf"), include_total=True)
-    assert page["total"] == 3 and [i["link_id"] for i in page["items"]] == [7, 4, 2]
+    assert page["total"] == 2 and [i["link_id"] for i in page["items"]] == [8, 5]
 
 
 def test_two_imports_equal_one(spark, tmp_path):
@@ -86,8 +90,8 @@ def test_failed_import_leaves_nothing(spark, tmp_path, inbox, monkeypatch):
         with pytest.raises(OSError):
             importer.import_path(str(inbox), utc(T1))
     assert library.links().count() == 0 and library.occurrences().count() == 0
-    assert importer.import_path(str(inbox), utc(T2)).report["unique_urls"] == 4
-    assert library.occurrences().count() == 6
+    assert importer.import_path(str(inbox), utc(T2)).report["unique_urls"] == 5
+    assert library.occurrences().count() == 8
 
 
 def test_many_files_read_the_folder_instead(spark, tmp_path, inbox, monkeypatch):
@@ -122,7 +126,7 @@ def test_drop_folder(spark, tmp_path, inbox):
     assert stream.last_import() == 1
     (inbox / "later.txt").write_text("http://later.org/")
     run("one")
-    assert stream.links().count() == 5
+    assert stream.links().count() == 6
 
 
 def test_queue_of_a_library(spark, tmp_path, inbox):
@@ -139,11 +143,11 @@ def test_queue_of_a_library(spark, tmp_path, inbox):
     entries = {r.link_id: (r.priority, str(r.added_at)[:10]) for r in library.queue().collect()}
     assert entries == {1: ("HIGH", "2026-01-01"), 3: ("HIGH", "2026-01-01"), 2: ("NORMAL", "2026-01-02")}
     assert library.queue_remove(library.queue().where("link_id = 3"), utc(T2)) == 1
-    assert {r.link_id: r.status for r in library.links().collect()} == {1: "QUEUED", 2: "QUEUED", 3: "DISCOVERED", 4: "DISCOVERED"}
+    assert {r.link_id: r.status for r in library.links().collect()} == {1: "QUEUED", 2: "QUEUED", 3: "DISCOVERED", 4: "DISCOVERED", 5: "DISCOVERED"}
     folder = str(tmp_path / "queue.txt")
     assert export.export_library(library, folder, utc(T3), "txt", "queue") == 2
     assert sorted(r.value for r in spark.read.text(folder).collect()) == [
-        "https://example.com/data", "https://www.example.gov/files/report.pdf",
+        "http://museum.example.org/hours?d=mo", "https://maps.example.net/a_(b)",
     ]
     library.queue_clear(utc(T3))
     assert library.queue().count() == 0
@@ -159,18 +163,18 @@ def test_exports(spark, tmp_path, inbox):
     export.export_all(links, str(tmp_path / "all"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "all").glob("part-*")))
     lines = [l for l in text.splitlines() if not l.startswith("normalized_url,")]
-    assert lines[0].startswith("https://data.example.gov/c.csv,") and len(lines) == 4
+    assert lines[0].startswith("https://example.gov/s.pdf,") and len(lines) == 5
     assert [l.split(",")[3] for l in lines] == sorted(l.split(",")[3] for l in lines)
     assert '2026-01-01T00:00:00Z,a.txt' in text
     export.export_domain(links, "example.gov", str(tmp_path / "dom"), "json")
     urls = [r.url for r in spark.read.json(str(tmp_path / "dom")).orderBy("url").collect()]
-    assert urls == ["https://data.example.gov/c.csv", "https://example.gov/b.pdf", "https://www.example.gov/files/report.pdf"]
+    assert urls == ["https://example.gov/s.pdf", "https://plans.example.gov/p.csv"]
     export.export_directories(links, library.domains(), str(tmp_path / "dirs"))
     names = sorted(p.name for p in (tmp_path / "dirs" / "links_csv").iterdir() if p.is_dir())
-    assert names == [f"directory={h}" for h in ("data.example.gov", "example.com", "example.gov", "www.example.gov")]
-    assert spark.read.json(str(tmp_path / "dirs" / "metadata")).agg(F.sum("link_count")).first()[0] == 4
+    assert names == [f"directory={h}" for h in ("example.gov", "maps.example.net", "museum.example.org", "plans.example.gov")]
+    assert spark.read.json(str(tmp_path / "dirs" / "metadata")).agg(F.sum("link_count")).first()[0] == 5
     chosen = export.chosen_links(links, "selected", link_ids=None)
-    assert chosen.count() == 4
+    assert chosen.count() == 5
     assert export.export_columns(links, False, False, False, False, False).columns == ["url"]
 
 
@@ -182,7 +186,7 @@ def test_stored_result_pages(spark, tmp_path):
         "page_id int, html string, engine string",
     )
     library = Library(spark, str(tmp_path / "lib"))
-    report = Importer(library).import_pages(pages, "page_id", "harvest:yahoo+bing:x", utc(T1)).report
+    report = Importer(library).import_pages(pages, "page_id", "harvest:yahoo+bing:quay", utc(T1)).report
     assert (report["urls_discovered"], report["unique_urls"]) == (2, 2)
     rows = library.links().orderBy("link_id").select("normalized_url", "source_row", "source_column").collect()
     assert [tuple(r) for r in rows] == [(target, 1, "harvest"), ("https://b.gov/", 2, "harvest")]
