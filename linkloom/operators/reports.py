@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.hosts import tld_bucket
+from linkloom.operators.search import list_rows
 
 
 def scheme_counts(links: DataFrame) -> DataFrame:
@@ -20,15 +21,16 @@ def top_domains(domain_counts: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def registered_domain_count(domains: DataFrame, approximate: bool = False) -> DataFrame:
+    """How many registered domains there are; ``approximate`` from a sketch of fixed size."""
     named = domains.where(F.col("registered_domain") != "")
     count = F.approx_count_distinct if approximate else F.count_distinct
     return named.agg(count("registered_domain").alias("registered_domains"))
 
 
-def library_totals(domains: DataFrame, sources: DataFrame) -> DataFrame:
-    """Links, hosts, registered domains and sources in one row.
+def library_totals(domains: DataFrame, sources: DataFrame, queue: DataFrame) -> DataFrame:
+    """Links, hosts, registered domains, sources and queue entries in one row.
 
-    Links are summed from the domain table, which is far smaller. Both sides of the final join
+    Links are summed from the domain table, which is far smaller. All sides of the final joins
     are single rows.
     """
     by_registered = domains.groupBy("registered_domain").agg(
@@ -41,7 +43,8 @@ def library_totals(domains: DataFrame, sources: DataFrame) -> DataFrame:
         F.lit(1).alias("one"),
     )
     of_sources = sources.agg(F.count(F.lit(1)).alias("source_files"), F.lit(1).alias("one"))
-    return of_links.join(of_sources, "one").drop("one")
+    of_queue = queue.agg(F.count(F.lit(1)).alias("queued"), F.lit(1).alias("one"))
+    return of_links.join(of_sources, "one").join(of_queue, "one").drop("one")
 
 
 def tld_breakdown(domain_counts: DataFrame) -> DataFrame:
@@ -75,10 +78,14 @@ def source_activity(sources: DataFrame, days: int = 14) -> DataFrame:
     )
 
 
+def newest_sources(sources: DataFrame) -> DataFrame:
+    """All sources, newest import first."""
+    return sources.orderBy(F.desc("imported_at"), F.desc("source_id"))
+
+
 def sources_list(sources: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Sources, newest import first."""
-    ordered = sources.orderBy(F.desc("imported_at"), F.desc("source_id"))
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    """A page of the sources, newest import first."""
+    return list_rows(newest_sources(sources), limit, offset)
 
 
 def last_import(sources: DataFrame) -> DataFrame:

@@ -191,19 +191,13 @@ def invalid_url_reasons(spark, sf):
     return found.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def idn_hosts(spark, sf):
-    """Every word of the documents as a host name."""
-    documents = spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
-    words = documents.select(
-        F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word")
-    ).distinct()
-    hosts = words.select(F.concat(F.lit("http://"), "word", F.lit(".Example/")).alias("raw_url"))
-    return normalize_urls(hosts).select("raw_url", "hostname", "valid")
-
-
 def registered_domains(spark, sf):
+    """The corpus's hosts, and each below names that wildcards and exceptions speak of."""
     hosts = _occurrences(spark, sf).where("valid").select("hostname").distinct()
-    return with_registered_domain(hosts, parts=True)
+    tails = F.array(*[F.lit(t) for t in (".any.ck", ".www.ck", ".any.kawasaki.jp", ".city.kawasaki.jp")])
+    named = F.transform(tails, lambda t: F.concat(F.replace("hostname", F.lit("."), F.lit("-")), t))
+    every = hosts.select(F.explode(F.concat(F.array("hostname"), named)).alias("hostname"))
+    return with_registered_domain(every, parts=True)
 
 
 def unwrap_redirects(spark, sf):
@@ -228,8 +222,13 @@ def links_query(spark, sf):
     return _port_as_text(with_registered_domain(_numbered(spark, sf)).select(*LINK_COLUMNS))
 
 
+def _times(spark: SparkSession, sf: str) -> DataFrame:
+    """Links with the times they were seen at, which rise with the reading order of the corpus."""
+    return L.sighting_times(_occurrences(spark, sf))
+
+
 def _domains(spark: SparkSession, sf: str) -> DataFrame:
-    return L.domains(L.with_url_parts(L.first_sightings(_occurrences(spark, sf))))
+    return L.domains(L.with_url_parts(_times(spark, sf)))
 
 
 def domains_query(spark, sf):
@@ -278,7 +277,7 @@ def import_report(spark, sf):
 
 
 def scheme_counts(spark, sf):
-    return R.scheme_counts(L.with_url_parts(L.first_sightings(_occurrences(spark, sf))))
+    return R.scheme_counts(L.with_url_parts(_times(spark, sf)))
 
 
 def top_domains(spark, sf):
@@ -287,11 +286,16 @@ def top_domains(spark, sf):
 
 def library_totals(spark, sf):
     sources = corpus.records(spark, sf).select("source_id").distinct()
-    return R.library_totals(_domains(spark, sf), sources)
+    return R.library_totals(_domains(spark, sf), sources, _queue(spark, sf))
 
 
 def registered_domain_estimate(spark, sf):
-    return R.registered_domain_count(_domains(spark, sf), approximate=True)
+    """The exact count, and whether the sketch comes within a tenth of it."""
+    found = _domains(spark, sf)
+    estimate = R.registered_domain_count(found, approximate=True).select(F.col("registered_domains").alias("estimate"), F.lit(1).alias("one"))
+    exact = R.registered_domain_count(found).withColumn("one", F.lit(1))
+    off = F.abs(F.col("estimate") - F.col("registered_domains"))
+    return exact.join(estimate, "one").select("registered_domains", (off <= 0.1 * F.col("registered_domains") + 1).alias("estimate_fits"))
 
 
 def tld_breakdown(spark, sf):
@@ -299,7 +303,7 @@ def tld_breakdown(spark, sf):
 
 
 def library_growth(spark, sf):
-    return R.library_growth(L.first_sightings(_occurrences(spark, sf)))
+    return R.library_growth(_times(spark, sf))
 
 
 def source_activity(spark, sf):
@@ -349,7 +353,7 @@ def search_simple(spark, sf):
 def links_by_extension(spark, sf):
     found = _links(spark, sf)
     return found.where(
-        has_extension(F.col("path"), "PDF") | has_extension(F.col("path"), ".html")
+        has_extension(F.col("path"), "P_F") | has_extension(F.col("path"), ".html")
     ).select("normalized_url", "path")
 
 
@@ -370,7 +374,7 @@ def domains_page(spark, sf):
 def domains_by_tld(spark, sf):
     found = stage(_domains(spark, sf))
     other = S.filter_domains(found, tld="other").withColumn("filter", F.lit("other"))
-    gov = S.filter_domains(found, q="EXAMPLE", tld=".gov").withColumn("filter", F.lit(".gov"))
+    gov = S.filter_domains(found, q="EXAMPLE", tld=".GOV").withColumn("filter", F.lit(".gov"))
     return other.unionByName(gov)
 
 
@@ -378,6 +382,16 @@ def domain_links(spark, sf):
     return S.of_domain(_links(spark, sf), "example.gov").select("normalized_url", "hostname")
 
 
+def domain_links_page(spark, sf):
+    return S.domain_links(_links(spark, sf), "example.gov", 500, 40)
+
+
+def source_links(spark, sf):
+    """The links of a source of notes, newest first."""
+    places = L.link_sources(corpus.occurrence_table(spark, sf))
+    return S.source_links(places, _link_list(spark, sf), 3, 120, 5)
+
+
 def _labelled_ids(spark, sf):
     return spark.read.parquet(f"{sf}/labels.parquet").select((F.col("doc_id") + 1).alias("link_id"))
 
@@ -490,7 +504,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strip_url_punctuation": strip_url_punctuation,
     "normalize_urls": normalize_urls_query,
     "invalid_url_reasons": invalid_url_reasons,
-    "idn_hosts": idn_hosts,
     "registered_domains": registered_domains,
     "unwrap_redirects": unwrap_redirects,
     "exclude_search_hosts": exclude_search_hosts,
@@ -523,6 +536,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "domains_page": domains_page,
     "domains_by_tld": domains_by_tld,
     "domain_links": domain_links,
+    "domain_links_page": domain_links_page,
+    "source_links": source_links,
     "url_detail": url_detail,
     "queue_list": queue_list,
     "queued_links": queued_links,

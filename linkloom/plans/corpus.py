@@ -21,7 +21,7 @@ SELECT CAST(1 + page_id % 7 AS BIGINT) AS source_id,
        concat('notes-', page_id % 7, '.txt') AS source_file,
        CAST(page_id + 1 AS BIGINT) AS source_row,
        CASE page_id % 8
-         WHEN 0 THEN concat('Visit ', url, ', and also see ', u2, '.')
+         WHEN 0 THEN concat('First ', url, '; later ', u2, '?!')
          WHEN 1 THEN concat('(', url, ')')
          WHEN 2 THEN concat('dup ', u2, ' ', u2, '!')
          WHEN 3 THEN concat(replace(replace(url, 'https://', 'HTTPS://'), 'example.', 'Example.'), ' tail')

@@ -1,6 +1,6 @@
 """Writing links to files."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import iso_time, safe_directory
@@ -135,9 +135,12 @@ def export_library(
 ) -> int:
     """Write the chosen links with the chosen columns and log the export; how many rows."""
     links = library.links(last_seen=bool(columns and columns.get("timestamps")))
-    rows = export_columns(chosen_links(links, mode, queue=library.queue(), **choice), **(columns or {}))
-    write_rows(rows, folder, fmt)
-    # Counted on the chosen links: a text file could hold a URL with line breaks.
-    written = chosen_links(library.links(), mode, queue=library.queue(), **choice).count()
+    chosen = chosen_links(links, mode, queue=library.queue(), **choice)
+    # In the order of their ids, and counted while they are written.
+    ordered = chosen.repartitionByRange("link_id").sortWithinPartitions("link_id")
+    counted = Observation("written")
+    ordered = ordered.observe(counted, F.count(F.lit(1)).alias("n"))
+    write_rows(export_columns(ordered, **(columns or {})), folder, fmt)
+    written = counted.get["n"]
     library.log("EXPORT CREATED", f"{written} {fmt}", at)
     return written

@@ -147,7 +147,8 @@ def test_reports(spark):
     assert [r.month for r in R.library_growth(links, 2, newest=True).collect()] == ["2024-12", "2024-11"]
     domains = spark.createDataFrame([("a.com", "a.com", 3), ("b.a.com", "a.com", 2), ("x.gov.uk", "", 4)], "hostname string, registered_domain string, link_count long")
     sources = spark.range(5)
-    assert tuple(R.library_totals(domains, sources).first()) == (9, 3, 1, 5)
-    assert tuple(R.library_totals(domains.where("false"), sources).first()) == (0, 0, 0, 5)
+    queue = spark.range(4)
+    assert tuple(R.library_totals(domains, sources, queue).first()) == (9, 3, 1, 5, 4)
+    assert tuple(R.library_totals(domains.where("false"), sources, queue.limit(0)).first()) == (0, 0, 0, 5, 0)
     assert R.registered_domain_count(domains).first()[0] == R.registered_domain_count(domains, True).first()[0] == 1
     assert [tuple(r) for r in R.tld_breakdown(domains).collect()] == [(".com", 5), (".gov", 4)]
