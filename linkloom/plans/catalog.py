@@ -113,10 +113,10 @@ def csv_delimiter_profile(spark, sf):
 
 
 def file_fingerprints(spark, sf):
-    """Content digests of the text files, with a line-wise one for files over a size."""
+    """Content digests of the text files."""
     folder = corpus.text_files(spark, sf)
     return fingerprints(spark, folder).select(
-        corpus.label_of(F.col("path")).alias("label"), "file_size", "file_hash", "algorithm"
+        corpus.label_of(F.col("path")).alias("label"), "file_size", "file_hash"
     )
 
 

@@ -1,6 +1,6 @@
 """Importing files and URL lists into a library."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,13 +14,27 @@ from linkloom.operators.reports import import_report
 from linkloom.plans.library import Library
 from linkloom.session import stage
 from linkloom.sources.csv import scan_csv
-from linkloom.sources.files import discover_files, fingerprints, literal_paths, path_order
+from linkloom.sources.files import (
+    discover_files,
+    empty_fingerprint,
+    fingerprints,
+    hidden_files,
+    literal_paths,
+    path_order,
+    wanted_file,
+)
 from linkloom.sources.pages import distinct_links, page_links
 from linkloom.sources.tables import listed_urls, new_files, short_name
 from linkloom.sources.text import scan_text
 
-# Up to this many paths are handed to the reader; beyond it the folder is read and joined.
-MAX_LISTED_PATHS = 20_000
+# Rows of files or URL keys that are broadcast at most; more meet by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, broadcast if it is small."""
+    count = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
 @dataclass(frozen=True)
@@ -45,10 +59,14 @@ class Importer:
         stream: str | None = None,
         batch_id: int | None = None,
     ) -> ImportResult:
-        """Import the text and CSV files of a folder, or one file; known contents are skipped."""
-        return self.import_files(
-            discover_files(self.spark, target, recursive), target, at, stream, batch_id
-        )
+        """Import the text and CSV files of a folder, or one file; known contents are skipped.
+
+        Files with hidden names cannot be read and count as skipped.
+        """
+        hidden = hidden_files(self.spark, target, recursive).count()
+        files = discover_files(self.spark, target, recursive)
+        wanted = lambda path: wanted_file(path, target, recursive)
+        return self.import_files(files, target, at, stream, batch_id, wanted, hidden)
 
     def import_files(
         self,
@@ -57,24 +75,25 @@ class Importer:
         at: Column,
         stream: str | None = None,
         batch_id: int | None = None,
+        wanted: Callable[[Column], Column] | None = None,
+        hidden: int = 0,
     ) -> ImportResult:
-        """Import discovered files, all of which lie below ``target``."""
+        """Import discovered files, all of which lie below ``target``; ``wanted`` tests their paths."""
         library = self.library
         last = library.last_import()
         import_id = last + 1
         # Content is read twice: once for the hash, once more only for what is new.
+        empty = F.when(F.col("file_size") == 0, empty_fingerprint())
         listed = stage(
-            files.select("path", "file_name")
-            .join(fingerprints(self.spark, target), "path")
+            files.select("path", "file_name", "file_size")
+            .join(self._hashes(files, target, wanted), "path", "left")
+            .withColumn("file_hash", F.coalesce("file_hash", empty))
             .withColumn("sort_key", path_order()[0])
         )
         known = library.table("sources", last)
         fresh = new_files(listed, known, ["sort_key"])
-        first_id = known.agg(F.coalesce(F.max("source_id"), F.lit(0))).first()[0] + 1
-        taken = stage(with_dense_ids(fresh, ["sort_key"], "source_id", first_id))
-        found = normalize_urls(
-            self._scan(taken, target, at), schemes=self.schemes, trimmed=True
-        )
+        taken = stage(with_dense_ids(fresh, ["sort_key"], "source_id", library.state(last)["last_source_id"] + 1))
+        found = normalize_urls(self._scan(taken, at), schemes=self.schemes, trimmed=True)
         origin = taken.select(
             "source_id",
             F.col("file_name").alias("source_file"),
@@ -82,7 +101,7 @@ class Importer:
             "file_size",
             "file_hash",
         )
-        skipped = listed.count() - taken.count()
+        skipped = listed.count() - taken.count() + hidden
         return self._finish(import_id, found, origin, at, skipped, stream, batch_id)
 
     def import_list(
@@ -91,9 +110,7 @@ class Importer:
         """Import an already discovered URL list with a ``position`` column as a source of its own."""
         library = self.library
         last = library.last_import()
-        source_id = (
-            library.table("sources", last).agg(F.coalesce(F.max("source_id"), F.lit(0))).first()[0] + 1
-        )
+        source_id = library.state(last)["last_source_id"] + 1
         found = listed_urls(urls, url, source_name, label, source_id, seen_at=at)
         origin = self.spark.range(1).select(
             F.lit(source_id).cast("long").alias("source_id"),
@@ -114,14 +131,21 @@ class Importer:
         found = distinct_links(page_links(pages, key), key)
         return self.import_list(found, "url", source_name, at, label)
 
-    def _scan(self, taken: DataFrame, target: str | list[str], at: Column) -> DataFrame:
-        """URLs of the taken files in reading order."""
-        paths = [r.path for r in taken.select("path").limit(MAX_LISTED_PATHS + 1).collect()]
-        if len(paths) > MAX_LISTED_PATHS:
-            text_paths = csv_paths = target
-        else:
-            csv_paths = literal_paths([p for p in paths if p.lower().endswith(".csv")])
-            text_paths = literal_paths([p for p in paths if not p.lower().endswith(".csv")])
+    def _hashes(self, files: DataFrame, target: str | list[str], wanted: Callable[[Column], Column] | None) -> DataFrame:
+        """path and file_hash of the files that have bytes."""
+        if files.where("file_size > 0").isEmpty():
+            return self.spark.createDataFrame([], "path string, file_hash string")
+        return fingerprints(self.spark, target, wanted).select("path", "file_hash")
+
+    def _scan(self, taken: DataFrame, at: Column) -> DataFrame:
+        """URLs of the taken files in reading order.
+
+        The reader gets the list of new files, so nothing else is read. Spark's own listing keeps
+        every path in the driver as well.
+        """
+        paths = [r.path for r in taken.where("file_size > 0").select("path").collect()]
+        csv_paths = literal_paths([p for p in paths if p.lower().endswith(".csv")])
+        text_paths = literal_paths([p for p in paths if not p.lower().endswith(".csv")])
         columns = "path string, source_row long, col_idx int, source_column string, match_idx long, raw_url string"
         found = self.spark.createDataFrame([], columns)
         if text_paths:
@@ -132,7 +156,7 @@ class Importer:
         if csv_paths:
             found = found.unionByName(scan_csv(self.spark, csv_paths, only_csv=True))
         files = taken.select("path", "source_id", F.col("file_name").alias("source_file"))
-        return found.join(files, "path").select(
+        return found.join(_sized(files), "path").select(
             "source_id",
             "source_file",
             "source_row",
@@ -159,16 +183,18 @@ class Importer:
         library.write_part(found, "occurrences", import_id)
         written = library.table("occurrences", import_id).where(F.col("import_id") == import_id)
 
-        # One join tells new links from known ones; the sightings are partitioned for it already.
-        known = library.table("links", last)
-        first = stage(
-            first_sightings(written).join(
-                known.select("normalized_url", F.lit(True).alias("is_known")), "normalized_url", "left"
-            )
+        # The library's links are looked through for this import's URLs, not the other way round:
+        # nothing of the library is shuffled unless an import has very many URLs.
+        known, before = library.table("links", last), library.state(last)
+        first = stage(first_sightings(written))
+        n_first = first.count()
+        seen_before = stage(
+            known.select("normalized_url").join(_sized(first.select("normalized_url"), n_first), "normalized_url", "left_semi")
         )
-        fresh = first.where(F.col("is_known").isNull()).drop("is_known")
-        start = known.agg(F.coalesce(F.max("link_id"), F.lit(0))).first()[0] + 1
-        numbered = described(with_link_ids(fresh, start))
+        n_known = seen_before.count()
+        again = _sized(seen_before, n_known)
+        fresh = first.join(again, "normalized_url", "left_anti")
+        numbered = described(with_link_ids(fresh, before["last_link_id"] + 1))
         # Clustered by host, so that a search for one host reads few row groups; a host with very
         # many links is spread by its URLs.
         library.write_part(
@@ -178,14 +204,10 @@ class Importer:
             "links",
             import_id,
         )
-        library.write_part(first.where("is_known"), "resightings", import_id)
+        library.write_part(first.join(again, "normalized_url", "left_semi"), "resightings", import_id)
 
-        inserted = (
-            library.table("links", import_id)
-            .where(F.col("import_id") == import_id)
-            .groupBy("source_id")
-            .agg(F.count(F.lit(1)).alias("urls_inserted"))
-        )
+        added = library.table("links", import_id).where(F.col("import_id") == import_id)
+        inserted = added.groupBy("source_id").agg(F.count(F.lit(1)).alias("urls_inserted"))
         seen = written.groupBy("source_id").agg(
             F.count(F.lit(1)).alias("urls_discovered"),
             F.count_if(~F.col("valid")).alias("invalid_urls"),
@@ -205,9 +227,19 @@ class Importer:
             .withColumn("duplicates", F.expr("urls_discovered - urls_inserted - invalid_urls"))
         )
         library.write_part(sources, "sources", import_id)
-        library.commit(import_id, at, stream, batch_id)
-
         of_import = library.table("sources", import_id).where(F.col("import_id") == import_id)
-        report = import_report(of_import, library.table("links", import_id)).first().asDict()
+        report = import_report(of_import, added).first().asDict()
+        hosts = stage(added.select("hostname").distinct())
+        known_hosts = known.select("hostname").join(_sized(hosts), "hostname", "left_semi").distinct().count()
+        state = {
+            "last_source_id": of_import.agg(F.coalesce(F.max("source_id"), F.lit(before["last_source_id"]))).first()[0],
+            "last_link_id": before["last_link_id"] + n_first - n_known,
+            "unique_urls": before["unique_urls"] + report["unique_urls"],
+            "unique_domains": before["unique_domains"] + report["unique_domains"] - known_hosts,
+            "http_urls": before["http_urls"] + report["http_urls"],
+            "https_urls": before["https_urls"] + report["https_urls"],
+        }
+        library.commit(import_id, at, stream, batch_id, state)
+        report |= {name: state[name] for name in report if name in state}
         report["files_skipped"] = skipped
         return ImportResult(import_id, report)

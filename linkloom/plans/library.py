@@ -16,7 +16,10 @@ from linkloom.operators.links import domains as roll_up_domains
 from linkloom.operators.reports import import_activity, recent_activity
 
 SCHEMAS = {
-    "commits": "stream string, batch_id long, committed_at timestamp_ntz, import_id long",
+    "commits": (
+        "stream string, batch_id long, committed_at timestamp_ntz, last_source_id long, last_link_id long,"
+        " unique_urls long, unique_domains long, http_urls long, https_urls long, import_id long"
+    ),
     "occurrences": (
         "source_id long, source_file string, source_row long, col_idx int, source_column string,"
         " seen_at timestamp_ntz, match_idx long, raw_url string, normalized_url string, scheme string,"
@@ -41,6 +44,9 @@ SCHEMAS = {
     "activity": "seq long, event string, detail string, created_at timestamp_ntz, change_id long",
 }
 
+# What every commit row says of the library after it.
+STATE = ("last_source_id", "last_link_id", "unique_urls", "unique_domains", "http_urls", "https_urls")
+
 
 def utc(moment: datetime.datetime | str) -> Column:
     """A point in time, to the second, as it is stored."""
@@ -134,18 +140,28 @@ class Library:
 
     # Changing ------------------------------------------------------------------------------
 
-    def commit(self, import_id: int, at: Column, stream: str | None = None, batch_id: int | None = None) -> None:
+    def state(self, import_id: int) -> dict[str, int]:
+        """Last numbers given and totals of the library after an import, from its commit row."""
+        row = self.commits().where(F.col("import_id") == import_id).select(*STATE).first()
+        return row.asDict() if row else dict.fromkeys(STATE, 0)
+
+    def commit(
+        self, import_id: int, at: Column, stream: str | None, batch_id: int | None, state: dict[str, int]
+    ) -> None:
+        """Make an import visible, with the library's ``state`` after it."""
         row = self.spark.range(1).select(
             F.lit(stream).cast("string").alias("stream"),
             F.lit(batch_id).cast("long").alias("batch_id"),
             at.alias("committed_at"),
+            *[F.lit(state[name]).cast("long").alias(name) for name in STATE],
         )
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path('commits')}/import_id={import_id}")
 
-    def _append(self, df: DataFrame, table: str) -> None:
-        """Append a change; its number follows the last one."""
+    def _append(self, df: DataFrame, table: str) -> int:
+        """Append a change, whose number follows the last one; how many rows it has."""
         last = self._read(table).agg(F.coalesce(F.max("change_id"), F.lit(0))).first()[0]
         self.write_part(df, table, last + 1)
+        return self._read(table).where(F.col("change_id") == last + 1).count()
 
     def log(self, event: str, detail: str, at: Column) -> None:
         last = self._read("activity").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
@@ -170,18 +186,14 @@ class Library:
             raise ValueError("queue_add: some link ids are not in the library")
         seq = F.lit(self._next_seq()) + F.monotonically_increasing_id()
         events = workqueue.add_events(self.queue(), links, link_ids, F.lit(priority), at, seq)
-        before = self.queue_events().count()
-        self._append(events, "queue_events")
-        added = self.queue_events().count() - before
+        added = self._append(events, "queue_events")
         if added:
             self.log("HARVEST QUEUED", f"{added} urls", at)
         return added
 
     def queue_remove(self, queue_ids: DataFrame, at: Column) -> int:
         seq = F.lit(self._next_seq()) + F.monotonically_increasing_id()
-        before = self.queue_events().count()
-        self._append(workqueue.remove_events(self.queue(), queue_ids, at, seq), "queue_events")
-        return self.queue_events().count() - before
+        return self._append(workqueue.remove_events(self.queue(), queue_ids, at, seq), "queue_events")
 
     def queue_clear(self, at: Column) -> None:
         self._append(workqueue.clear_event(self.queue_events(), at), "queue_events")

@@ -1,6 +1,7 @@
 """Text and CSV files: discovery, fingerprints and line numbers."""
 
 import re
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from linkloom.functions import fixed
 from linkloom.functions.unwrap import percent_decode
 from linkloom.session import stage
 
-# A file's bytes fit in one row up to this size; larger ones are fingerprinted line by line.
-MAX_CONTENT_BYTES = 256 * 1024 * 1024
+# A line's digest is folded into so many lanes of 60 bits.
+LANES = 4
 FILES_SCHEMA = "path string, file_name string, file_size long, modified timestamp"
 
 
@@ -37,32 +38,64 @@ def _suffix_is(path: Column, suffixes: tuple[str, ...]) -> Column:
     return match
 
 
-def _wanted(path: Column, target: str, recursive: bool) -> Column:
+def wanted_file(path: Column, target: str, recursive: bool) -> Column:
     """Text and CSV files below a folder, only direct ones unless recursive, or the target itself."""
     place = "/" + target.split(":", 1)[-1].strip("/")
     direct = F.lit(True) if recursive else ~F.substring_index(path, place + "/", -1).contains("/")
     return path.endswith(place) | (_suffix_is(path, fixed.IMPORT_SUFFIXES) & direct)
 
 
+def _passed_over(spark: SparkSession, target: str, listed: int) -> list[tuple]:
+    """FILES_SCHEMA rows of what Spark's readers do not list: empty files and hidden names.
+
+    The store's own summary tells whether there are any; only then the names are gone through, one
+    listing of the driver, as Spark's own is.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path) or store.getContentSummary(path).getFileCount() == listed:
+        return []
+    rows, found = [], store.listFiles(path, True)
+    while found.hasNext():
+        file = found.next()
+        name = file.getPath().getName()
+        if file.getLen() == 0 or name.startswith(("_", ".")):
+            rows.append((file.getPath().toString(), name, file.getLen(), None))
+    return rows
+
+
 def discover_files(spark: SparkSession, target: str, recursive: bool = False) -> DataFrame:
     """path, file_name, file_size and modified of the files to import; nothing is opened.
 
     The whole tree is listed and filtered, as a plain listing would take folders named ``k=v`` for
-    partitions.
+    partitions. Empty files are listed as well. Files with hidden names (``_`` or ``.`` first), which
+    no reader of Spark opens, are told by ``hidden_files``.
     """
+    return _discovered(spark, target, recursive, hidden=False)
+
+
+def hidden_files(spark: SparkSession, target: str, recursive: bool = False) -> DataFrame:
+    """The same of files that cannot be read because of their names."""
+    return _discovered(spark, target, recursive, hidden=True)
+
+
+def _discovered(spark: SparkSession, target: str, recursive: bool, hidden: bool) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
-        listed = reader.load(target)
+        listed = reader.load(target).select(
+            "path",
+            F.substring_index("path", "/", -1).alias("file_name"),
+            F.col("length").alias("file_size"),
+            F.col("modificationTime").alias("modified"),
+        )
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], FILES_SCHEMA)
-    return listed.where(_wanted(F.col("path"), target, recursive)).select(
-        "path",
-        F.substring_index("path", "/", -1).alias("file_name"),
-        F.col("length").alias("file_size"),
-        F.col("modificationTime").alias("modified"),
-    )
+        listed = spark.createDataFrame([], FILES_SCHEMA)
+    others = spark.createDataFrame(_passed_over(spark, target, listed.count()), FILES_SCHEMA)
+    secret = F.col("file_name").startswith("_") | F.col("file_name").startswith(".")
+    every = others.where(secret) if hidden else listed.unionByName(others.where(~secret))
+    return every.where(wanted_file(F.col("path"), target, recursive))
 
 
 def read_lines(spark: SparkSession, paths: list[str] | str, suffix_csv: bool | None = None) -> DataFrame:
@@ -114,55 +147,43 @@ def with_line_numbers(staged: DataFrame, starts: DataFrame | None = None) -> Dat
     )
 
 
+def _folded(lanes: list[Column], lines: Column, size: Column) -> Column:
+    return F.sha2(F.concat_ws("-", *lanes, lines, size), 256)
+
+
+def empty_fingerprint() -> Column:
+    """The hash of a file without bytes, which no reader hands out."""
+    zero = F.lit("0")
+    return _folded([zero] * LANES, zero, zero)
+
+
 def fingerprints(
-    spark: SparkSession,
-    target: list[str] | str,
-    max_content_bytes: int = MAX_CONTENT_BYTES,
-    any_larger: bool | None = None,
+    spark: SparkSession, target: list[str] | str, wanted: Callable[[Column], Column] | None = None
 ) -> DataFrame:
-    """path, file_size, file_hash and algorithm of every file.
+    """path, file_size and file_hash of every file that has bytes; ``wanted`` tests its path.
 
-    The hash is the SHA-256 of the bytes. Files too large for one row get a hash combined from
-    their numbered lines, which needs no order and so runs split by split.
+    Files are cut at line feeds alone, so their lines and their size determine their bytes. Every
+    line's SHA-256 is hashed again with its number and folded into LANES sums without order: one rule
+    for files of any size, worked out split by split. Other files are pruned before a byte is read.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(target)
-    )
-    whole = files.where(F.col("length") <= max_content_bytes).select(
-        "path",
-        F.col("length").alias("file_size"),
-        F.sha2("content", 256).alias("file_hash"),
-        F.lit("sha256").alias("algorithm"),
-    )
-    larger = files.select("path", "length").where(F.col("length") > max_content_bytes)
-    if any_larger is None:
-        any_larger = not larger.isEmpty()
-    if not any_larger:
-        return whole
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .text(target)
-        .where(F.col("_metadata.file_size") > max_content_bytes)
-        .select(
-            file_path().alias("path"),
-            F.col("_metadata.file_size").alias("file_size"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("spot"),
-            F.xxhash64("value").alias("line_hash"),
-        )
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(target)
+    if wanted is not None:
+        lines = lines.where(wanted(file_path()))
+    digests = lines.select(
+        file_path().alias("path"),
+        F.col("_metadata.file_size").alias("file_size"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("spot"),
+        F.sha2("value", 256).alias("digest"),
     )
-    numbered = with_line_numbers(stage(lines))
-    return whole.unionByName(
-        numbered.groupBy("path", "file_size")
-        .agg(
-            F.bit_xor(F.xxhash64("line_no", "line_hash")).alias("a"),
-            F.bit_xor(F.xxhash64("line_hash", "line_no")).alias("b"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .select(
-            "path",
-            "file_size",
-            F.sha2(F.concat_ws("-", "a", "b", "n"), 256).alias("file_hash"),
-            F.lit("lines").alias("algorithm"),
-        )
+    numbered = with_line_numbers(stage(digests))
+    placed = numbered.select(
+        "path", "file_size", F.sha2(F.concat_ws(":", "line_no", "digest"), 256).alias("digest")
     )
+    lanes = [
+        F.bit_xor(F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("long")).alias(f"lane_{i}")
+        for i in range(LANES)
+    ]
+    folded = placed.groupBy("path", "file_size").agg(*lanes, F.count(F.lit(1)).alias("lines"))
+    file_hash = _folded([F.col(f"lane_{i}") for i in range(LANES)], F.col("lines"), F.col("file_size"))
+    return folded.select("path", "file_size", file_hash.alias("file_hash"))

@@ -52,11 +52,3 @@ def new_files(files: DataFrame, known: DataFrame, order: list[str]) -> DataFrame
         .select(*files.columns)
     )
 
-
-def skipped_count(files: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: how many files are not imported because their content is known."""
-    return (
-        files.agg(F.count(F.lit(1)).alias("files"), F.lit(1).alias("one"))
-        .join(new.agg(F.count(F.lit(1)).alias("files_processed"), F.lit(1).alias("one")), "one")
-        .select("files_processed", (F.col("files") - F.col("files_processed")).alias("files_skipped"))
-    )

@@ -7,7 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.sources.csv import csv_dialects, scan_cells, scan_csv
-from linkloom.sources.files import discover_files, fingerprints, literal_paths, path_order, read_lines, with_line_numbers
+from linkloom.sources.files import (
+    discover_files,
+    empty_fingerprint,
+    fingerprints,
+    hidden_files,
+    literal_paths,
+    path_order,
+    read_lines,
+    wanted_file,
+    with_line_numbers,
+)
 from linkloom.sources.text import scan_text
 from linkloom.session import stage
 
@@ -138,26 +148,60 @@ def test_only_the_sample_is_used_for_the_dialect(spark, tmp_path):
     assert csv_dialects(lines).first().delimiter == ";"
 
 
-def test_fingerprints(spark, tmp_path):
-    (tmp_path / "a.txt").write_bytes(b"one\ntwo\n")
-    (tmp_path / "b.txt").write_bytes(b"one\ntwo\n")
-    (tmp_path / "c.txt").write_bytes(b"two\none\n")
+def plain_fingerprint(data):
+    """The digest of a file's bytes, by its rule."""
+    lines = data.removeprefix(b"\xef\xbb\xbf").split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    lanes = [0] * 4
+    for number, line in enumerate(lines, 1):
+        digest = hashlib.sha256(f"{number}:{hashlib.sha256(line).hexdigest()}".encode()).hexdigest()
+        lanes = [lane ^ int(digest[15 * i : 15 * i + 15], 16) for i, lane in enumerate(lanes)]
+    return hashlib.sha256("-".join(map(str, [*lanes, len(lines), len(data)])).encode()).hexdigest()
 
-    def hashes(limit):
-        return {r.path[-5]: (r.file_hash, r.algorithm) for r in fingerprints(spark, str(tmp_path), limit).collect()}
 
-    whole = hashes(1000)
-    assert whole["a"] == whole["b"] == (hashlib.sha256(b"one\ntwo\n").hexdigest(), "sha256")
-    lines = hashes(3)
-    assert lines["a"] == lines["b"] != lines["c"]
-    assert lines["a"][1] == "lines"
+CONTENTS = [
+    b"one\ntwo\n", b"one\ntwo", b"two\none\n", b"one\rtwo\n", b"one\r\ntwo", b"one\n\rtwo", b"\n", b"\n\n", b"\r\n", b"x",
+    b"\xff\xfe\n\x00", b"\xef\xbb\xbfone\ntwo\n", b"same\nsame\n", b"same\nsame\nsame\n", b"long " * 300 + b"\r" + b"y" * 700,
+    b"long " * 300 + b"\n" + b"y" * 700, b"".join(b"line %d\n" % i for i in range(500)),
+]
 
 
-def test_line_hash_does_not_depend_on_splits(spark, tmp_path, request):
-    (tmp_path / "a.txt").write_text("\n".join(f"line {i}" for i in range(500)))
-    before = fingerprints(spark, str(tmp_path), 10).first().file_hash
-    request.getfixturevalue("small_splits")
-    assert fingerprints(spark, str(tmp_path), 10).first().file_hash == before
+@pytest.mark.parametrize("splits", ["whole", "small"])
+def test_fingerprints_of_any_size(spark, tmp_path, request, splits):
+    if splits == "small":
+        request.getfixturevalue("small_splits")
+    for i, data in enumerate(CONTENTS):
+        (tmp_path / f"f{i:02d}.txt").write_bytes(data)
+        (tmp_path / f"g{i:02d}.txt").write_bytes(data)
+    got = {r.path[-7:-4]: (r.file_hash, r.file_size) for r in fingerprints(spark, str(tmp_path)).collect()}
+    for i, data in enumerate(CONTENTS):
+        assert got[f"f{i:02d}"] == got[f"g{i:02d}"] == (plain_fingerprint(data), len(data))
+    assert len({h for h, _ in got.values()}) == len(CONTENTS)
+
+
+def test_unwanted_files_are_not_hashed(spark, tmp_path):
+    for name in ("a.txt", "b.md", "sub/c.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = fingerprints(spark, str(tmp_path), lambda path: wanted_file(path, str(tmp_path), False))
+    assert [r.path.rsplit("/", 1)[-1] for r in found.collect()] == ["a.txt"]
+    assert spark.range(1).select(empty_fingerprint()).first()[0] == plain_fingerprint(b"")
+
+
+def test_empty_and_hidden_files(spark, tmp_path):
+    for name, text in (("a.txt", "x"), ("e.txt", ""), ("_h.txt", "y"), (".i.csv", ""), ("sub/f.csv", ""), ("sub/_g.txt", "z"), ("e.md", "")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+
+    def names(found):
+        return sorted((r.path.split(str(tmp_path) + "/")[1], r.file_size) for r in found.collect())
+
+    assert names(discover_files(spark, str(tmp_path))) == [("a.txt", 1), ("e.txt", 0)]
+    assert names(hidden_files(spark, str(tmp_path))) == [(".i.csv", 0), ("_h.txt", 1)]
+    assert names(discover_files(spark, str(tmp_path), True)) == [("a.txt", 1), ("e.txt", 0), ("sub/f.csv", 0)]
+    assert names(hidden_files(spark, str(tmp_path), True)) == [(".i.csv", 0), ("_h.txt", 1), ("sub/_g.txt", 1)]
+    assert names(discover_files(spark, str(tmp_path / "e.txt"))) == [("e.txt", 0)]
 
 
 def test_literal_paths():

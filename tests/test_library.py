@@ -1,4 +1,7 @@
+import re
+
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from linkloom.operators.search import LinkFilter, fetch_page
@@ -94,13 +97,55 @@ def test_failed_import_leaves_nothing(spark, tmp_path, inbox, monkeypatch):
     assert library.occurrences().count() == 8
 
 
-def test_many_files_read_the_folder_instead(spark, tmp_path, inbox, monkeypatch):
-    few = Library(spark, str(tmp_path / "few"))
-    Importer(few).import_path(str(inbox), utc(T1))
-    monkeypatch.setattr("linkloom.plans.importer.MAX_LISTED_PATHS", 0)
-    many = Library(spark, str(tmp_path / "many"))
-    Importer(many).import_path(str(inbox), utc(T1))
-    assert listed(few) == listed(many)
+def test_large_imports_meet_by_shuffles(spark, tmp_path, inbox, monkeypatch):
+    results = []
+    for rows in (100_000, 0):
+        monkeypatch.setattr("linkloom.plans.importer.BROADCAST_ROWS", rows)
+        library = Library(spark, str(tmp_path / f"lib{rows}"))
+        reports = [Importer(library).import_path(str(inbox), utc(T1)).report]
+        urls = spark.createDataFrame([(1, "https://example.gov/s.pdf"), (2, "http://fresh.test/")], "position int, u string")
+        reports.append(Importer(library).import_list(urls, "u", "list", utc(T2)).report)
+        results.append((listed(library), reports))
+    assert results[0] == results[1]
+
+
+def test_empty_and_hidden_files_of_an_import(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, text in (("e.txt", ""), ("_h.txt", "http://hidden.test/"), ("f.txt", "http://f.test/"), ("g.csv", "")):
+        (folder / name).write_text(text)
+    library = Library(spark, str(tmp_path / "lib"))
+    report = Importer(library).import_path(str(folder), utc(T1)).report
+    # both empty files have one content; the hidden one cannot be read
+    assert (report["files_processed"], report["files_skipped"], report["unique_urls"]) == (2, 2, 1)
+    names = [(r.source_file, r.file_size, r.urls_discovered) for r in library.sources().orderBy("source_id").collect()]
+    assert names == [("e.txt", 0, 0), ("f.txt", 14, 1)]
+    assert Importer(library).import_path(str(folder), utc(T2)).report["files_skipped"] == 4
+
+
+def test_totals_follow_the_library(spark, tmp_path, inbox):
+    library = Library(spark, str(tmp_path / "lib"))
+    Importer(library).import_path(str(inbox), utc(T1))
+    (inbox / "n.txt").write_text("http://plans.example.gov/p.csv https://new.test/ http://new.test/ https://example.gov/s.pdf")
+    report = Importer(library).import_path(str(inbox), utc(T2)).report
+    links = library.links()
+    assert report["unique_urls"] == links.count() == 8
+    assert report["unique_domains"] == links.select("hostname").distinct().count() == 5
+    assert report["http_urls"] == links.where("scheme = 'http'").count()
+    assert report["https_urls"] == links.where("scheme = 'https'").count()
+
+
+def test_an_import_does_not_shuffle_the_library(spark, tmp_path, inbox, monkeypatch):
+    library = Library(spark, str(tmp_path / "lib"))
+    Importer(library).import_path(str(inbox), utc(T1))
+    plans = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(self._df), write(self, *a, **k))[1])
+    (inbox / "n.txt").write_text("http://new.test/ https://example.gov/s.pdf")
+    Importer(library).import_path(str(inbox), utc(T2))
+    read = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    of_links = [p for p in read if re.search(r"Location: InMemoryFileIndex.*lib/links", p) and "Exchange hashpartitioning(normalized_url" in p]
+    assert not of_links
 
 
 def test_a_single_file_of_any_suffix(spark, tmp_path, inbox):
