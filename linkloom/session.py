@@ -1,7 +1,9 @@
 """Session settings, and written tables in the shared folder where lineage is cut."""
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,6 +19,7 @@ SETTINGS = {
 }
 _SCOPES: list[str] = []
 _PROMISED: set[str] = set()
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(master: str | None = None, app: str = "linkloom", **extra: str) -> SparkSession:
@@ -28,6 +31,20 @@ def build_session(master: str | None = None, app: str = "linkloom", **extra: str
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run; once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED[context.applicationId] = folder = tempfile.TemporaryDirectory(prefix="linkloom-")
+    root = pathlib.Path(__file__).parent
+    archive = pathlib.Path(folder.name) / "linkloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for file in sorted(root.rglob("*.py")):
+            packed.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))  # the driver serves it to the executors
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This run's folder below the one named in spark.checkpoint.dir; it goes when the driver ends.
 
