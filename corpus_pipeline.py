@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import decontamination, packing, partenum, quality, toxicity
-from linkloom.session import delete_folder, new_scope, staging_below
+from linkloom.session import delete_folder, new_scope, ship_package, staging_below
 
 WORDS, PERCENT = 5, 80  # near duplicates: shingles of five words, similarity 0.8 or more
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,6 +23,7 @@ def _own_scope(stage: Stage) -> Stage:
     """The stage with a folder of its own for what it writes; that of the stage before is deleted."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         while _left:
             delete_folder(spark, _left.pop())
         _left.append(new_scope(spark))
