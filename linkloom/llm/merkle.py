@@ -26,9 +26,12 @@ def pieces(text: Column) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """Eight hexadecimal digits for every piece."""
-    low, lead = F.lit(0xFFFFFFFF), F.lit(1 << 32)
-    return F.transform(pieces(text), lambda p: F.lower(F.substring(F.hex(F.xxhash64(p).bitwiseAND(low) + lead), 2, 8)))
+    """A 32-bit hash of every piece."""
+    return F.transform(pieces(text), lambda p: F.shiftright(F.xxhash64(p), 32).cast("int"))
+
+
+def _digits(leaf: Column) -> Column:
+    return F.lower(F.substring(F.hex(leaf.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)), 2, 8))
 
 
 def tree(leaf_array: Column) -> Column:
@@ -40,7 +43,7 @@ def tree(leaf_array: Column) -> Column:
         root = F.left(F.sha2(F.array_join(hashes, ""), 256), F.lit(32))
         return F.concat(root, F.lit(":"), F.array_join(named, "|"))
 
-    joined = F.array_join(leaf_array, ".")
+    joined = F.array_join(F.transform(leaf_array, _digits), ".")
     sections = F.split(joined, f"(?<=[{SECTION_ENDS}])\\.")
     return bind(sections, written)
 
@@ -140,32 +143,42 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     near = _neighbours(rows.select("doc_id", F.length("text").alias("n_chars")))
     near = near.select(*_key("next_id", "n"), *_key("of_id", "o"), "taken")
-    printed = rows.select(*_key("doc_id", "k"), "text", fingerprint(F.col("text")).alias("fingerprint"))
+    keyed = rows.select(*_key("doc_id", "k"), "text")
+    found = keyed.join(near, (F.col("k") == F.col("n")) & (F.col("k_null") == F.col("n_null")))
     same = Window.partitionBy("k", "k_null").orderBy(F.xxhash64("text"), "text")
-    numbered = printed.withColumn("copy", F.row_number().over(same))
-    sent = numbered.join(near, (F.col("k") == F.col("n")) & (F.col("k_null") == F.col("n_null"))).where("copy = 1").select(
-        "o", "o_null", F.left("text", F.col("taken")).alias("next_text"), F.col("fingerprint").alias("next_print")
-    )
-    met = numbered.join(sent, (F.col("k") == F.col("o")) & (F.col("k_null") == F.col("o_null")))
-    met = met.select(F.when(~F.col("k_null"), F.col("k")).alias("doc_id"), "text", "fingerprint", "next_text", "next_print")
+    found = found.withColumn("copy", F.row_number().over(same)).where("copy = 1")
+    found = computed_once(found, ["o", "o_null", "text", "taken"], [leaves(F.col("text")).alias("leaves")])
+    sent = found.select(
+        "o", "o_null", F.left("text", F.col("taken")).alias("next_text"),
+        F.array_distinct("leaves").alias("next_leaves"), root_of(tree(F.col("leaves"))).alias("next_root"),
+    )
+    met = keyed.join(sent, (F.col("k") == F.col("o")) & (F.col("k_null") == F.col("o_null")))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - third), F.left("next_text", third))
-    told = computed_once(met, ["doc_id", "text", "fingerprint", "next_print"], [edited.alias("edited")])
+    told = met.select(
+        F.when(~F.col("k_null"), F.col("k")).alias("doc_id"), n.cast("long").alias("n_chars"), "next_leaves", "next_root",
+        leaves(F.col("text")).alias("leaves"), edited.alias("edited"),
+    )
+    told = _once(told, ["leaves", "edited"])
     told = told.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        "fingerprint",
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        "next_print",
-    )
-    told = computed_once(
-        told.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "next_print", "edited_fingerprint"),
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"],
-        [
-            likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-            likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"),
-        ],
-    )
-    return told
+        "doc_id", "n_chars", "next_leaves", "next_root", "leaves", F.sha2("edited", 256).alias("edited_sha256"),
+        tree(F.col("leaves")).alias("fingerprint"), leaves(F.col("edited")).alias("edited_leaves"),
+    )
+    told = _once(told, ["edited_leaves", "fingerprint"])
+    told = told.withColumn("edited_fingerprint", tree(F.col("edited_leaves")))
+    told = _once(told, ["edited_fingerprint"])
+    root = root_of(F.col("fingerprint"))
+    near_edited = F.when(F.col("fingerprint") == F.col("edited_fingerprint"), F.lit(1.0))
+    near_next = F.when(root == F.col("next_root"), F.lit(1.0))
+    return told.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        near_edited.otherwise(_overlap(F.col("leaves"), F.col("edited_leaves"))).alias("near_edited"),
+        near_next.otherwise(_overlap(F.col("leaves"), F.col("next_leaves"))).alias("near_next"),
+    )
+
+
+def _once(df: DataFrame, names: list[str]) -> DataFrame:
+    """The same table with the named columns evaluated once, whatever reads them."""
+    kept = [c for c in df.columns if c not in names]
+    return computed_once(df, kept, [F.col(c) for c in names])
