@@ -26,6 +26,7 @@ ANCHOR_PATTERN = (
     r"(?is)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\bhref\s*=\s*"
     r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))"
 )
+COMMENT_PATTERN = r"(?s)<!--.*?(?:-->|\z)"
 
 # White space as characters, for trimming.
 WHITESPACE = "".join(chr(c) for c in (*ASCII_WHITESPACE, *WIDE_WHITESPACE))

@@ -1,5 +1,7 @@
 """Redirect links of search result pages, unwrapped to their target (column expressions)."""
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,23 +93,49 @@ def unwrap_href(href: Column, engine: Column) -> Column:
     return F.when(engine == "yahoo", unwrap_yahoo(href)).when(engine == "bing", unwrap_bing(href)).otherwise(plain)
 
 
+def _table(pairs: dict[str, str]) -> Column:
+    """A map made of two separators that no key or value holds; folded to a constant."""
+    return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in pairs.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+
+# Character references of HTML: all names, those that may stand without a semicolon, and the
+# numbers that stand for a character of Windows' code page.
+_NAMES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+_BARE_NAMES = {k: v for k, v in html5.items() if not k.endswith(";")}
+_CODE_PAGE = {str(c): bytes([c]).decode("cp1252", "replace") for c in range(0x80, 0xA0)}
+
+
 def decode_entities(text: Column) -> Column:
-    """HTML character references: numbers and the five XML names."""
+    """Character references of an attribute's value: numbers and all names of HTML.
 
-    def replace_one(decoded: Column, number: Column) -> Column:
+    Each ``&`` is looked at once, so no decoded text is decoded again. A name without a semicolon
+    counts if it may stand alone and neither a letter, a digit nor ``=`` follows, as in a query.
+    """
+
+    def numbered(number: Column) -> Column:
         code = F.when(
-            F.lower(number).startswith("x"),
-            F.conv(F.substring(number, F.lit(2), F.length(number)), 16, 10).cast("long"),
-        ).otherwise(number.cast("long"))
+            F.lower(number).startswith("x"), F.conv(F.substring(number, F.lit(2), F.length(number)), 16, 10)
+        ).otherwise(number)
+        code = code.cast("long")
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        legal = (code.between(1, 0xD7FF)) | (code.between(0xE000, 0x10FFFF))
-        shown = F.when(legal, char).otherwise("�")
-        return F.replace(decoded, F.concat(F.lit("&#"), number, F.lit(";")), shown)
+        legal = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        of_page = F.try_element_at(_table(_CODE_PAGE), code.cast("string"))
+        return F.when(code.between(0x80, 0x9F), of_page).when(legal, char).otherwise("\ufffd")
+
+    def decoded(part: Column) -> Column:
+        number = F.regexp_extract(part, "^#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})(?![0-9A-Fa-f])", 1)
+        name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        bare = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*)(?![A-Za-z0-9=;])", 1)
+        after = F.regexp_replace(part, "^#?[A-Za-z0-9]*;?", "")
+        char = (
+            F.when(number != "", numbered(number))
+            .when(name != "", F.try_element_at(_table(_NAMES), name))
+            .when(bare != "", F.try_element_at(_table(_BARE_NAMES), bare))
+        )
+        return F.coalesce(F.concat(char, after), F.concat(F.lit("&"), part))
 
-    numbers = F.array_distinct(
-        F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1))
-    )
-    decoded = F.when(text.contains("&#"), F.aggregate(numbers, text, replace_one)).otherwise(text)
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        decoded = F.replace(decoded, F.lit(f"&{name};"), F.lit(char))
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    def whole(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, 2, F.size(parts)), decoded)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
+
+    return F.when(text.contains("&"), bind(F.split(text, "&"), whole)).otherwise(text)

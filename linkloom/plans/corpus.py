@@ -141,7 +141,9 @@ SELECT page_id, 'other' AS engine, concat('//www.google.com/', page_id) AS href
 RESULT_PAGES = f"""
 SELECT p.page_id, 'yahoo' AS engine,
        concat(p.html, '<p><a class="r" href="', l.href, '">one</a> <A HREF=''', p.url, ''' >two</A> <a href=',
-              replace(p.url, '&', '&amp;'), '>three</a> see (', p.url, '_(x)). <a href="/local">four</a>') AS html
+              replace(p.url, '&', '&amp;'), '>three</a> see (', p.url, '_(x)). <a href="/local">four</a>',
+              ' <!-- <a href=http://hidden.example.org/', p.page_id, '/>five</a> --> <a href=http://named.example.org/', p.page_id,
+              '/caf&eacute;?a&copy=2&amp;b&euro;>six</a>') AS html
 FROM pages p JOIN ({RESULT_LINKS}) l ON p.page_id = l.page_id AND l.engine = 'yahoo' AND l.href LIKE 'https://r.%'
 """
 

@@ -10,10 +10,14 @@ from linkloom.operators.numbering import with_dense_ids
 
 
 def hrefs(html: Column) -> Column:
-    """href values of a page: quoted ones as written, then those of anchors with entities decoded."""
+    """href values of a page: quoted ones as written, then those of anchors with entities decoded.
+
+    Anchors in comments are none.
+    """
+    shown = F.regexp_replace(html, fixed.COMMENT_PATTERN, "")
     written = F.regexp_extract_all(html, F.lit(fixed.HREF_PATTERN), F.lit(1))
     anchors = F.transform(
-        F.regexp_extract_all(html, F.lit(fixed.ANCHOR_PATTERN), F.lit(0)),
+        F.regexp_extract_all(shown, F.lit(fixed.ANCHOR_PATTERN), F.lit(0)),
         lambda tag: decode_entities(
             F.concat(*[F.regexp_extract(tag, fixed.ANCHOR_PATTERN, g) for g in (1, 2, 3)])
         ),

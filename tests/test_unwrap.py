@@ -1,10 +1,12 @@
 import base64
+import html
+from html.entities import html5
 from urllib.parse import quote
 
 from pyspark.sql import functions as F
 
 from linkloom.functions.unwrap import decode_entities, percent_decode, unwrap_href
-from linkloom.sources.pages import page_links
+from linkloom.sources.pages import hrefs, page_links
 
 PLAN = "https://plans.harbour.example/2024/quay+east.pdf?sheet=3&scale=1:50"
 
@@ -57,14 +59,38 @@ def test_entities(spark):
     assert [r[0] for r in df.select(decode_entities(F.col("t"))).collect()] == ['?a=1&b&c\u20acA<"', "plain", "\ufffd"]
 
 
+def test_names_of_entities(spark):
+    names = sorted(n for n in html5 if n.endswith(";"))
+    texts = [f"x&{n}y" for n in names] + [f"a&{n[:-1]} &{n}" for n in names[::7]] + ["&#150;&#X80;&#9;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.withColumn("d", decode_entities(F.col("t"))).collect():
+        assert r.d == (html.unescape(r.t) if r.t.startswith(("x", "&")) or r.t[2 : r.t.index(" ")] in html5 else r.t[: r.t.index(" ")] + " " + html.unescape(r.t.split(" ")[1])), r.t
+
+
+def test_entities_that_are_none(spark):
+    cases = {
+        "?x=1&copy=2&lang=de": "?x=1&copy=2&lang=de", "&copy &copyx &nosuch; &": "\u00a9 &copyx &nosuch; &", "&amp;lt;": "&lt;",
+        "&#38;lt;": "&lt;", "&#x26;#65;": "&#65;", "&&amp;&": "&&&", "caf&eacute": "caf\u00e9", "&#;&#x;": "&#;&#x;", "&#12345678;": "&#12345678;",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for r in df.withColumn("d", decode_entities(F.col("t"))).collect():
+        assert r.d == cases[r.t], r.t
+
+
+def test_anchors_in_comments(spark):
+    page = "<!-- <a href=http://a.test/1>x</a> --><a href=http://b.test/?q&eacute;>y</a><!-- open <a href=http://c.test/>"
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assert df.select(hrefs(F.col("html"))).first()[0] == ["http://b.test/?q\u00e9"]
+
+
 def test_page_links(spark):
     wrapped = f"https://r.search.yahoo.com/RV=2/RU={quote(PLAN, safe='')}/RK=0/RS=q"
-    html = (
+    page = (
         f"<ol><li><A id=1 title='a>b' HREF = '{wrapped}'>quay</a><li><a href=\"http://moss.test/?a=1&amp;b=2\">moss</a>"
         '<li><a href=http://un.quoted/x>bare</a>, or http://plain.test/Moss_(plant).<link href="http://style.test/s.css">'
         f"<li><a href='{wrapped}'>once more</a><a href='/help'>help</a></ol>"
     )
-    df = spark.createDataFrame([(1, html, "yahoo"), (2, "", "yahoo"), (3, None, "bing")], "page_id int, html string, engine string")
+    df = spark.createDataFrame([(1, page, "yahoo"), (2, "", "yahoo"), (3, None, "bing")], "page_id int, html string, engine string")
     rows = page_links(df, "page_id").orderBy("position").collect()
     assert [r.url for r in rows] == [
         PLAN,
