@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.batches import free_name, whole_text
+from linkloom.session import stage
 
 MASKS = ("11011011", "1110100101")
 LEAST_SHARE = 0.7  # of the benchmark text's words, or
 WINDOW, LEAST_IN_WINDOW = 16, 13  # so many equal words among consecutive ones
-BROADCAST_ROWS = 200_000  # benchmark seeds; a row has 32 bytes
+BROADCAST_ROWS = 200_000  # benchmark seeds or alignments; a row has 32 bytes
 _WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -54,7 +55,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
 
     Seeds of the documents meet those of the benchmark in the scan's own tasks while the benchmark
     has at most BROADCAST_ROWS seeds; a larger one is joined by a shuffle on the seed. Alignments are
-    deduplicated before anything else moves; only documents that have one are read again.
+    deduplicated and written; so few go to the documents, for more the documents are shuffled.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(whole_text()).alias("words"))
     distinct = items.where(F.size("words") > 0).groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
@@ -64,7 +65,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
         seeds = F.broadcast(seeds)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(whole_text()).alias("words"))
     hits = _seeds(texts, masks).join(seeds, "seed")
-    hits = hits.select("doc_id", "item", (F.col("place") - F.col("item_place")).alias("doc_word")).distinct()
+    hits = stage(hits.select("doc_id", "item", (F.col("place") - F.col("item_place")).alias("doc_word")).distinct())
+    hits = F.broadcast(hits) if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits
     found = hits.withColumnRenamed("doc_id", "hit_id").join(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")),
         F.col("hit_id").eqNullSafe(F.col("doc_id")),
@@ -102,5 +104,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that overlap no benchmark text."""
     name = free_name(docs, "hit_id")
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    found = stage(overlaps(docs, benchmark).select(F.col("doc_id").alias(name)).distinct())
+    found = F.broadcast(found) if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else found
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[name]), "left_anti")
