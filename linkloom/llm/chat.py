@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.numbering import with_dense_ids
+from linkloom.session import stage
 
 BUDGET = 2048
 HISTORY = 512
@@ -110,7 +111,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     """
     least = budget // 4
     history = min(history, least)
-    turns = _with_prefix(_placed(turns))
+    turns = stage(_with_prefix(_placed(turns)))
     # What a window of this conversation has for its span; system turns are one row a conversation.
     system = turns.where("is_system").select(
         F.col("conv_id").alias("own"), F.struct("role", "text").alias("system"), F.col("tokens").alias("system_tokens")
@@ -119,6 +120,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     system = system.join(extent, F.col("own").eqNullSafe(F.col("conv_id"))).select(
         "own", "system", "system_tokens", F.explode(F.sequence(F.lit(0).cast("long"), "last_block")).alias("own_block")
     )
+    system = stage(system)
     turns = turns.withColumn("block", F.shiftright("place", 8))
     sized = system.select("own", "own_block", "system_tokens")
     turns = turns.join(
