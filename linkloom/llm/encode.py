@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
+from linkloom.llm.batches import runs as _runs
+
 # A worker keeps at most this many words; then it starts anew. Bounds memory, never the result.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_400_000
 LONGEST_CACHED = 128
+# White space before white space; a text of plain ASCII without one of these has none.
 _ODD_SPACE = re.compile(r"\s[ \n]|\x00")
+_ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\0")
 
 
 def tokenizer_path(name: str) -> str:
@@ -44,6 +49,21 @@ class _Pool:
         return self.data[: self.size]
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are first met, and keeps the new ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.given = 0
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = self.given
+        self.given += 1
+        self.fresh.append(key)
+        return number
+
+
 class TextEncoder:
     """ids of texts by the tokenizers library, without special tokens.
 
@@ -61,86 +81,68 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = _Numbers()
         self.ids, self.begins, self.ends = _Pool("u4"), _Pool("i8"), _Pool("i8")
         self.starts, self.lengths, self.chars = _Pool("i8"), _Pool("i8"), _Pool("i8")
 
-    def _learn(self, chunks: list[str]) -> int:
-        """Encode chunks and append them; the number of the first one."""
-        first = self.starts.size
+    def _learn(self) -> None:
+        """Encode the words met for the first time."""
+        fresh, self.words.fresh = self.words.fresh, []
+        if not fresh:
+            return
+        chunks = [self._chunk(key) for key in fresh] if self.spaced else fresh
         if self.offsets:
             found = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
             spans = [span for e in found for span in e.offsets]
             self.begins.extend([b for b, _ in spans])
             self.ends.extend([e for _, e in spans])
+            self.chars.extend([len(c) for c in chunks])
         else:
             found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         ids = [e.ids for e in found]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
         self.lengths.extend(lengths)
-        self.chars.extend([len(c) for c in chunks])
-        self.ids.extend([i for word in ids for i in word])
-        return first
+        self.ids.extend(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())))
+        for key in fresh:
+            if len(key) > LONGEST_CACHED:
+                del self.words[key]
 
-    def _parts(self, text: str) -> list[str] | None:
-        """Keys of a text's words; None if it has to be encoded whole."""
+    def _parts(self, text: str) -> list[str]:
+        """Keys of a text's words. A text that cannot be cut is one key, with two marks before it."""
         if not self.spaced:
             text = text.lower() if text.isascii() and not self.offsets else text
             return text.replace("\n", " ").split(" ")
-        if _ODD_SPACE.search(text):
-            return None
+        if not (text.isascii() and not any(map(text.__contains__, _ODD_ASCII))) and _ODD_SPACE.search(text):
+            return ["\0\0" + text]
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\0" + parts[0]
         return parts
 
-    def _chunk(self, key: str) -> str:
+    @staticmethod
+    def _chunk(key: str) -> str:
         """The characters a key stands for."""
-        if not self.spaced or key.startswith("\n"):
-            return key
-        return key[1:] if key.startswith("\0") else " " + key
+        if key.startswith("\0"):
+            return key[2:] if key.startswith("\0\0") else key[1:]
+        return key if key.startswith("\n") else " " + key
 
     def encode(self, texts: list[str]) -> dict[str, np.ndarray]:
         """ids of all texts one after the other, lengths by text; begins and ends if asked for."""
-        from linkloom.llm.batches import runs
-
-        if len(self.words) > CACHED_WORDS or self.ids.size > 16 * CACHED_WORDS:
+        if self.words.given > CACHED_WORDS or self.ids.size > 16 * CACHED_WORDS:
             self._forget()
-        words = self.words
         split = [self._parts(text) for text in texts]
-        fresh = {k for parts in split if parts is not None for k in parts if k not in words}
-        once = [k for k in fresh if len(k) <= LONGEST_CACHED]
-        seen: dict[str, int] = {}
-        if once:
-            first = self._learn([self._chunk(k) for k in once])
-            words.update(zip(once, range(first, first + len(once)), strict=True))
-        long = [k for k in fresh if len(k) > LONGEST_CACHED]
-        if long:
-            first = self._learn([self._chunk(k) for k in long])
-            seen = dict(zip(long, range(first, first + len(long)), strict=True))
-        numbers: list[int] = []
-        counts = np.empty(len(texts), dtype=np.int64)
-        for row, parts in enumerate(split):
-            if parts is None:
-                numbers.append(self._learn([texts[row]]))
-                counts[row] = 1
-                continue
-            try:
-                numbers.extend(map(words.__getitem__, parts))
-            except KeyError:
-                del numbers[int(counts[:row].sum()) :]
-                numbers.extend(words[k] if k in words else seen[k] for k in parts)
-            counts[row] = len(parts)
-        index = np.asarray(numbers, dtype=np.int64)
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        number = self.words.__getitem__
+        index = np.fromiter(map(number, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        self._learn()
         lengths = self.lengths.view()[index]
-        at = runs(self.starts.view()[index], lengths)
+        at = _runs(self.starts.view()[index], lengths)
         out = {"ids": self.ids.view()[at], "lengths": _sums(lengths, counts)}
         if self.offsets:
             extent = self.chars.view()[index] + (0 if self.spaced else 1)
             before = np.cumsum(extent) - extent
             first = np.cumsum(counts) - counts
-            base = np.where(counts > 0, before[np.minimum(first, max(len(before) - 1, 0))] if len(before) else 0, 0)
-            place = np.repeat(before - np.repeat(base, counts), lengths)
+            place = np.repeat(before - np.repeat(before[first], counts), lengths)
             out["begins"] = self.begins.view()[at] + place
             out["ends"] = self.ends.view()[at] + place
         return out

@@ -26,9 +26,9 @@ from linkloom.session import shared_folder, stage
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SCALE_BITS = 20
-LANES = 512
+LANES = 2048
 CHECKPOINT_STEPS = 128
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 19
 _LOW = np.uint64(1 << 32)
 _WORD = np.uint64(32)
 _BITS = np.uint64(SCALE_BITS)
@@ -121,14 +121,18 @@ def decode_block(payload: bytes, n_ids: int, table: FrequencyTable, slots: np.nd
     mask = np.uint64((1 << SCALE_BITS) - 1)
     lane = np.arange(LANES)
     part_begin = np.arange(parts) * CHECKPOINT_STEPS * LANES
+    rest = table.shares, table.before
     for step in range(CHECKPOINT_STEPS):
         slot = state & mask
         found = slots[slot]
-        live = part_begin[:, None] + step * LANES + lane < n_ids
         out[:, step] = found
-        fresh = table.shares[found] * (state >> _BITS) + slot - table.before[found]
-        state = np.where(live, fresh, state)
-        short = live & (state < _LOW)
+        fresh = rest[0][found] * (state >> _BITS) + slot - rest[1][found]
+        short = fresh < _LOW
+        if part_begin[-1] + (step + 1) * LANES > n_ids:  # some lanes of the last part have ended
+            live = part_begin[:, None] + step * LANES + lane < n_ids
+            fresh = np.where(live, fresh, state)
+            short &= live
+        state = fresh
         taken = short.sum(axis=1)
         if taken.any():
             row, col = np.nonzero(short)
@@ -140,16 +144,23 @@ def decode_block(payload: bytes, n_ids: int, table: FrequencyTable, slots: np.nd
 
 
 def id_rows(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_ids and the ids of every document, as compressed little-endian 32-bit numbers."""
+    """The ids of every document, and one row of counts by id for every task.
+
+    doc_id and ids, as compressed little-endian 32-bit numbers; rows of counts have ``counts`` instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, spaced=True).encode
         pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 found = encode(part.column("text").to_pylist())
                 ends = np.cumsum(found["lengths"])
                 flat = np.insert(found["ids"], ends, end_id).astype("<u4")
+                counts = np.bincount(flat, minlength=len(total))
+                counts[: len(total)] += total
+                total = counts
                 lengths = found["lengths"] + 1
                 last = np.cumsum(lengths)
                 # byte planes: the upper two bytes of nearly all ids are zero
@@ -157,16 +168,16 @@ def id_rows(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -
                     pack.compress(flat[a:b].view(np.uint8).reshape(-1, 4).T.tobytes())
                     for a, b in zip((last - lengths).tolist(), last.tolist(), strict=True)
                 ]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "n_ids": pa.array(lengths, pa.int64()),
-                        "ids": pa.array(ids, pa.binary()),
-                    }
-                )
+                yield _id_batch(part.column("doc_id"), ids, [None] * len(ids))
+        yield _id_batch(pa.array([None], pa.int64()), [None], [pack.compress(total.astype("<i8").tobytes())])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, counts binary")
+
+
+def _id_batch(doc_ids: pa.Array, ids: list, counts: list) -> pa.RecordBatch:
+    columns = {"doc_id": doc_ids, "ids": pa.array(ids, pa.binary()), "counts": pa.array(counts, pa.binary())}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _unpacked(packed: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -175,21 +186,18 @@ def _unpacked(packed: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 def id_counts(rows: DataFrame) -> DataFrame:
-    """id and n over all documents: one partial row per task and id, then summed."""
+    """id and n over all documents: the tasks' counts, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for packed in batch.column("ids").to_pylist():
-                counts = np.bincount(_unpacked(packed, unpack))
-                if len(counts) > len(total):
-                    counts, total = total, counts.astype(np.int64)
-                total[: len(counts)] += counts
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
+            for packed in batch.column("counts").to_pylist():
+                counts = np.frombuffer(unpack.decompress(packed), dtype="<i8")
+                ids = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(counts[ids], pa.int64())})
 
-    return rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    told = rows.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long")
+    return told.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _blocks(ranged: DataFrame, table: FrequencyTable) -> DataFrame:
@@ -253,7 +261,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     table = FrequencyTable.from_counts(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
     shares = pa.table({"id": pa.array(table.ids, pa.int64()), "share": pa.array(table.shares.astype(np.int64))})
     spark.createDataFrame(shares).coalesce(1).write.parquet(f"{folder}/frequencies")
-    ranged = rows.select("doc_id", "ids").repartitionByRange("doc_id", F.xxhash64("ids"))
+    ranged = rows.where("counts IS NULL").select("doc_id", "ids").repartitionByRange("doc_id", F.xxhash64("ids"))
     ranged = ranged.sortWithinPartitions("doc_id", "ids")
     _blocks(ranged, table).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
