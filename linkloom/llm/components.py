@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         least = least.select("node", F.least("node", "m").alias("m"))
         large = edges.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("m").alias("a"), "b")
-        large = large.where("a < b").distinct()
+        large = large.where("a < b")
         # to smaller neighbours: a < b, so b's neighbours below it are its a's
         least = large.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("m"))
         small = large.join(least, F.col("b") == F.col("node")).select(F.col("m"), F.explode(F.array("a", "b")).alias("b"))

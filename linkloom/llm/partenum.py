@@ -11,8 +11,10 @@ link is lost. A choice in which a set has nothing is no signature; sets with not
 
 Sharing a signature only names candidates. They are compared with the smallest document of their
 group first, not pair by pair; groups whose documents are then one class are done, however large. What
-is left is compared pair by pair within small groups; documents of large ones get the signatures of
-the next, more selective level.
+is left is compared within groups, block by block, by counts of shingles in SKETCH cells: their
+differences add up to no more than the sets differ, so what exceeds the bound is no link, and only the
+rest is compared text by text. Documents of groups of more than MOST get the signatures of the next,
+more selective level instead; only on the last one blocks are made of groups of any size.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from linkloom.llm.shingles import mixed, shingle_sets
 from linkloom.session import stage
 
 BROADCAST_IDS = 200_000
-PAIRWISE = 32  # groups up to this size are compared pair by pair before the next level is tried
+GROUP = 512  # rows that are compared in one place; larger groups come in blocks of so many
+MOST = 16 * GROUP  # still larger groups are signed on the next level
+SKETCH = 64  # cells, a byte each
 
 
 class Scheme(NamedTuple):
@@ -110,24 +114,128 @@ def _text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
+CELLS = tuple(f"s{i}" for i in range(SKETCH // 8))
+
+
+def sketch(members: np.ndarray) -> np.ndarray:
+    """How many members lie in each cell, at most 255, packed into longs."""
+    cells = np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(cells, 255).astype(np.uint8).view(np.int64)
+
+
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the shingle set, for every row."""
+    """doc_id, n_shingles, a 128-bit digest and the sketch of the shingle set, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), words)
                 digest = [[int(mixed(s, seed).sum(dtype=np.uint64)) for s in sets] for seed in (41, 43)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                        "h1": pa.array(np.array(digest[0], dtype=np.uint64).view(np.int64), pa.int64()),
-                        "h2": pa.array(np.array(digest[1], dtype=np.uint64).view(np.int64), pa.int64()),
-                    }
-                )
+                cells = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, len(CELLS))
+                columns = {
+                    "doc_id": part.column("doc_id"),
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "h1": pa.array(np.array(digest[0], dtype=np.uint64).view(np.int64), pa.int64()),
+                    "h2": pa.array(np.array(digest[1], dtype=np.uint64).view(np.int64), pa.int64()),
+                }
+                columns |= {name: pa.array(cells[:, i], pa.int64()) for i, name in enumerate(CELLS)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    kinds = ", ".join(f"{c} long" for c in CELLS)
+    return _text_rows(docs).mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {kinds}")
+
+
+def _matrix(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as bytes, and sizes; a size below zero stands for an id with several sets."""
+    cells = np.column_stack([batch.column(c + suffix).to_numpy() for c in CELLS])
+    return np.ascontiguousarray(cells).view(np.uint8).astype(np.int16), batch.column("size" + suffix).to_numpy()
+
+
+def _may_link(cells_a, size_a, cells_b, size_b, percent: int) -> np.ndarray:
+    """False where sizes or sketches prove that two sets are no link."""
+    apart = np.abs(cells_a - cells_b).sum(axis=-1, dtype=np.int64)
+    fits = apart * (100 + percent) <= (size_a + size_b) * (100 - percent)
+    fits &= 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+    return fits | (size_a < 0) | (size_b < 0)
+
+
+def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = pa.array(_may_link(*_matrix(batch, "_a"), *_matrix(batch, "_b"), percent), pa.bool_())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(mask) for c in ("a", "b")})
+
+    sides = [nodes.withColumnsRenamed({c: f"{c}_{x}" for c in nodes.columns}) for x in ("a", "b")]
+    met = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
+    return met.mapInArrow(run, "a long, b long")
 
-    return _text_rows(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+
+def group_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one group and different components that their sketches do not rule out.
+
+    ``rows``: signature, node, component, size and sketch. A group is bounded, and is compared
+    where its rows lie, one after the other; only pairs that may be links leave the task.
+    """
+
+    def pairs(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        cells, size = _matrix(group)
+        node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
+        found = []
+        for i in range(len(node) - 1):
+            other = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+            if len(other):
+                fits = _may_link(cells[i], size[i], cells[other], size[other], percent)
+                found += [(i, j) for j in other[fits].tolist()]
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return np.minimum(node[at[:, 0]], node[at[:, 1]]), np.maximum(node[at[:, 0]], node[at[:, 1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            batch = table.combine_chunks().to_batches()[0]
+            signature = batch.column("signature").to_numpy()
+            bounds = np.append(np.flatnonzero(np.diff(signature, prepend=signature[0] - 1)), len(signature))
+            a, b = [], []
+            for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if end - begin > 1:
+                    low, high = pairs(batch.slice(begin, end - begin))
+                    a.append(low)
+                    b.append(high)
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+        for batch in batches:
+            signature = batch.column("signature").to_numpy()
+            if not len(signature):
+                continue
+            first = int(np.searchsorted(signature, signature[-1], side="left"))
+            whole = [*rest, batch.slice(0, first)] if first else []
+            if not first and rest and rest[-1].column("signature")[-1].as_py() != signature[0]:
+                whole, rest = rest, []
+            if whole:
+                table = pa.Table.from_batches(whole)
+                if table.num_rows:
+                    yield from compared(table)
+                rest = []
+            rest.append(batch.slice(first))
+        if rest:
+            yield from compared(pa.Table.from_batches(rest))
+
+    return rows.repartition("signature").sortWithinPartitions("signature").mapInArrow(run, "a long, b long")
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Groups larger than GROUP as groups of two blocks each, so that every pair meets in one."""
+    blocks = F.ceil(F.col("n_nodes") / GROUP).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    key = F.xxhash64("signature", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.withColumn("signature", key).drop("blocks", "own", "other")
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int, level: int) -> DataFrame:
@@ -193,9 +301,10 @@ def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 def _groups(rows: DataFrame, class_of: DataFrame) -> DataFrame:
     """Rows of signatures that several classes share: signature, node, pivot, n_nodes.
 
-    Signatures of one document alone, nearly all, end in an aggregate on the map side's sums.
+    Nearly all signatures are one document's alone; they end in the sums.
     """
-    shared = rows.groupBy("signature").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    rows = stage(rows)
+    shared = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = rows.join(shared.select(F.col("signature").alias("s")), F.col("signature") == F.col("s")).select("signature", "doc_id")
     nodes = met.join(class_of.select(F.col("doc_id").alias("k"), "node"), F.col("doc_id") == F.col("k"))
     nodes = stage(nodes.select("signature", "node").distinct())
@@ -223,46 +332,55 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     same = ["n_shingles", "h1", "h2"]
     real = digests.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = real.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    class_of = real.join(classes, same).groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("other"))
+    class_of = real.join(classes, same).groupBy("doc_id").agg(
+        F.min("node").alias("node"), F.max("node").alias("other"), F.min("n_shingles").alias("size"), *[F.min(c).alias(c) for c in CELLS]
+    )
     class_of = stage(class_of)
-    # an id with several sets ties their classes together
-    links = stage(class_of.where("other > node").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    done = None
-    signing = known
+    # an id with several sets ties their classes together, and has no sketch
+    several = F.col("other") > F.col("node")
+    links = class_of.where(several).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    tied = stage(links.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+    nodes = class_of.where(F.col("doc_id") == F.col("node")).join(tied, F.col("node") == F.col("t"), "left")
+    nodes = stage(nodes.select("node", F.when(F.col("t").isNull() & ~several, F.col("size")).otherwise(-1).alias("size"), *CELLS))
+    label = components(links)
+    done, signing = None, known
     for level in range(LEVELS):
         groups = stage(_groups(signature_rows(signing, words, percent, level), class_of))
-        star = groups.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        star = star if done is None else star.join(done, ["a", "b"], "left_anti")
-        star = stage(star)
-        done = star if done is None else stage(done.unionByName(star))
-        links = stage(links.unionByName(linked(star, known, words, percent)))
-        label = components(links)
+        star = groups.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).count()
+        star = stage(star if done is None else star.join(done, ["a", "b"], "left_anti"))
+        # each document with the one that it shares most signatures with; the others only if that
+        # leaves the two in different classes
+        most = star.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("best"))
+        most = most.select((-F.col("best.col2")).alias("a"), "b")
+        label = _joined(label, linked(stage(possible_pairs(most, nodes, percent)), known, words, percent))
+        apart = star.join(most, ["a", "b"], "left_anti").select("a", "b")
+        label = _joined(label, linked(stage(possible_pairs(_apart(apart, label), nodes, percent)), known, words, percent))
+        star = star.select("a", "b")
+        done = star if done is None else done.unionByName(star)
         named = groups.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
-            "signature", "node", "pivot", "n_nodes", F.coalesce("component", "node").alias("component")
+            "signature", "node", "n_nodes", F.coalesce("component", "node").alias("component")
         )
         # groups that hold more than one class still
-        mixed_groups = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        mixed_groups = mixed_groups.where("lo < hi").select(F.col("signature").alias("s"))
-        open_rows = named.join(mixed_groups, F.col("signature") == F.col("s")).where("n_nodes > 2").drop("s")
-        open_rows = stage(open_rows)
+        several_left = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        several_left = several_left.where("lo < hi").select(F.col("signature").alias("s"))
+        left = stage(named.where("n_nodes > 2").join(several_left, F.col("signature") == F.col("s"), "left_semi"))
+        if left.isEmpty():
+            break
         last = level == LEVELS - 1
-        close = open_rows if last else open_rows.where(F.col("n_nodes") <= PAIRWISE)
-        left = close.where("node <> pivot").select("signature", F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = close.where("node <> pivot").select(
-            F.col("signature").alias("s"), F.col("node").alias("b"), F.col("component").alias("cb")
-        )
-        pairs = left.join(right, (F.col("signature") == F.col("s")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
-        pairs = stage(pairs.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
-        links = stage(links.unionByName(linked(pairs, known, words, percent)))
+        blocks = (F.col("n_nodes") > GROUP) & (F.lit(last) | (F.col("n_nodes") <= MOST))
+        close = left.where(F.col("n_nodes") <= GROUP).unionByName(in_blocks(left.where(blocks)))
+        sketched = close.drop("n_nodes").join(nodes.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+        pairs = group_pairs(sketched, percent).distinct()
+        pairs = stage(pairs.join(done, ["a", "b"], "left_anti"))
+        label = _joined(label, linked(pairs, known, words, percent))
+        done = done.unionByName(pairs)
         if last:
             break
-        done = stage(done.unionByName(pairs))
-        rest = stage(open_rows.where(F.col("n_nodes") > PAIRWISE).select("node").distinct())
+        rest = stage(left.where(F.col("n_nodes") > MOST).select("node").distinct())
         if rest.isEmpty():
             break
         signing = known.join(rest, F.col("doc_id") == F.col("node"), "left_semi")
-    label = components(links)
-    named = class_of.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    named = class_of.select("doc_id", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.select("doc_id", F.coalesce("component", "node").alias("component_id"))
     keyed = named.withColumnRenamed("doc_id", "k")
     return digests.join(keyed, F.col("doc_id") == F.col("k"), "left").select(
@@ -270,6 +388,24 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component."""
+    for side in ("a", "b"):
+        own = label.select(F.col("node").alias("of"), F.col("component").alias(f"c{side}"))
+        pairs = pairs.join(own, F.col(side) == F.col("of"), "left").drop("of")
+        pairs = pairs.withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    return pairs.where("ca <> cb").select("a", "b")
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; what is known already enters as one link to each component."""
+    links = stage(links)
+    if links.isEmpty():
+        return label
+    known = label.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return stage(components(known.unionByName(links)))
+
+
 def one_of_each(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The documents, all columns, with the smallest doc_id of each class; of an id's rows the first by text.
 

@@ -74,10 +74,12 @@ def test_similarity_classes(spark, words, percent):
     assert sorted(map(tuple, got)) == plain_components(rows, words, percent)
 
 
-def test_levels_of_signatures(spark, monkeypatch):
+@pytest.mark.parametrize("most", [2, 6])
+def test_levels_of_signatures(spark, monkeypatch, most):
     """With every group too large to be compared at once, the next levels find the same links."""
-    monkeypatch.setattr(partenum, "PAIRWISE", 2)
-    rows = corpus(9)
+    monkeypatch.setattr(partenum, "GROUP", 2)
+    monkeypatch.setattr(partenum, "MOST", most)
+    rows = corpus(9)[::3]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = partenum.near_duplicates(table, 4, 85).collect()
     assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
@@ -104,6 +106,28 @@ def test_similar_sets_share_a_signature(level, percent):
             assert a & b
 
 
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(1)
+    for size in (1, 4, 30, 400, 20_000):
+        for percent in (60, 85):
+            members = rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)
+            gone = size * (100 - percent) // 100
+            for other in (members[gone:], np.concatenate([members[gone // 2 :], rng.integers(0, 2**63, gone // 3).astype(np.uint64)])):
+                common = len(np.intersect1d(members, other))
+                if 100 * common >= percent * (size + len(other) - common):
+                    cells = [partenum.sketch(s).view(np.uint8).astype(np.int16) for s in (members, other)]
+                    assert partenum._may_link(cells[0], np.array(size), cells[1], np.array(len(other)), percent)
+
+
+def test_blocks_bring_every_pair_together(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "GROUP", 4)
+    rows = spark.range(19).selectExpr("7L AS signature", "id AS node", "19L AS n_nodes")
+    met = {}
+    for r in partenum.in_blocks(rows).collect():
+        met.setdefault(r.signature, set()).add(r.node)
+    assert all(any({a, b} <= g for g in met.values()) for a in range(19) for b in range(19))
+
+
 def test_odd_rows_of_the_join(spark):
     rows = [(1, "a b c d e f"), (1, "u v w x y z"), (7, "u v w x y z"), (9, "A b c d e f"), (9, "A b c d e f"), (None, "a b c d e f"), (None, None)]
     got = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
