@@ -5,6 +5,7 @@ toxic texts almost alone: whole words, and stems for words that share a beginnin
 are walked together as one automaton whose states are made when a word first needs them; a word leaves
 it after a few letters unless it is a term or a misspelled one. Each hit is weighed by its window: in
 quotation marks or after a word of reporting it is likely quoted, after a word of address it is meant.
+A misspelled term counts as its term at a discount; words that clean labelled texts use do not count.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SEED_TERMS = (
 STEMS = (4, 5, 6)
 LEAST_PRECISION = 0.9
 MOST_TERMS = 2000
+MISSPELLED = 0.6  # of an exact hit
+MOST_CHANCE = 100_000
 CACHED_WORDS = 1_000_000
 WINDOW = 6
 QUOTES = "\"“”„«»‘’"
@@ -141,14 +144,22 @@ class FuzzyLexicon:
 
 
 class Detector:
-    """Features of texts from a lexicon. Keeps what it found for a bounded number of words."""
+    """Features of texts from a lexicon. Keeps what it found for a bounded number of words.
 
-    names = ("exact", "fuzzy", "strongest", "strongest_fuzzy", "share", "quoted")
+    Words of ``chance`` resemble terms by chance and are no misspelled ones.
+    """
 
-    def __init__(self, terms: Sequence[Term]) -> None:
+    names = ("hits", "strongest", "share", "quoted")
+
+    def __init__(self, terms: Sequence[Term], chance: frozenset[str] = frozenset()) -> None:
         self.lexicon = FuzzyLexicon(terms)
+        self.chance = chance
         self.known: dict[str, tuple[int, int] | None] = {}
 
+    def _find(self, word: str) -> tuple[int, int] | None:
+        found = self.lexicon.find(word)
+        return None if found and found[1] and word in self.chance else found
+
     def hits(self, text: str) -> tuple[list[tuple[int, int, int, int, float]], int]:
         """(begin, end, term, edits, context) of every hit, and the number of words."""
         lowered = text.lower()
@@ -157,7 +168,7 @@ class Detector:
         if len(known) > CACHED_WORDS:
             known.clear()
         for word in set(words).difference(known):
-            known[word] = self.lexicon.find(word) if len(word) <= 64 else None
+            known[word] = self._find(word) if len(word) <= 64 else None
         if not any(map(known.get, words)):
             return [], len(words)
         spans = [m.span() for m in _WORD.finditer(lowered)]
@@ -177,15 +188,11 @@ class Detector:
             found, n = self.hits(text)
             if not found:
                 continue
-            weight = [self.lexicon.terms[t].weight for _, _, t, _, _ in found]
-            exact = [c for _, _, _, e, c in found if e == 0]
-            fuzzy = [c for _, _, _, e, c in found if e]
+            counted = [c * (MISSPELLED if e else 1) for _, _, _, e, c in found]
             out[row] = (
-                np.log1p(sum(exact)),
-                np.log1p(sum(fuzzy)),
-                max([w * c for w, (_, _, _, e, c) in zip(weight, found, strict=True) if e == 0], default=0),
-                max([w * c for w, (_, _, _, e, c) in zip(weight, found, strict=True) if e], default=0),
-                np.log1p(100 * len(found) / max(n, 1)) if exact else 0,
+                np.log1p(sum(counted)),
+                max(self.lexicon.terms[t].weight * k for (_, _, t, _, _), k in zip(found, counted, strict=True)),
+                np.log1p(100 * sum(counted) / n),
                 sum(c < 1 for _, _, _, _, c in found) / len(found),
             )
         return out
@@ -251,7 +258,9 @@ def learned_terms(sample: DataFrame) -> list[Term]:
         weight = float(np.log((row.toxic + 0.5) / (row.n - row.toxic + 0.5)) - prior)
         stem = row.term.endswith("*")
         text = row.term.rstrip("*")
+        # a word below a stem stays if it may be misspelled, as stems are taken as they are
         covered = any(text.startswith(t.text) if t.stem else text == t.text for t in found)
+        covered = covered and (stem or Term(text, False, weight).edits == 0)
         # a stem that finds hardly more than one of its words is left to the word
         own = max((r.toxic for r in rows if not r.term.endswith("*") and r.term.startswith(text)), default=0) if stem else 0
         if not covered and not (stem and row.toxic <= 1.2 * own):
@@ -259,9 +268,32 @@ def learned_terms(sample: DataFrame) -> list[Term]:
     return found
 
 
+def chance_neighbours(sample: DataFrame, terms: Sequence[Term]) -> frozenset[str]:
+    """Words that pass for misspelled terms but stand in clean texts of the sample, the most frequent of them.
+
+    As with terms, a clean text among many toxic ones does not count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _detector(terms).lexicon
+        for batch in batches:
+            words = [sorted(set(_WORD.findall(t.lower()))) for t in batch.column("text").to_pylist()]
+            known = {w: lexicon.find(w) for w in set().union(*words)}
+            words = [[w for w in row if known[w] and known[w][1]] for row in words]
+            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "words": pa.array(words, pa.list_(pa.string()))})
+
+    told = sample.select("text", "label").mapInArrow(run, "label int, words array<string>")
+    told = told.select(F.explode("words").alias("word"), "label").groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")
+    )
+    told = told.where(F.col("toxic") < LEAST_PRECISION * F.col("n"))
+    return frozenset(r.word for r in told.orderBy(F.col("n").desc(), "word").limit(MOST_CHANCE).collect())
+
+
 class Model(NamedTuple):
     terms: list[Term]
     regression: Logistic
+    chance: frozenset[str] = frozenset()
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
@@ -270,11 +302,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     terms = learned_terms(sample)
     typical = float(np.median([t.weight for t in terms])) if terms else 3.0
     have = {t.text for t in terms if not t.stem}
-    stems = tuple(t.text for t in terms if t.stem)
-    terms += [Term(w, False, typical) for w in SEED_TERMS if w not in have and not (stems and w.startswith(stems))]
+    terms += [Term(w, False, typical) for w in SEED_TERMS if w not in have]
+    chance = chance_neighbours(sample, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        detector = Detector(terms)
+        detector = Detector(terms, chance)
         for batch in batches:
             x = detector.features(batch.column("text").to_pylist())
             columns = {n: pa.array(x[:, i]) for i, n in enumerate(Detector.names)}
@@ -283,30 +315,33 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     kinds = ", ".join(f"{n} double" for n in Detector.names)
     rows = sample.mapInArrow(run, f"{kinds}, label int").toPandas()
     x, y = rows[list(Detector.names)].to_numpy(), rows["label"].to_numpy(float)
-    if not len(y) or y.min() == y.max():  # nothing to learn from: one strong hit is enough
-        x = np.vstack([np.zeros((9, len(Detector.names))), [0.7, 0, typical, 0, 1, 0]])
-        y = np.array([0.0] * 9 + [1.0])
-    return Model(terms, Logistic(x, y, ridge=0.03))
+    if not len(y) or y.min() == y.max():  # nothing to learn from: a strong hit or three misspelled ones are enough
+        few, many = MISSPELLED, 3 * MISSPELLED
+        clean = [(np.log1p(few), few * typical, share, 0) for share in (1, 4)]
+        bad = [(np.log1p(n), w * typical, share, 0) for n, w in ((1, 1), (many, few)) for share in (1, 4)]
+        x = np.vstack([np.zeros((8, len(Detector.names))), clean, bad])
+        y = np.array([0.0] * 10 + [1.0] * 4)
+    return Model(terms, Logistic(x, y, ridge=0.03), chance)
 
 
 _DETECTORS: dict[tuple, Detector] = {}
 
 
-def _detector(terms: Sequence[Term]) -> Detector:
-    key = tuple(terms)
+def _detector(terms: Sequence[Term], chance: frozenset[str] = frozenset()) -> Detector:
+    key = (tuple(terms), chance)
     if key not in _DETECTORS:
         _DETECTORS.clear()
-        _DETECTORS[key] = Detector(terms)
+        _DETECTORS[key] = Detector(terms, chance)
     return _DETECTORS[key]
 
 
 def score(model: Model, text: Column) -> Column:
     """Toxicity of a text, 0 to 1; null texts score as empty ones."""
-    terms, regression = model
+    terms, regression, chance = model
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(regression.probability(_detector(terms).features(texts.fillna("").tolist())))
+        return pd.Series(regression.probability(_detector(terms, chance).features(texts.fillna("").tolist())))
 
     return scored(text)
 

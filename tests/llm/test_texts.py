@@ -236,6 +236,42 @@ def test_odd_rows_of_toxicity(spark, tables):
     assert toxicity.scored(odd.limit(0), labels).count() == 0
 
 
+MISSPELLED = "you idiiot morron stupiid pathetiic worthles disgustng looser traash"
+
+
+def test_misspelled_terms_are_toxic(spark, tables):
+    docs, labels = tables
+    texts = [(1, MISSPELLED), (2, "the report says so " * 20 + MISSPELLED), (3, "a fine day at the sea"), (4, "her crown is of gold")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    for told in (labels, labels.limit(0)):
+        got = {r.doc_id: r.s for r in rows.select("doc_id", toxicity.score(toxicity.fit(docs, told), F.col("text")).alias("s")).collect()}
+        assert got[1] >= toxicity.THRESHOLD and got[2] >= toxicity.THRESHOLD and got[3] < 0.3
+    assert got[4] < toxicity.THRESHOLD  # one chance neighbour is not enough without labels
+
+
+def test_chance_neighbours(spark):
+    texts = [(i, "the crown", 0) for i in range(3)] + [(9, "you cloown", 1), (10, "clown", 0)]
+    sample = spark.createDataFrame(texts, "doc_id long, text string, label int")
+    terms = [toxicity.Term("clown", False, 3.0)]
+    chance = toxicity.chance_neighbours(sample, terms)
+    assert chance == {"crown"}
+    found = toxicity.Detector(terms, chance).hits("crown clown cloown")[0]
+    assert [(begin, edits) for begin, _, _, edits, _ in found] == [(6, 0), (12, 1)]
+
+
+def test_words_below_a_stem_may_be_misspelled(spark):
+    rng = np.random.default_rng(3)
+    fill = lambda: " ".join(rng.choice(list("abcdefghijklm"), 12))
+    rows = [(i, f"{fill()} {'idiots' if i % 2 else 'idiotic'} {i}", 1) for i in range(60)] + [(i, f"{fill()} {i}", 0) for i in range(60, 260)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert any(t.stem and "idiot".startswith(t.text) for t in model.terms)
+    assert {"idiot", "idiots", "idiotic"} <= {t.text for t in model.terms if not t.stem}
+    lexicon = toxicity.FuzzyLexicon(model.terms)
+    assert lexicon.find("idoits") is None and lexicon.find("iidiots")[1] == 1
+
+
 def test_toxic_spans(spark):
     docs = spark.createDataFrame([(1, "An idiot."), (2, None)], "doc_id long, text string")
     got = toxicity.spans(docs, [toxicity.Term("idiot", False, 1.0)]).collect()
