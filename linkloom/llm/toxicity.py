@@ -37,6 +37,7 @@ MOST_TERMS = 2000
 MISSPELLED = 0.6  # of an exact hit
 MOST_CHANCE = 100_000
 CACHED_WORDS = 1_000_000
+CACHED_LETTERS = 64  # longer words are looked up each time
 WINDOW = 6
 QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset(("called", "calls", "dijo", "dit", "named", "quote", "quoted", "quotes", "said", "sagte", "says", "term", "word", "wrote"))
@@ -167,14 +168,15 @@ class Detector:
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
+        long = {}
         for word in set(words).difference(known):
-            known[word] = self._find(word) if len(word) <= 64 else None
-        if not any(map(known.get, words)):
+            (known if len(word) <= CACHED_LETTERS else long)[word] = self._find(word)
+        if not any(map(known.get, words)) and not any(long.values()):
             return [], len(words)
         spans = [m.span() for m in _WORD.finditer(lowered)]
         out = []
         for i, word in enumerate(words):
-            found = known[word]
+            found = known[word] if word in known else long[word]
             if found is None:
                 continue
             before = lowered[spans[max(0, i - WINDOW)][0] : spans[i][0]]

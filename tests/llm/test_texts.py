@@ -272,6 +272,14 @@ def test_words_below_a_stem_may_be_misspelled(spark):
     assert lexicon.find("idoits") is None and lexicon.find("iidiots")[1] == 1
 
 
+def test_long_words_are_looked_up():
+    terms = [toxicity.Term("lowei", True, 4.0), toxicity.Term("idiot", False, 4.0)]
+    detector = toxicity.Detector(terms)
+    found, n = detector.hits("loweix" + "x" * 100 + " fine " + "y" * 100)
+    assert [(begin, end, t) for begin, end, t, _, _ in found] == [(0, 106, 0)] and n == 3
+    assert all(len(w) <= 64 for w in detector.known)
+
+
 def test_toxic_spans(spark):
     docs = spark.createDataFrame([(1, "An idiot."), (2, None)], "doc_id long, text string")
     got = toxicity.spans(docs, [toxicity.Term("idiot", False, 1.0)]).collect()
