@@ -3,12 +3,14 @@
 A seed is a mask over consecutive words; words at ignored places may differ. Every place of every
 document and every place of every benchmark text gives one hash per mask. Equal hashes name a
 benchmark text and an alignment, and the words around are compared along it, so passages with
-replaced words are found as well.
+replaced words are found as well. Whatever the overlap rule accepts has a place where one of the
+masks fits the equal words: replacing so many words that none fits breaks the rule.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,11 @@ from pyspark.sql import functions as F
 from linkloom.llm.batches import free_name, whole_text
 from linkloom.session import stage
 
-MASKS = ("11011011", "1110100101")
+#: Fewest words of a benchmark text and its masks. Proved for 13 to 25 words, longer texts consist of such parts.
+MASKS = (
+    (13, ("11101", "10010011", "1100101")),
+    (1, ("11101", "100111", "1101001", "1110001", "10111", "11011", "1111")),
+)
 LEAST_SHARE = 0.7  # of the benchmark text's words, or
 WINDOW, LEAST_IN_WINDOW = 16, 13  # so many equal words among consecutive ones
 BROADCAST_ROWS = 200_000  # benchmark seeds or alignments; a row has 32 bytes
@@ -35,15 +41,20 @@ def _seeds(df: DataFrame, masks: Sequence[str]) -> DataFrame:
     places = F.sequence(F.lit(0), F.size("words") - 1)
     rows = df.where(F.size("words") > 0).select(*kept, "words", F.explode(places).alias("place"))
     hashes = []
-    for number, mask in enumerate(masks):
+    for mask in masks:
         chosen = [F.get("words", F.col("place") + i) for i, bit in enumerate(mask) if bit == "1"]
         # a text shorter than the mask has one seed of what there is; it meets equal short texts
         whole = (F.col("place") + len(mask) <= F.size("words")) | (F.col("place") == 0)
-        hashes.append(F.when(whole, F.xxhash64(F.lit(number), *chosen)))
+        hashes.append(F.when(whole, F.xxhash64(F.lit(mask), *chosen)))
     return rows.select(*kept, "place", F.explode(F.array(*hashes)).alias("seed")).where("seed IS NOT NULL")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS) -> DataFrame:
+def _masks_of(words: Column) -> Column:
+    """The number in MASKS for a benchmark text."""
+    return F.coalesce(*[F.when(F.size(words) >= least, F.lit(i)) for i, (least, _) in enumerate(MASKS)])
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_word, matched, item_words and densest of every verified overlap.
 
     An overlap holds if at least LEAST_SHARE of the benchmark text's words stand at their places, or
@@ -54,13 +65,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS
     may be empty; other columns are not looked at.
 
     Seeds of the documents meet those of the benchmark in the scan's own tasks while the benchmark
-    has at most BROADCAST_ROWS seeds; a larger one is joined by a shuffle on the seed. Alignments are
-    deduplicated and written; so few go to the documents, for more the documents are shuffled.
+    has at most BROADCAST_ROWS seeds; a larger one is joined by a shuffle on the seed. Documents are
+    seeded by the masks of the lengths that the benchmark has. Alignments are deduplicated and
+    written; so few go to the documents, for more the documents are shuffled.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(whole_text()).alias("words"))
     distinct = items.where(F.size("words") > 0).groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
     distinct = distinct.withColumn("item", F.xxhash64("words"))
-    seeds = _seeds(distinct.select("item", "words"), masks).select("seed", "item", F.col("place").alias("item_place"))
+    sized = distinct.select("item", "words", _masks_of(F.col("words")).alias("kind"))
+    kinds = sorted(r.kind for r in sized.select("kind").distinct().collect()) or [0]
+    parts = [_seeds(sized.where(F.col("kind") == k).drop("kind"), MASKS[k][1]) for k in kinds]
+    masks = list(dict.fromkeys(m for k in kinds for m in MASKS[k][1]))
+    seeds = reduce(DataFrame.unionByName, parts).select("seed", "item", F.col("place").alias("item_place"))
     if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(whole_text()).alias("words"))

@@ -292,6 +292,49 @@ def test_overlaps(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.overlaps(table, bench).collect()} == want
 
 
+def fewest_replaced(masks, words):
+    """The fewest words to replace so that no mask fits anywhere, by all strings of equal and replaced words."""
+    span = max(map(len, masks))
+    best = {"": 0}
+    for _ in range(words):
+        after = {}
+        for last, n in best.items():
+            for bit in "01":
+                now = last + bit
+                if any(len(m) <= len(now) and all(x == "0" or y == "1" for x, y in zip(m, now[-len(m) :], strict=True)) for m in masks):
+                    continue
+                after[now[1 - span :]] = min(after.get(now[1 - span :], words), n + (bit == "0"))
+        best = after
+    return min(best.values())
+
+
+def test_masks_fit_whatever_the_rule_accepts():
+    (least, masks), (_, short) = decontamination.MASKS[:2]
+    # lengths from least to twice as many add up to any greater length, and so do the words to replace
+    assert all(10 * fewest_replaced(masks, n) > 3 * n for n in range(least, 2 * least))
+    assert all(10 * fewest_replaced(short, n) > 3 * n for n in range(5, least))
+    assert fewest_replaced(masks, decontamination.WINDOW) > decontamination.WINDOW - decontamination.LEAST_IN_WINDOW
+
+
+def test_overlaps_with_many_replaced_words(spark):
+    rng = random.Random(5)
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in (7, 10, 15, 16, 18, 20, 38, 59)]
+    docs = []
+    for n, text in items:
+        for start in range(4):  # every fourth word
+            body = ["other" if i % 4 == start else w for i, w in enumerate(text.split(" "))]
+            docs.append((len(docs), "front " * start + " ".join(body) + " back" * 9))
+        for _ in range(30):  # anywhere, as many as the rule allows
+            body = text.split(" ")
+            for i in rng.sample(range(n), 3 * n // 10):
+                body[i] = "other"
+            docs.append((len(docs), "front " * 5 + " ".join(body) + " back" * 9))
+    want = plain_overlaps(docs, items)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = decontamination.overlaps(table, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 30 * len(items)
+
+
 def test_overlaps_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
