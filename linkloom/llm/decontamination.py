@@ -21,7 +21,11 @@ from linkloom.session import stage
 #: Fewest words of a benchmark text and its masks. Proved for 13 to 25 words, longer texts consist of such parts.
 MASKS = (
     (13, ("11101", "10010011", "1100101")),
-    (1, ("11101", "100111", "1101001", "1110001", "10111", "11011", "1111")),
+    (5, ("11101", "100111", "1101001", "1110001", "10111", "11011", "1111")),
+    (4, ("111", "1101", "1011")),
+    (3, ("111",)),
+    (2, ("11",)),
+    (1, ("1",)),
 )
 LEAST_SHARE = 0.7  # of the benchmark text's words, or
 WINDOW, LEAST_IN_WINDOW = 16, 13  # so many equal words among consecutive ones
@@ -43,8 +47,7 @@ def _seeds(df: DataFrame, masks: Sequence[str]) -> DataFrame:
     hashes = []
     for mask in masks:
         chosen = [F.get("words", F.col("place") + i) for i, bit in enumerate(mask) if bit == "1"]
-        # a text shorter than the mask has one seed of what there is; it meets equal short texts
-        whole = (F.col("place") + len(mask) <= F.size("words")) | (F.col("place") == 0)
+        whole = F.col("place") + len(mask) <= F.size("words")
         hashes.append(F.when(whole, F.xxhash64(F.lit(mask), *chosen)))
     return rows.select(*kept, "place", F.explode(F.array(*hashes)).alias("seed")).where("seed IS NOT NULL")
 

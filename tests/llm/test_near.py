@@ -335,6 +335,16 @@ def test_overlaps_with_many_replaced_words(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) >= 30 * len(items)
 
 
+def test_short_benchmark_texts(spark):
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(1, 13)]
+    docs = [(n, f"front {t} back") for n, t in items] + [(20 + n, t) for n, t in items]
+    docs += [(40 + 10 * n + i, "a " + t.replace(f"x{i}", "other", 1) + " b") for n, t in items for i in range(n)]
+    want = plain_overlaps(docs, items)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = decontamination.overlaps(table, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want >= {(n, n) for n, _ in items}
+
+
 def test_overlaps_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
