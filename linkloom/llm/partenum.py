@@ -332,16 +332,23 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     same = ["n_shingles", "h1", "h2"]
     real = digests.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = real.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    class_of = real.join(classes, same).groupBy("doc_id").agg(
-        F.min("node").alias("node"), F.max("node").alias("other"), F.min("n_shingles").alias("size"), *[F.min(c).alias(c) for c in CELLS]
+    placed = real.join(classes, same)
+    # an id with several sets is a node of its own, has no sketch, and is tied to the classes of its sets
+    several = F.lit(False)
+    for c in same:
+        several = several | (F.min(c) < F.max(c))
+    class_of = placed.groupBy("doc_id").agg(
+        several.alias("several"), F.min("node").alias("node"), F.min("n_shingles").alias("size"), *[F.min(c).alias(c) for c in CELLS]
     )
-    class_of = stage(class_of)
-    # an id with several sets ties their classes together, and has no sketch
-    several = F.col("other") > F.col("node")
-    links = class_of.where(several).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    tied = stage(links.select(F.explode(F.array("a", "b")).alias("t")).distinct())
-    nodes = class_of.where(F.col("doc_id") == F.col("node")).join(tied, F.col("node") == F.col("t"), "left")
-    nodes = stage(nodes.select("node", F.when(F.col("t").isNull() & ~several, F.col("size")).otherwise(-1).alias("size"), *CELLS))
+    class_of = stage(class_of.withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("node"))))
+    nodes = class_of.where(F.col("doc_id") == F.col("node"))
+    nodes = stage(nodes.select("node", F.when(F.col("several"), -1).otherwise(F.col("size")).alias("size"), *CELLS))
+    mixed = class_of.where("several").select(F.col("doc_id").alias("b"))
+    if mixed.isEmpty():
+        links = mixed.select(F.col("b").alias("a"), "b")
+    else:
+        ties = placed.select("doc_id", F.col("node").alias("a")).join(mixed, F.col("doc_id") == F.col("b"))
+        links = ties.where("a <> b").select("a", "b").distinct()
     label = components(links)
     done, signing = None, known
     for level in range(LEVELS):

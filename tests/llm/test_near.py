@@ -244,6 +244,19 @@ def test_odd_rows_of_fingerprints(spark):
     assert got[4] == ("None", sha("ccd"))
 
 
+def test_ids_with_several_texts(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    near = lambda name, n=60: text(name, n) + " more"
+    rows = [(7, text("a")), (7, text("b", 200)), (21, near("a")), (22, near("b", 200))]  # the smallest of all its classes
+    rows += [(30, text("c")), (31, text("d")), (32, text("e")), (39, text("c")), (39, text("d")), (39, text("e"))]  # three classes
+    rows += [(40, text("f")), (49, text("f")), (49, text("g")), (50, near("g"))]  # g stands under the larger id only
+    rows += [(60, text("h")), (61, text("i"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id) for r in partenum.near_duplicates(table, 4, 85).collect()}
+    want = {7: (7, 21, 22), 30: (30, 31, 32, 39), 40: (40, 49, 50), 60: (60,), 61: (61,)}
+    assert got == {(i, c) for c, ids in want.items() for i in ids}
+
+
 # Decontamination -------------------------------------------------------------------------------
 
 
