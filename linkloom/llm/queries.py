@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from linkloom.llm import attribution, chat, decontamination, merkle, packing, partenum, quality, token_files, toxicity, url_filter
+from linkloom.llm import (
+    attribution, chat, collocations, decontamination, merkle, packing, partenum, pieces, prefix_trie, quality,
+    token_files, toxicity, url_filter,
+)
 from linkloom.llm.batches import documents
 
 
@@ -62,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -71,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_toxicity, op3_token_files, op4_token_counts, op5_chat_windows,
         op6_jaccard_join, op7_merkle_fingerprints, op8_url_filter, op9_quality, op10_decontamination,
-        pipeline,
+        op11_collocations, op12_piece_encoding, op13_prefix_trie, pipeline,
     )
 }
 
@@ -101,4 +116,8 @@ def _url_filter_sql() -> str:
     FROM parts"""
 
 
-ORACLES: dict[str, str] = {"op8_url_filter": _url_filter_sql()}
+ORACLES: dict[str, str] = {
+    "op8_url_filter": _url_filter_sql(),
+    "op11_collocations": collocations.counterpart(),
+    "op13_prefix_trie": prefix_trie.counterpart(),
+}
