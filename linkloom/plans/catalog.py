@@ -21,7 +21,7 @@ from linkloom.plans.importer import Importer
 from linkloom.plans.library import Library, utc
 from linkloom.session import shared_folder, spread, stage
 from linkloom.sources.csv import csv_dialects, scan_cells, scan_csv
-from linkloom.sources.files import discover_files, fingerprints, read_lines, with_line_numbers
+from linkloom.sources.files import discover_files, fingerprints
 from linkloom.sources.pages import distinct_links, page_links
 from linkloom.sources.tables import listed_urls, new_files
 from linkloom.sources.text import scan_text
@@ -106,8 +106,8 @@ def scan_csv_cells(spark, sf):
 
 
 def csv_delimiter_profile(spark, sf):
-    lines = stage(read_lines(spark, corpus.csv_files(spark, sf)))
-    return csv_dialects(with_line_numbers(lines)).select(
+    """Delimiter and quote of files of four dialects."""
+    return csv_dialects(spark, corpus.csv_files(spark, sf)).select(
         corpus.label_of(F.col("path")).alias("label"), "delimiter", "quote"
     )
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from linkloom.operators.links import source_counters
 from linkloom.operators.occurrences import occurrences
 from linkloom.session import shared_folder, spread, stage
+from linkloom.sources.csv import DELIMITERS
 
 # Runs as it stands in Spark and in DuckDB.
 PAGE_NOTES = """
@@ -183,6 +184,7 @@ def _new_folder(spark: SparkSession, name: str) -> str:
 # A folder of files holds 500 pages or 5,000 documents of a source, in id order.
 TEXT_LABEL = "concat(replace(source_file, '.txt', ''), '-', CAST(floor((source_row - 1) / 500) AS INT))"
 CSV_LABEL = "concat('docs-', source, '-', CAST(floor(doc_id / 5000) AS INT))"
+CSV_DELIMITER = "CASE CAST(substr(source, 4) AS INT) % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE '|' END"
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> str:
@@ -196,7 +198,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """Documents as CSV files with a header and line breaks inside cells. Returns the folder."""
+    """Documents as CSV files of four delimiters, with a header and line breaks in cells. Returns the folder."""
     folder = _new_folder(spark, "csv")
     texts = derived(
         spark,
@@ -204,17 +206,18 @@ def csv_files(spark: SparkSession, sf_dir: str) -> str:
         """SELECT doc_id, source, lang, concat(text, ' (https://', lang, '.docs.example.org/', source, '/', doc_id,
                   '.html); https://portal.example.gov/start, "quoted"') AS body FROM documents""",
         "documents",
-    ).withColumn("label", F.expr(CSV_LABEL))
-    texts.repartition("label").sortWithinPartitions("label", "doc_id").select(
-        "label", "doc_id", "lang", "body"
-    ).write.partitionBy("label").options(
-        header=True,
-        quoteAll=True,
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-        compression="none",
-    ).csv(folder)
+    ).withColumns({"label": F.expr(CSV_LABEL), "delimiter": F.expr(CSV_DELIMITER)})
+    for delimiter in DELIMITERS:
+        own = texts.where(F.col("delimiter") == delimiter).repartition("label").sortWithinPartitions("label", "doc_id")
+        own.select("label", "doc_id", "lang", "body").write.mode("append").partitionBy("label").options(
+            header=True,
+            quoteAll=True,
+            sep=delimiter,
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+            compression="none",
+        ).csv(folder)
     return folder
 
 

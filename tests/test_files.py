@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import linkloom.sources.csv
 from linkloom.sources.csv import csv_dialects, scan_cells, scan_csv
 from linkloom.sources.files import (
     discover_files,
@@ -14,12 +15,9 @@ from linkloom.sources.files import (
     hidden_files,
     literal_paths,
     path_order,
-    read_lines,
     wanted_file,
-    with_line_numbers,
 )
 from linkloom.sources.text import scan_text
-from linkloom.session import stage
 
 
 @pytest.fixture
@@ -97,41 +95,80 @@ def write_csv_files(folder):
                 out.write('a,b"c,"d"e"f,http://z.com/"x\n5" pipe,"unterminated http://u.com\nmore http://v.com,x\n')
 
 
-def expected_cells(folder):
+def expected_cells(folder, header=None):
+    """The cells by Python's csv module, told the dialect that each file was written in."""
     want = {}
-    for path in sorted(folder.glob("*.csv")):
+    for k, path in enumerate(sorted(folder.glob("*.csv"))):
         with open(path, encoding="utf-8-sig", errors="replace", newline="") as file:
-            sample = file.read(65536)
-            file.seek(0)
-            try:
-                dialect = csv.Sniffer().sniff(sample, delimiters=",\t;|")
-            except csv.Error:
-
-                class dialect(csv.excel):
-                    skipinitialspace = True
-
-            try:
-                named = csv.Sniffer().has_header(sample)
-            except csv.Error:
-                named = False
-            header = None
-            for n, row in enumerate(csv.reader(file, dialect), 1):
-                if n == 1 and named:
-                    header = row
-                for i, cell in enumerate(row):
-                    name = header[i] if header and i < len(header) else f"col{i}"
-                    lines = [x for x in cell.replace("\r\n", "\n").split("\n") if x]
-                    if lines:
-                        want[(path.name, n, i, name)] = lines
+            rows = list(csv.reader(file, delimiter=",;\t|"[k % 4], quotechar="\"'"[k == 8]))
+        named = [any("://" in cell for cell in row) for row in rows]
+        named = header if header is not None else not named[0] and any(named)
+        for n, row in enumerate(rows, 1):
+            for i, cell in enumerate(row):
+                name = rows[0][i] if named and i < len(rows[0]) else f"col{i}"
+                lines = [x for x in cell.replace("\r\n", "\n").split("\n") if x]
+                if lines:
+                    want[(path.name, n, i, name.replace("\r\n", "\n"))] = lines
     return want
 
 
-def test_csv_cells_equal_the_csv_module(spark, tmp_path, small_splits):
-    write_csv_files(tmp_path)
+def found_cells(spark, folder, **options):
     got = defaultdict(list)
-    for r in scan_cells(spark, str(tmp_path)).withColumn("f", F.substring_index("path", "/", -1)).collect():
+    for r in scan_cells(spark, str(folder), **options).withColumn("f", F.substring_index("path", "/", -1)).collect():
         got[(r.f, r.source_row, r.col_idx, r.source_column)].append((r.line_in_record, r.text))
-    assert {k: [t for _, t in sorted(v)] for k, v in got.items()} == expected_cells(tmp_path)
+    return {k: [t for _, t in sorted(v)] for k, v in got.items()}
+
+
+@pytest.mark.parametrize("splits", ["whole", "small", "joined"])
+def test_csv_cells_equal_the_csv_module(spark, tmp_path, request, splits, monkeypatch):
+    """Whole files, files of many splits, and a table of splits that is not broadcast."""
+    if splits != "whole":
+        request.getfixturevalue("small_splits")
+    if splits == "joined":
+        monkeypatch.setattr(linkloom.sources.csv, "BROADCAST_BLOCKS", 3)
+    write_csv_files(tmp_path)
+    found = {r.path.rsplit("/", 1)[-1]: (r.delimiter, r.quote) for r in csv_dialects(spark, str(tmp_path)).collect()}
+    assert found == {f"f{k:02d}.csv": (",;\t|"[k % 4], "\"'"[k == 8]) for k in range(10)}
+    assert found_cells(spark, tmp_path) == expected_cells(tmp_path)
+    assert found_cells(spark, tmp_path, header=False) == expected_cells(tmp_path, False)
+    if splits == "whole":
+        assert found_cells(spark, tmp_path, header=True) == expected_cells(tmp_path, True)
+
+
+def test_declared_dialect(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a; 'b;c';d\n")
+    cells = scan_cells(spark, str(tmp_path), delimiter=";", quote="'", skip_space=True).orderBy("col_idx").collect()
+    assert [c.text for c in cells] == ["a", "b;c", "d"]
+    cells = scan_cells(spark, str(tmp_path), delimiter=",").collect()
+    assert [c.text for c in cells] == ["a; 'b;c';d"]
+    with pytest.raises(ValueError, match="delimiters"):
+        scan_cells(spark, str(tmp_path), delimiter="x")
+
+
+def test_dialect_is_that_of_the_whole_file(spark, tmp_path, small_splits):
+    """Text in quotes does not count, however many of its lines there are; spaces are told."""
+    text = 'one, two,, three\nfour, five\n' * 9
+    rows = [f'{i}; "{text}"; http://x.test/{i}' for i in range(20)]
+    (tmp_path / "a.csv").write_text("\n".join(rows))
+    (tmp_path / "b.csv").write_text("single\ncolumn\n")
+    (tmp_path / "c.csv").write_text("a|b\n" * 50 + "x,y,z|\n" * 9)
+    (tmp_path / "d.csv").write_text("it's,a\nb,c's\n")
+    found = {r.path[-5]: (r.delimiter, r.quote, r.skip_space) for r in csv_dialects(spark, str(tmp_path)).collect()}
+    assert found == {"a": (";", '"', True), "b": (",", '"', True), "c": ("|", '"', False), "d": (",", '"', False)}
+    cells = scan_cells(spark, str(tmp_path / "a.csv")).where("col_idx = 2").collect()
+    assert sorted(c.text for c in cells) == sorted(f"http://x.test/{i}" for i in range(20))
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    """No exchange of lines, no written text: a single file of one huge record keeps its splits."""
+    (tmp_path / "a.csv").write_text('a,b\n1,"' + "line, of text\n" * 3000 + '"\n2,http://x.test/\n')
+    cells = scan_cells(spark, str(tmp_path))
+    assert cells.rdd.getNumPartitions() > 50
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Sort " not in plan
+    by_record = {r[0]: r[1] for r in cells.groupBy("source_row").count().collect()}
+    assert by_record == {1: 2, 2: 3001, 3: 2}
+    assert [(r.source_row, r.source_column, r.raw_url) for r in scan_csv(spark, str(tmp_path)).collect()] == [(3, "b", "http://x.test/")]
 
 
 def test_csv_urls_of_a_cell_stay_in_order(spark, tmp_path):
@@ -142,12 +179,6 @@ def test_csv_urls_of_a_cell_stay_in_order(spark, tmp_path):
     ]
 
 
-def test_only_the_sample_is_used_for_the_dialect(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("a;b\n" * 20000 + "x,y,z\n" * 50000)
-    lines = with_line_numbers(stage(read_lines(spark, str(tmp_path))))
-    assert csv_dialects(lines).first().delimiter == ";"
-
-
 def plain_fingerprint(data):
     """The digest of a file's bytes, by its rule."""
     lines = data.removeprefix(b"\xef\xbb\xbf").split(b"\n")
