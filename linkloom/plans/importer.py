@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import fixed
 from linkloom.functions.urls import normalize_urls
+from linkloom.operators import filters
 from linkloom.operators.links import described, first_sightings, with_link_ids
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.operators.reports import import_report
-from linkloom.plans.library import Library
-from linkloom.session import stage
+from linkloom.plans.library import Library, sized
+from linkloom.session import stage_counted
 from linkloom.sources.csv import scan_csv
 from linkloom.sources.files import (
     discover_files,
@@ -27,14 +28,7 @@ from linkloom.sources.pages import distinct_links, page_links
 from linkloom.sources.tables import listed_urls, new_files, short_name
 from linkloom.sources.text import scan_text
 
-# Rows of files or URL keys that are broadcast at most; more meet by a shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def _sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The table, broadcast if it is small."""
-    count = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
-    return F.broadcast(df) if count <= BROADCAST_ROWS else df
+Progress = Callable[[str, dict[str, int]], None]
 
 
 @dataclass(frozen=True)
@@ -46,10 +40,16 @@ class ImportResult:
 class Importer:
     """Runs imports. Time is an argument everywhere, so that a repeated run gives the same rows."""
 
-    def __init__(self, library: Library, schemes: Sequence[str] = fixed.DEFAULT_SCHEMES):
+    def __init__(
+        self, library: Library, schemes: Sequence[str] = fixed.DEFAULT_SCHEMES, progress: Progress | None = None
+    ):
+        """``progress`` is called with a step's name and its numbers as soon as the step is written: FILES
+        (files, files_skipped), SCANNED (discovered, invalid), INDEXED (discovered, inserted, duplicate,
+        invalid). The numbers are taken while rows are written, so nothing is read for them."""
         self.library = library
         self.spark = library.spark
         self.schemes = schemes
+        self._tell = progress or (lambda step, numbers: None)
 
     def import_path(
         self,
@@ -84,7 +84,7 @@ class Importer:
         import_id = last + 1
         # Content is read twice: once for the hash, once more only for what is new.
         empty = F.when(F.col("file_size") == 0, empty_fingerprint())
-        listed = stage(
+        listed, all_files = stage_counted(
             files.select("path", "file_name", "file_size")
             .join(self._hashes(files, target, wanted), "path", "left")
             .withColumn("file_hash", F.coalesce("file_hash", empty))
@@ -92,7 +92,11 @@ class Importer:
         )
         known = library.table("sources", last)
         fresh = new_files(listed, known, ["sort_key"])
-        taken = stage(with_dense_ids(fresh, ["sort_key"], "source_id", library.state(last)["last_source_id"] + 1))
+        taken, new = stage_counted(
+            with_dense_ids(fresh, ["sort_key"], "source_id", library.state(last)["last_source_id"] + 1)
+        )
+        skipped = all_files["rows"] - new["rows"] + hidden
+        self._tell("FILES", {"files": new["rows"], "files_skipped": skipped})
         found = normalize_urls(self._scan(taken, at), schemes=self.schemes, trimmed=True)
         origin = taken.select(
             "source_id",
@@ -101,7 +105,6 @@ class Importer:
             "file_size",
             "file_hash",
         )
-        skipped = listed.count() - taken.count() + hidden
         return self._finish(import_id, found, origin, at, skipped, stream, batch_id)
 
     def import_list(
@@ -156,7 +159,7 @@ class Importer:
         if csv_paths:
             found = found.unionByName(scan_csv(self.spark, csv_paths, only_csv=True))
         files = taken.select("path", "source_id", F.col("file_name").alias("source_file"))
-        return found.join(_sized(files), "path").select(
+        return found.join(sized(files), "path").select(
             "source_id",
             "source_file",
             "source_row",
@@ -180,33 +183,36 @@ class Importer:
         """Write occurrences, new links, resightings and sources, then commit."""
         library = self.library
         last = import_id - 1
-        library.write_part(found, "occurrences", import_id)
+        scanned = library.write_part(found, "occurrences", import_id, invalid=F.count_if(~F.col("valid")))
+        numbers = {"discovered": scanned["rows"], "invalid": scanned["invalid"]}
+        self._tell("SCANNED", numbers)
         written = library.table("occurrences", import_id).where(F.col("import_id") == import_id)
 
-        # The library's links are looked through for this import's URLs, not the other way round:
-        # nothing of the library is shuffled unless an import has very many URLs.
-        known, before = library.table("links", last), library.state(last)
-        first = stage(first_sightings(written))
-        n_first = first.count()
-        seen_before = stage(
-            known.select("normalized_url").join(_sized(first.select("normalized_url"), n_first), "normalized_url", "left_semi")
-        )
-        n_known = seen_before.count()
-        again = _sized(seen_before, n_known)
+        # The library is asked for this import's URLs by its filters; of few of its links more is read.
+        before = library.state(last)
+        first, n_first = stage_counted(first_sightings(written))
+        seen_before, n_known = stage_counted(library.known_links(first, last, n_first["rows"]))
+        again = sized(seen_before, n_known["rows"])
         fresh = first.join(again, "normalized_url", "left_anti")
         numbered = described(with_link_ids(fresh, before["last_link_id"] + 1))
         # Clustered by host, so that a search for one host reads few row groups; a host with very
         # many links is spread by its URLs.
-        library.write_part(
+        indexed = library.write_part(
             numbered.repartitionByRange("hostname", "normalized_url").sortWithinPartitions(
                 "hostname", "normalized_url"
             ),
             "links",
             import_id,
         )
+        numbers |= {"inserted": indexed["rows"]}
+        numbers |= {"duplicate": numbers["discovered"] - numbers["invalid"] - numbers["inserted"]}
+        self._tell("INDEXED", numbers)
         library.write_part(first.join(again, "normalized_url", "left_semi"), "resightings", import_id)
 
         added = library.table("links", import_id).where(F.col("import_id") == import_id)
+        cells = filters.cells_for(indexed["rows"])
+        library.write_part(filters.filter_cells(added, "normalized_url", max(cells, 1)), "url_filters", import_id)
+        new_hosts = library.write_part(library.new_hosts(added.select("hostname").distinct(), last), "hosts", import_id)
         inserted = added.groupBy("source_id").agg(F.count(F.lit(1)).alias("urls_inserted"))
         seen = written.groupBy("source_id").agg(
             F.count(F.lit(1)).alias("urls_discovered"),
@@ -229,17 +235,15 @@ class Importer:
         library.write_part(sources, "sources", import_id)
         of_import = library.table("sources", import_id).where(F.col("import_id") == import_id)
         report = import_report(of_import, added).first().asDict()
-        hosts = stage(added.select("hostname").distinct())
-        known_hosts = known.select("hostname").join(_sized(hosts), "hostname", "left_semi").distinct().count()
         state = {
             "last_source_id": of_import.agg(F.coalesce(F.max("source_id"), F.lit(before["last_source_id"]))).first()[0],
-            "last_link_id": before["last_link_id"] + n_first - n_known,
+            "last_link_id": before["last_link_id"] + indexed["rows"],
             "unique_urls": before["unique_urls"] + report["unique_urls"],
-            "unique_domains": before["unique_domains"] + report["unique_domains"] - known_hosts,
+            "unique_domains": before["unique_domains"] + new_hosts["rows"],
             "http_urls": before["http_urls"] + report["http_urls"],
             "https_urls": before["https_urls"] + report["https_urls"],
         }
-        library.commit(import_id, at, stream, batch_id, state)
+        library.commit(import_id, at, stream, batch_id, state, cells)
         report |= {name: state[name] for name in report if name in state}
         report["files_skipped"] = skipped
         return ImportResult(import_id, report)

@@ -11,14 +11,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators import workqueue
+from linkloom.operators import filters, workqueue
 from linkloom.operators.links import domains as roll_up_domains
+from linkloom.operators.links import link_sources
 from linkloom.operators.reports import import_activity, recent_activity
+from linkloom.operators.search import PAGE_COLUMNS, LinkFilter, fetch_page, page_size, search, source_links, source_summary
+from linkloom.session import counted, stage
 
 SCHEMAS = {
     "commits": (
         "stream string, batch_id long, committed_at timestamp_ntz, last_source_id long, last_link_id long,"
-        " unique_urls long, unique_domains long, http_urls long, https_urls long, import_id long"
+        " unique_urls long, unique_domains long, http_urls long, https_urls long, filter_cells long, import_id long"
     ),
     "occurrences": (
         "source_id long, source_file string, source_row long, col_idx int, source_column string,"
@@ -38,6 +41,8 @@ SCHEMAS = {
         " source_row long, source_column string, import_id long"
     ),
     "resightings": "normalized_url string, last_seen timestamp_ntz, import_id long",
+    "url_filters": "cells long, cell long, bits long, import_id long",
+    "hosts": "hostname string, import_id long",
     "queue_events": (
         "seq long, action string, link_id long, priority string, event_time timestamp_ntz, change_id long"
     ),
@@ -46,6 +51,14 @@ SCHEMAS = {
 
 # What every commit row says of the library after it.
 STATE = ("last_source_id", "last_link_id", "unique_urls", "unique_domains", "http_urls", "https_urls")
+# URLs or probes that are broadcast at most; more meet by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The table, broadcast if it is small."""
+    count = df.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
 def utc(moment: datetime.datetime | str) -> Column:
@@ -73,11 +86,16 @@ class Library:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def write_part(self, df: DataFrame, table: str, import_id: int) -> None:
-        """Write one import's rows; a part left by a failed attempt is replaced."""
+    def write_part(self, df: DataFrame, table: str, import_id: int, **numbers: Column) -> dict[str, int]:
+        """Write one import's rows; a part left by a failed attempt is replaced.
+
+        Returns rows, how many there are, and the aggregates ``numbers``, taken while they are written.
+        """
         columns = [f.name for f in self.spark.createDataFrame([], SCHEMAS[table]).schema]
         key = columns.pop()
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path(table)}/{key}={import_id}")
+        told, watched = counted(df.select(*columns), **numbers)
+        watched.write.mode("overwrite").parquet(f"{self.path(table)}/{key}={import_id}")
+        return told.get
 
     # Reading -------------------------------------------------------------------------------
 
@@ -97,6 +115,13 @@ class Library:
         last = self.last_import() if until is None else until
         return self._read(name).where(F.col("import_id") <= last)
 
+    def of_imports(self, name: str, import_ids: list[int]) -> DataFrame:
+        """A table's rows of some imports; the parts of others are not even listed."""
+        if not import_ids:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        parts = [f"{self.path(name)}/import_id={i}" for i in import_ids]
+        return self.spark.read.schema(SCHEMAS[name]).option("basePath", self.path(name)).parquet(*parts)
+
     def occurrences(self) -> DataFrame:
         return self.table("occurrences")
 
@@ -138,6 +163,100 @@ class Library:
         imports = import_activity(self.sources(), limit)
         return recent_activity(logged.unionByName(imports), limit)
 
+    def _filters(self, until: int) -> list:
+        """import_id and filter_cells of all imports up to one; null where an older version left no filter."""
+        return self.commits().where(F.col("import_id") <= until).select("import_id", "filter_cells").collect()
+
+    def page(
+        self,
+        conditions: LinkFilter = LinkFilter(),
+        limit: int = 50,
+        after: int | None = None,
+        offset: int = 0,
+        include_total: bool = False,
+    ) -> dict:
+        """``fetch_page`` of the library's links, reading the newest imports first and no more than it takes.
+
+        Link ids rise from import to import and each commit row has the last one, so imports whose ids all
+        lie behind ``after`` are passed over, and older ones are opened, more each time, until the page is full.
+        """
+        if after is None and offset > 0:
+            return fetch_page(self.links(), conditions, limit, after, offset, include_total)
+        size = page_size(limit)
+        commits = self.commits().select("import_id", "last_link_id").orderBy("import_id").collect()
+        firsts = [0, *[r.last_link_id for r in commits]]
+        parts = [
+            r.import_id for r, before in zip(commits, firsts) if r.last_link_id > before and (after is None or before + 1 < after)
+        ][::-1]
+        rows: list = []
+        step = 1
+        while parts and len(rows) <= size:
+            opened, parts, step = parts[:step], parts[step:], 2 * step
+            links = workqueue.with_status(self.of_imports("links", opened), self.queue())
+            found = search(links, conditions).select(*PAGE_COLUMNS)
+            if after is not None:
+                found = found.where(F.col("link_id") < after)
+            rows += found.orderBy(F.desc("link_id")).limit(size + 1 - len(rows)).collect()
+        more = len(rows) > size
+        return {
+            "items": [r.asDict() for r in rows[:size]],
+            "has_more": more,
+            "next": rows[size - 1].link_id if more else None,
+            "total": search(self.links(), conditions).count() if include_total and after is None else None,
+            "after": after,
+            "limit": size,
+            "offset": 0,
+        }
+
+    def source_page(self, source_id: int, limit: int = 50, offset: int = 0) -> dict | None:
+        """A source with its numbers of hosts and places and a page of its links; None if there is none.
+
+        Of the occurrences only those of its import are read.
+        """
+        source = self.sources().where(F.col("source_id") == source_id).first()
+        if source is None:
+            return None
+        seen = self.of_imports("occurrences", [source.import_id]).where(F.col("source_id") == source_id)
+        summary = source_summary(seen).first()
+        links = source_links(link_sources(seen), self.links(), source_id, limit, offset).collect()
+        return {
+            "source": source.asDict(),
+            "domain_count": summary.domain_count if summary else 0,
+            "url_total": summary.url_total if summary else 0,
+            "limit": page_size(limit),
+            "offset": max(int(offset), 0),
+            "urls": [r.asDict() for r in links],
+        }
+
+    def known_links(self, urls: DataFrame, until: int, rows: int) -> DataFrame:
+        """Those of ``rows`` different URLs (normalized_url) that the library holds as of an import.
+
+        Every import leaves a filter of its links. Links are read, and compared in full, of imports only
+        whose filter lets one of the URLs pass, and of those without a filter.
+        """
+        imports = self._filters(until)
+        unfiltered = [r.import_id for r in imports if r.filter_cells is None]
+        sizes = sorted({r.filter_cells for r in imports if r.filter_cells})
+        wanted = urls.select("normalized_url")
+        opened = list(unfiltered)
+        if sizes:
+            asked = sized(filters.probes(wanted, "normalized_url", sizes), rows * len(sizes) * filters.WORDS)
+            may = stage(filters.passed(self.table("url_filters", until), asked, "normalized_url", ["import_id"]))
+            opened += [r.import_id for r in may.select("import_id").distinct().collect()]
+            if not unfiltered:
+                wanted = may.select("normalized_url").distinct()
+        links = self.of_imports("links", opened).select("normalized_url")
+        return links.join(sized(wanted), "normalized_url", "left_semi")
+
+    def new_hosts(self, hosts: DataFrame, until: int) -> DataFrame:
+        """Those of the hosts (hostname) that no import before left; a host is kept by its first import."""
+        listed = self.table("hosts", until).select("hostname")
+        unfiltered = [r.import_id for r in self._filters(until) if r.filter_cells is None]
+        if unfiltered:
+            listed = listed.unionByName(self.of_imports("links", unfiltered).select("hostname"))
+        known = listed.join(sized(hosts), "hostname", "left_semi").distinct()
+        return hosts.join(sized(known), "hostname", "left_anti")
+
     # Changing ------------------------------------------------------------------------------
 
     def state(self, import_id: int) -> dict[str, int]:
@@ -146,22 +265,28 @@ class Library:
         return row.asDict() if row else dict.fromkeys(STATE, 0)
 
     def commit(
-        self, import_id: int, at: Column, stream: str | None, batch_id: int | None, state: dict[str, int]
+        self,
+        import_id: int,
+        at: Column,
+        stream: str | None,
+        batch_id: int | None,
+        state: dict[str, int],
+        filter_cells: int | None = None,
     ) -> None:
-        """Make an import visible, with the library's ``state`` after it."""
+        """Make an import visible, with the library's ``state`` after it and the size of its filter."""
         row = self.spark.range(1).select(
             F.lit(stream).cast("string").alias("stream"),
             F.lit(batch_id).cast("long").alias("batch_id"),
             at.alias("committed_at"),
             *[F.lit(state[name]).cast("long").alias(name) for name in STATE],
+            F.lit(filter_cells).cast("long").alias("filter_cells"),
         )
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path('commits')}/import_id={import_id}")
 
     def _append(self, df: DataFrame, table: str) -> int:
         """Append a change, whose number follows the last one; how many rows it has."""
         last = self._read(table).agg(F.coalesce(F.max("change_id"), F.lit(0))).first()[0]
-        self.write_part(df, table, last + 1)
-        return self._read(table).where(F.col("change_id") == last + 1).count()
+        return self.write_part(df, table, last + 1)["rows"]
 
     def log(self, event: str, detail: str, at: Column) -> None:
         last = self._read("activity").agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))

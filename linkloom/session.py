@@ -7,7 +7,8 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # What a cluster job should set; spark.checkpoint.dir must then name a shared folder.
 SETTINGS = {
@@ -113,6 +114,22 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, **numbers: Column) -> tuple[Observation, DataFrame]:
+    """The table, and what is known of it once it was written: ``rows`` and the aggregates ``numbers``.
+
+    They are taken at the end of the plan, in the tasks that write, each of which counts once however
+    often it is tried.
+    """
+    told = Observation()
+    return told, df.observe(told, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in numbers.items()])
+
+
+def stage_counted(df: DataFrame, **numbers: Column) -> tuple[DataFrame, dict]:
+    """``stage``, with ``rows`` and the aggregates ``numbers`` of what was written."""
+    told, watched = counted(df, **numbers)
+    return stage(watched), told.get
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Distribute rows that arrive in a few large splits over all cores, by unique-ish keys.
 

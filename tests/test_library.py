@@ -100,7 +100,7 @@ def test_failed_import_leaves_nothing(spark, tmp_path, inbox, monkeypatch):
 def test_large_imports_meet_by_shuffles(spark, tmp_path, inbox, monkeypatch):
     results = []
     for rows in (100_000, 0):
-        monkeypatch.setattr("linkloom.plans.importer.BROADCAST_ROWS", rows)
+        monkeypatch.setattr("linkloom.plans.library.BROADCAST_ROWS", rows)
         library = Library(spark, str(tmp_path / f"lib{rows}"))
         reports = [Importer(library).import_path(str(inbox), utc(T1)).report]
         urls = spark.createDataFrame([(1, "https://example.gov/s.pdf"), (2, "http://fresh.test/")], "position int, u string")
@@ -148,6 +148,123 @@ def test_an_import_does_not_shuffle_the_library(spark, tmp_path, inbox, monkeypa
     assert not of_links
 
 
+def grown(spark, tmp_path, name="lib", imports=6):
+    """A library of several imports, each with links of its own and one that all share."""
+    library = Library(spark, str(tmp_path / name))
+    importer = Importer(library)
+    for i in range(imports):
+        urls = [(n, f"http://h{i}.test/{n}") for n in range(4)] + [(9, "http://all.test/")]
+        importer.import_list(spark.createDataFrame(urls, "position int, u string"), "u", f"list{i}", utc(T1))
+    return library
+
+
+def opened(df):
+    return sorted({int(n) for f in df.inputFiles() for n in re.findall("/links/import_id=([0-9]+)", f)})
+
+
+def test_only_imports_whose_filter_fires_are_read(spark, tmp_path, monkeypatch):
+    library = grown(spark, tmp_path)
+    urls = spark.createDataFrame([(u,) for u in ("http://h2.test/1", "http://h4.test/0", "http://none.test/", "http://h4.test/")], "normalized_url string")
+    known = library.known_links(urls, 6, 4)
+    assert opened(known) == [3, 5]
+    assert sorted(r[0] for r in known.collect()) == ["http://h2.test/1", "http://h4.test/0"]
+    assert library.known_links(urls.where("normalized_url LIKE '%none%'"), 6, 1).collect() == []
+    # as of an import nothing later is known
+    assert [r[0] for r in library.known_links(urls, 4, 4).collect()] == ["http://h2.test/1"]
+    # wrong answers of the filters open every import and change nothing else
+    read = Library._read
+    full = lambda self, table: read(self, table).withColumn("bits", F.lit(-1).cast("long")) if table == "url_filters" else read(self, table)
+    monkeypatch.setattr(Library, "_read", full)
+    many = spark.createDataFrame([(f"http://h{i}.test/{n}",) for i in range(9) for n in range(9)], "normalized_url string")
+    known = library.known_links(many, 6, 81)
+    assert opened(known) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r[0] for r in known.collect()) == sorted(f"http://h{i}.test/{n}" for i in range(6) for n in range(4))
+
+
+def test_libraries_without_filters(spark, tmp_path, monkeypatch):
+    """Imports that left no filter, as by an older version, are all read."""
+    commit = Library.commit
+    with monkeypatch.context() as patch:
+        patch.setattr(Library, "commit", lambda self, *a: commit(self, *a[:-1], None))
+        patch.setattr("linkloom.plans.importer.filters.filter_cells", lambda df, c, n: df.sparkSession.createDataFrame([], "cells long, cell long, bits long"))
+        patch.setattr(Library, "new_hosts", lambda self, hosts, until: hosts.where("false"))
+        library = grown(spark, tmp_path, imports=2)
+    report = Importer(library).import_list(
+        spark.createDataFrame([(1, "http://h1.test/1"), (2, "http://h1.test/new"), (3, "http://fresh.test/")], "position int, u string"), "u", "l", utc(T2)
+    ).report
+    assert (report["duplicates"], report["unique_urls"]) == (1, 11)
+    assert opened(library.known_links(spark.createDataFrame([("http://h0.test/1",)], "normalized_url string"), 3, 1)) == [1, 2]
+    assert {r.hostname for r in library.table("hosts").collect()} == {"fresh.test"}
+
+
+def test_a_page_reads_the_imports_it_needs(spark, tmp_path, monkeypatch):
+    library = grown(spark, tmp_path)
+    read, reads = Library.of_imports, []
+
+    def noted(self, name, ids):
+        df = read(self, name, ids)
+        if name == "links":
+            reads.append(opened(df))
+        return df
+
+    monkeypatch.setattr(Library, "of_imports", noted)
+    whole, after = [], None
+    while True:
+        page = library.page(limit=3, after=after)
+        want = fetch_page(library.links(), LinkFilter(), 3, after)
+        assert page["items"] == want["items"] and page["next"] == want["next"] and page["has_more"] == want["has_more"]
+        whole += [i["link_id"] for i in page["items"]]
+        after = page["next"]
+        if not page["has_more"]:
+            break
+    assert whole == list(range(25, 0, -1))
+    assert reads[0] == [6] and max(map(len, reads)) <= 2
+    reads.clear()
+    assert library.page(limit=4, after=6)["items"][0]["link_id"] == 5
+    assert reads == [[1]]
+    reads.clear()
+    found = library.page(LinkFilter(domain="h0.test"), limit=2, include_total=True)
+    assert [i["link_id"] for i in found["items"]] == [4, 3] and found["total"] == 4
+    assert reads == [[6], [4, 5], [1, 2, 3]]
+    assert library.page(limit=3, offset=2)["items"] == fetch_page(library.links(), limit=3, offset=2)["items"]
+    assert Library(spark, str(tmp_path / "none")).page()["items"] == []
+
+
+def test_progress_in_numbers(spark, tmp_path, inbox):
+    """The numbers of an import come while it writes, and agree with its report."""
+    told = []
+    importer = Importer(Library(spark, str(tmp_path / "lib")), progress=lambda step, numbers: told.append((step, dict(numbers))))
+    (inbox / "bad.txt").write_text("http://h:99999/ http://museum.example.org/")
+    report = importer.import_path(str(inbox), utc(T1)).report
+    assert told == [
+        ("FILES", {"files": 3, "files_skipped": 1}),
+        ("SCANNED", {"discovered": 10, "invalid": 1}),
+        ("INDEXED", {"discovered": 10, "invalid": 1, "inserted": 5, "duplicate": 4}),
+    ]
+    assert (report["urls_discovered"], report["duplicates"], report["invalid_urls"], report["unique_urls"]) == (10, 4, 1, 5)
+    told.clear()
+    importer.import_path(str(inbox), utc(T2))
+    assert told == [
+        ("FILES", {"files": 0, "files_skipped": 4}),
+        ("SCANNED", {"discovered": 0, "invalid": 0}),
+        ("INDEXED", {"discovered": 0, "invalid": 0, "inserted": 0, "duplicate": 0}),
+    ]
+
+
+def test_page_of_a_source(spark, tmp_path, inbox):
+    library = Library(spark, str(tmp_path / "lib"))
+    Importer(library).import_path(str(inbox), utc(T1))
+    numbers = {r.source_file: r.source_id for r in library.sources().collect()}
+    page = library.source_page(numbers["a.txt"], limit=2)
+    assert (page["source"]["urls_discovered"], page["domain_count"], page["url_total"]) == (5, 2, 5)
+    assert [u["link_id"] for u in page["urls"]] == [3, 2]
+    rest = library.source_page(numbers["a.txt"], limit=9, offset=2)
+    assert [u["link_id"] for u in rest["urls"]] == [1, 1, 1]
+    cells = library.source_page(numbers["b.csv"])
+    assert cells["url_total"] == 2 and len(cells["urls"]) == 2
+    assert library.source_page(99) is None
+
+
 def test_a_single_file_of_any_suffix(spark, tmp_path, inbox):
     library = Library(spark, str(tmp_path / "lib"))
     assert Importer(library).import_path(str(inbox / "c.md"), utc(T1)).report["unique_urls"] == 1
