@@ -286,9 +286,8 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, mo
         known = bloom_filter(often[-1], size - 1)
         often.append(stage(frequencies(chunks, size, known).where(F.col("f") >= least)))
     parts = often[0].unionByName(often[1])
-    every = words.agg(F.sum("f").alias("every")).select(F.coalesce("every", F.lit(0)).alias("every"))
-    hot = parts.crossJoin(F.broadcast(every)).where(F.col("f") * HOT_SHARE > F.col("every")).drop("every")
-    hot = stage(hot)
+    every = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    hot = stage(parts.where(F.col("f") * HOT_SHARE > every))
 
     split = F.split("phrase", " ")
     cuts = None
