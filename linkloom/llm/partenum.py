@@ -10,11 +10,14 @@ link is lost. A choice in which a set has nothing is no signature; sets with not
 ``spare`` first-level parts sign those parts as well, which keeps the guarantee.
 
 Sharing a signature only names candidates. They are compared with the smallest document of their
-group first, not pair by pair; groups whose documents are then one class are done, however large. What
-is left is compared within groups, block by block, by counts of shingles in SKETCH cells: their
-differences add up to no more than the sets differ, so what exceeds the bound is no link, and only the
-rest is compared text by text. Documents of groups of more than MOST get the signatures of the next,
-more selective level instead; only on the last one blocks are made of groups of any size.
+group first, not pair by pair; groups whose documents are then one class are done, however large. Of
+groups with the same documents one is kept. What is left is compared within groups, block by block, in
+rounds: first some FIRST partners of each document, by a hash of the pair, then four times as many, and
+so on until every pair had its turn. Groups whose documents have become one class drop out after each
+round, so few come to the later ones. Counts of shingles in cells are compared first: their differences
+add up to no more than the sets differ, so what exceeds the bound is no link, and only the rest is
+compared text by text. Documents of groups of more than MOST get the signatures of the next, more
+selective level instead; only on the last one blocks are made of groups of any size.
 """
 
 from __future__ import annotations
@@ -31,12 +34,16 @@ from pyspark.sql import functions as F
 from linkloom.llm.batches import free_name, slices, whole_text
 from linkloom.llm.components import components
 from linkloom.llm.shingles import mixed, shingle_sets
-from linkloom.session import stage
+from linkloom.session import delete_folder, new_scope, stage
 
 BROADCAST_IDS = 200_000
 GROUP = 512  # rows that are compared in one place; larger groups come in blocks of so many
 MOST = 16 * GROUP  # still larger groups are signed on the next level
 SKETCH = 64  # cells, a byte each
+FINE = 256  # cells that are compared within groups
+FIRST = 8  # partners a document is compared with in the first round
+FILTER_BITS = 1 << 27  # at most, of the filter of shared signatures
+HOT_SHARE = 1000  # equal sets of more than 1/HOT_SHARE of all rows are hot; there are fewer than that many
 
 
 class Scheme(NamedTuple):
@@ -115,39 +122,42 @@ def _text_rows(docs: DataFrame) -> DataFrame:
 
 
 CELLS = tuple(f"s{i}" for i in range(SKETCH // 8))
+FINE_CELLS = tuple(f"f{i}" for i in range(FINE // 8))
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
+def sketch(members: np.ndarray, cells: int = SKETCH) -> np.ndarray:
     """How many members lie in each cell, at most 255, packed into longs."""
-    cells = np.bincount((members >> np.uint64(58)).astype(np.int64), minlength=SKETCH)
-    return np.minimum(cells, 255).astype(np.uint8).view(np.int64)
+    counts = np.bincount((members >> np.uint64(64 - (cells - 1).bit_length())).astype(np.int64), minlength=cells)
+    return np.minimum(counts, 255).astype(np.uint8).view(np.int64)
 
 
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest and the sketch of the shingle set, for every row."""
+    """doc_id, n_shingles, a 128-bit digest and both sketches of the shingle set, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), words)
                 digest = [[int(mixed(s, seed).sum(dtype=np.uint64)) for s in sets] for seed in (41, 43)]
-                cells = np.array([sketch(s) for s in sets], dtype=np.int64).reshape(-1, len(CELLS))
+                sketches = [(CELLS, SKETCH), (FINE_CELLS, FINE)]
+                cells = [np.array([sketch(s, n) for s in sets], dtype=np.int64).reshape(-1, len(names)) for names, n in sketches]
                 columns = {
                     "doc_id": part.column("doc_id"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "h1": pa.array(np.array(digest[0], dtype=np.uint64).view(np.int64), pa.int64()),
                     "h2": pa.array(np.array(digest[1], dtype=np.uint64).view(np.int64), pa.int64()),
                 }
-                columns |= {name: pa.array(cells[:, i], pa.int64()) for i, name in enumerate(CELLS)}
+                for (names, _), own in zip(sketches, cells, strict=True):
+                    columns |= {name: pa.array(own[:, i], pa.int64()) for i, name in enumerate(names)}
                 yield pa.RecordBatch.from_pydict(columns)
 
-    kinds = ", ".join(f"{c} long" for c in CELLS)
+    kinds = ", ".join(f"{c} long" for c in CELLS + FINE_CELLS)
     return _text_rows(docs).mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {kinds}")
 
 
-def _matrix(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, np.ndarray]:
+def _matrix(batch: pa.RecordBatch, suffix: str = "", names: tuple[str, ...] = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """Sketches as bytes, and sizes; a size below zero stands for an id with several sets."""
-    cells = np.column_stack([batch.column(c + suffix).to_numpy() for c in CELLS])
+    cells = np.column_stack([batch.column(c + suffix).to_numpy() for c in names])
     return np.ascontiguousarray(cells).view(np.uint8).astype(np.int16), batch.column("size" + suffix).to_numpy()
 
 
@@ -167,29 +177,50 @@ def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
             mask = pa.array(_may_link(*_matrix(batch, "_a"), *_matrix(batch, "_b"), percent), pa.bool_())
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(mask) for c in ("a", "b")})
 
+    nodes = nodes.select("node", "size", *CELLS)
     sides = [nodes.withColumnsRenamed({c: f"{c}_{x}" for c in nodes.columns}) for x in ("a", "b")]
     met = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
     return met.mapInArrow(run, "a long, b long")
 
 
-def group_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one group and different components that their sketches do not rule out.
+def turns(n: int) -> list[tuple[float, float]]:
+    """The share of all pairs, by their hash, that has its turn in each round of a group of ``n``."""
+    ends, partners, met = [0.0], FIRST, 0
+    while ends[-1] < 1:
+        met, partners = met + partners, 4 * partners
+        ends.append(min(1.0, met / max(n, 1)))
+    return list(zip(ends, ends[1:]))
 
-    ``rows``: signature, node, component, size and sketch. A group is bounded, and is compared
+
+def group_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs of nodes of one group and different components that have their turn in a round and that
+    their sketches do not rule out.
+
+    ``rows``: signature, node, component, size and fine sketch. A group is bounded, and is compared
     where its rows lie, one after the other; only pairs that may be links leave the task.
     """
 
     def pairs(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        cells, size = _matrix(group)
+        own = turns(group.num_rows)
+        if turn >= len(own):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        low, high = (int(x * 2**53) for x in own[turn])
+        cells, size = _matrix(group, names=FINE_CELLS)
         node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
-        found = []
+        first, second = [], []
         for i in range(len(node) - 1):
             other = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+            least, most = np.minimum(node[i], node[other]), np.maximum(node[i], node[other])
+            place = mixed(mixed(least.view(np.uint64), 61) + most.view(np.uint64), 62) >> np.uint64(11)
+            other = other[(place >= np.uint64(low)) & (place < np.uint64(high))]
             if len(other):
-                fits = _may_link(cells[i], size[i], cells[other], size[other], percent)
-                found += [(i, j) for j in other[fits].tolist()]
-        at = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return np.minimum(node[at[:, 0]], node[at[:, 1]]), np.maximum(node[at[:, 0]], node[at[:, 1]])
+                other = other[_may_link(cells[i], size[i], cells[other], size[other], percent)]
+                first.append(np.full(len(other), node[i]))
+                second.append(node[other])
+        if not first:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        x, y = np.concatenate(first), np.concatenate(second)
+        return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -298,19 +329,54 @@ def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
+def _shared_filter(shared: DataFrame) -> np.ndarray:
+    """Bits of the signatures in ``shared``, FILTER_BITS at most; more signatures let more others pass."""
+    bits = 1 << max(12, min(8 * shared.count(), FILTER_BITS - 1).bit_length())
+    at = F.col("signature").bitwiseAND(F.lit(bits - 1))
+    cell = F.shiftrightunsigned(at, 6).alias("cell")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = shared.select(cell, bit.alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = np.zeros(bits // 64, dtype=np.uint64)
+    filled[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return filled
+
+
+def _passing(rows: DataFrame, filled: np.ndarray) -> DataFrame:
+    """The rows whose signature the filter holds."""
+    sent = rows.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("signature").to_numpy().view(np.uint64) & np.uint64(64 * len(sent.value) - 1)
+            bits = sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
+            yield batch.filter(pa.array(bits & np.uint64(1) == 1, pa.bool_()))
+
+    return rows.mapInArrow(run, "signature long, doc_id long")
+
+
 def _groups(rows: DataFrame, class_of: DataFrame) -> DataFrame:
     """Rows of signatures that several classes share: signature, node, pivot, n_nodes.
 
-    Nearly all signatures are one document's alone; they end in the sums.
+    Nearly all signatures are one document's alone: they end in the sums, and a filter of the others
+    keeps them from being shuffled with their documents. All rows are deleted as soon as those of
+    shared signatures are written. Of groups with the same nodes the first is kept.
     """
-    rows = stage(rows)
-    shared = rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(shared.select(F.col("signature").alias("s")), F.col("signature") == F.col("s")).select("signature", "doc_id")
+    spark = rows.sparkSession
+    written = new_scope(spark)
+    rows = stage(rows, written)
+    shared = stage(rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature"))
+    met = _passing(rows, _shared_filter(shared))
+    met = met.join(shared.select(F.col("signature").alias("s")), F.col("signature") == F.col("s")).select("signature", "doc_id")
     nodes = met.join(class_of.select(F.col("doc_id").alias("k"), "node"), F.col("doc_id") == F.col("k"))
     nodes = stage(nodes.select("signature", "node").distinct())
-    sizes = nodes.groupBy("signature").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n_nodes"))
-    sizes = sizes.where("n_nodes > 1").withColumnRenamed("signature", "s")
-    return nodes.join(sizes, F.col("signature") == F.col("s")).select("signature", "node", "pivot", "n_nodes")
+    delete_folder(spark, written)
+    sizes = nodes.groupBy("signature").agg(
+        F.min("node").alias("pivot"),
+        F.count(F.lit(1)).alias("n_nodes"),
+        *[F.bit_xor(F.xxhash64("node", F.lit(n))).alias(f"x{n}") for n in range(2)],
+    )
+    sizes = sizes.where("n_nodes > 1").groupBy("pivot", "n_nodes", "x0", "x1").agg(F.min("signature").alias("s"), F.count(F.lit(1)).alias("weight"))
+    return nodes.join(sizes, F.col("signature") == F.col("s")).select("signature", "node", "pivot", "n_nodes", "weight")
 
 
 def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -331,18 +397,17 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     digests = stage(set_digests(docs, words))
     same = ["n_shingles", "h1", "h2"]
     real = digests.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = real.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    placed = real.join(classes, same)
+    placed = _placed(real, same)
     # an id with several sets is a node of its own, has no sketch, and is tied to the classes of its sets
     several = F.lit(False)
     for c in same:
         several = several | (F.min(c) < F.max(c))
     class_of = placed.groupBy("doc_id").agg(
-        several.alias("several"), F.min("node").alias("node"), F.min("n_shingles").alias("size"), *[F.min(c).alias(c) for c in CELLS]
+        several.alias("several"), F.min("node").alias("node"), F.min("n_shingles").alias("size"), *[F.min(c).alias(c) for c in CELLS + FINE_CELLS]
     )
     class_of = stage(class_of.withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("node"))))
     nodes = class_of.where(F.col("doc_id") == F.col("node"))
-    nodes = stage(nodes.select("node", F.when(F.col("several"), -1).otherwise(F.col("size")).alias("size"), *CELLS))
+    nodes = stage(nodes.select("node", F.when(F.col("several"), -1).otherwise(F.col("size")).alias("size"), *CELLS, *FINE_CELLS))
     mixed = class_of.where("several").select(F.col("doc_id").alias("b"))
     if mixed.isEmpty():
         links = mixed.select(F.col("b").alias("a"), "b")
@@ -353,7 +418,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     done, signing = None, known
     for level in range(LEVELS):
         groups = stage(_groups(signature_rows(signing, words, percent, level), class_of))
-        star = groups.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).count()
+        star = groups.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.sum("weight").alias("count"))
         star = stage(star if done is None else star.join(done, ["a", "b"], "left_anti"))
         # each document with the one that it shares most signatures with; the others only if that
         # leaves the two in different classes
@@ -364,23 +429,23 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         label = _joined(label, linked(stage(possible_pairs(_apart(apart, label), nodes, percent)), known, words, percent))
         star = star.select("a", "b")
         done = star if done is None else done.unionByName(star)
-        named = groups.join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
-            "signature", "node", "n_nodes", F.coalesce("component", "node").alias("component")
-        )
-        # groups that hold more than one class still
-        several_left = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        several_left = several_left.where("lo < hi").select(F.col("signature").alias("s"))
-        left = stage(named.where("n_nodes > 2").join(several_left, F.col("signature") == F.col("s"), "left_semi"))
-        if left.isEmpty():
-            break
+        left = _undecided(groups, label).where("n_nodes > 2")
         last = level == LEVELS - 1
         blocks = (F.col("n_nodes") > GROUP) & (F.lit(last) | (F.col("n_nodes") <= MOST))
-        close = left.where(F.col("n_nodes") <= GROUP).unionByName(in_blocks(left.where(blocks)))
-        sketched = close.drop("n_nodes").join(nodes.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
-        pairs = group_pairs(sketched, percent).distinct()
-        pairs = stage(pairs.join(done, ["a", "b"], "left_anti"))
-        label = _joined(label, linked(pairs, known, words, percent))
-        done = done.unionByName(pairs)
+        left = stage(left.drop("component"))
+        if left.isEmpty():
+            break
+        close = left.where(F.col("n_nodes") <= GROUP).unionByName(in_blocks(left.where(blocks))).select("signature", "node")
+        for turn in range(len(turns(2 * GROUP))):
+            close = stage(_undecided(close, label))
+            if close.isEmpty():
+                break
+            sketched = close.join(nodes.select(F.col("node").alias("of"), "size", *FINE_CELLS), F.col("node") == F.col("of")).drop("of")
+            pairs = group_pairs(sketched, percent, turn).distinct()
+            pairs = stage(pairs.join(done, ["a", "b"], "left_anti"))
+            label = _joined(label, linked(pairs, known, words, percent))
+            done = done.unionByName(pairs)
+            close = close.select("signature", "node")
         if last:
             break
         rest = stage(left.where(F.col("n_nodes") > MOST).select("node").distinct())
@@ -395,6 +460,31 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
+def _placed(real: DataFrame, same: list[str]) -> DataFrame:
+    """Rows with ``node``, the smallest doc_id of the same set.
+
+    Very many rows may have one set. Nodes of hot sets are broadcast, which are fewer than HOT_SHARE by
+    arithmetic; those of all others are joined by a shuffle.
+    """
+    classes = stage(real.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")))
+    every = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    is_hot = F.col("rows") * HOT_SHARE > every
+    marked = real.join(F.broadcast(classes.where(is_hot).select(*same, F.col("node").alias("hot_node"))), same, "left")
+    warm = marked.where("hot_node IS NOT NULL").withColumnRenamed("hot_node", "node")
+    cold = marked.where("hot_node IS NULL").drop("hot_node").join(classes.where(~is_hot).select(*same, "node"), same)
+    return cold.unionByName(warm)
+
+
+def _undecided(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows, with their component, of groups (signature, node) that hold more than one."""
+    own = label.select(F.col("node").alias("of"), F.col("component").alias("other"))
+    named = rows.drop("component").join(own, F.col("node") == F.col("of"), "left")
+    named = named.withColumn("component", F.coalesce("other", "node")).drop("of", "other")
+    several = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    several = several.where("lo < hi").select(F.col("signature").alias("s"))
+    return named.join(several, F.col("signature") == F.col("s"), "left_semi")
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs (a, b) that are not in one component."""
     for side in ("a", "b"):

@@ -79,6 +79,8 @@ def test_levels_of_signatures(spark, monkeypatch, most):
     """With every group too large to be compared at once, the next levels find the same links."""
     monkeypatch.setattr(partenum, "GROUP", 2)
     monkeypatch.setattr(partenum, "MOST", most)
+    monkeypatch.setattr(partenum, "FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(partenum, "HOT_SHARE", 10**9 if most == 2 else 1)
     rows = corpus(9)[::3]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = partenum.near_duplicates(table, 4, 85).collect()
@@ -117,6 +119,22 @@ def test_sketches_rule_out_no_link():
                 if 100 * common >= percent * (size + len(other) - common):
                     cells = [partenum.sketch(s).view(np.uint8).astype(np.int16) for s in (members, other)]
                     assert partenum._may_link(cells[0], np.array(size), cells[1], np.array(len(other)), percent)
+                    cells = [partenum.sketch(s, partenum.FINE).view(np.uint8).astype(np.int16) for s in (members, other)]
+                    assert partenum._may_link(cells[0], np.array(size), cells[1], np.array(len(other)), percent)
+
+
+def test_every_pair_has_one_turn(spark):
+    for n in (1, 2, 8, 9, 40, 1024, 5000):
+        own = partenum.turns(n)
+        assert own[0][0] == 0 and own[-1][1] == 1 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert len(own) <= len(partenum.turns(2 * partenum.GROUP)) or n > 2 * partenum.GROUP
+    empty = {c: 0 for c in partenum.FINE_CELLS}
+    rows = [{"signature": 1, "node": i, "component": i // 2, "size": 3} | empty for i in range(120)]
+    kinds = ", ".join(f"{c} long" for c in ("signature", "node", "component", "size", *partenum.FINE_CELLS))
+    rows = spark.createDataFrame([tuple(r.values()) for r in rows], kinds)
+    met = [[(r.a, r.b) for r in partenum.group_pairs(rows, 80, turn).collect()] for turn in range(6)]
+    assert sorted(sum(met, [])) == [(a, b) for a in range(120) for b in range(a + 1, 120) if a // 2 != b // 2]
+    assert 0 < len(met[0]) < 120 * 8
 
 
 def test_blocks_bring_every_pair_together(spark, monkeypatch):
