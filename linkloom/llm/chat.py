@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.session import stage
 
-BUDGET = 2048
-HISTORY = 512
+# A turn counts as many tokens as it has bytes in UTF-8 with its control strings: no byte-level tokenizer
+# makes more of it. So a window never has more than its budget by the tokenizer's own count; of plain
+# English it has about a quarter.
+BUDGET = 8192
+HISTORY = 2048
 BLOCK = 256  # turns
 START, END = "<|im_start|>", "<|im_end|>"
-# Words in pieces of four letters, single digits and single marks: what a subword tokenizer comes to.
-_TOKEN = r"\p{L}{1,4}|\p{N}|[^\s\p{L}\p{N}]"
 
 
 def escaped(text: Column) -> Column:
@@ -47,6 +48,12 @@ def unescaped_role(role: Column) -> Column:
     return F.array_join(parts, "\\")
 
 
+def _tokens(role: Column, text: Column) -> Column:
+    """The bytes of a turn as it is written: the most tokens it can have."""
+    written = F.concat(F.lit(START), escaped_role(role), F.lit("\n"), escaped(text), F.lit(f"{END}\n"))
+    return F.octet_length(written).cast("long")
+
+
 def _placed(turns: DataFrame) -> DataFrame:
     """conv_id, place, role, text, tokens, and first and last rank of the conversation."""
     rows = turns.select(
@@ -70,7 +77,7 @@ def _placed(turns: DataFrame) -> DataFrame:
         (F.col("rank") - F.col("first")).alias("place"),
         "role",
         "text",
-        F.greatest(F.regexp_count("text", F.lit(_TOKEN)), F.lit(1)).cast("long").alias("tokens"),
+        _tokens(F.col("role"), F.col("text")).alias("tokens"),
     )
 
 
@@ -102,9 +109,9 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
     ``turns``: conv_id, turn, role, text, a row a turn. ``window`` sorts the windows of a
     conversation. The first ``n_repeated`` turns of a window stand in an earlier one too. ``loss`` is
-    an array of (begin, length) in code points of ``formatted``: the targets' texts. Tokens are
-    counted by a fixed rule (_TOKEN), at least one a turn. A window keeps to ``budget`` but for a
-    single turn or a system turn that is longer than what is left of it. A null role or text is
+    an array of (begin, length) in code points of ``formatted``: the targets' texts. n_tokens is
+    the bytes of ``formatted``, a bound of its tokens by any byte-level tokenizer. A window keeps to
+    ``budget`` but for a single turn or a system turn that is longer than what is left of it. A null role or text is
     empty; turns with the same number are ordered by role and text, null numbers first; repeated
     rows are turns of their own; null conv_ids are one conversation. An empty table gives no rows.
     Other columns are not looked at.

@@ -11,6 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
+from linkloom.llm.encode import tokenizer_path
 from linkloom.llm import chat, quality, toxicity, url_filter
 
 SF = "/root/testdata/sf0.01"
@@ -45,14 +48,15 @@ def by_conversation(rows):
     return {conv: [t[2:] for t in sorted(turns)] for conv, turns in found.items()}
 
 
-def units(text):
-    return max(1, len(re.findall(r"[^\W\d_]{1,4}|\d|[^\w\s]|_", text)))
+def size(part):
+    return len(("<|im_start|>" + part).encode())
 
 
 def test_chat_windows(spark):
     rows = conversations()
     table = spark.createDataFrame([(*r, 1) for r in rows], TURNS + ", place int").repartition(4)
-    written = chat.windows(table, budget=400, history=60)
+    written = chat.windows(table, budget=2000, history=300)
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     found = {}
     for r in written.orderBy("window").collect():
         found.setdefault(r.conv_id, []).append(r)
@@ -73,11 +77,12 @@ def test_chat_windows(spark):
             for begin, length in r.loss:
                 targets.append(plain(r.formatted[begin : begin + length]))
             history = parts[1 if system and r is not found[conv][0] else 0 : r.n_repeated]
-            assert sum(units(plain(h.split("\n", 1)[1][: -len("<|im_end|>\n")])) for h in history) <= 60
+            assert sum(map(size, history)) <= 300
+            assert len(tokenizer.encode(r.formatted).ids) <= r.n_tokens == len(r.formatted.encode())
             before = [parts_of(t) for t in turns[: len(told) - len(own)]]
             assert before[len(before) - len(history) :] == history
             single = len(own) == 1 or (len(own) == 2 and system is not None and own[0] == parts_of(system))
-            assert r.n_tokens <= 400 or single or (system and units(system[1]) > 200)
+            assert r.n_tokens <= 2000 or single or (system and size(parts_of(system)) > 1200)
         assert told == [parts_of(t) for t in turns]
         assert targets == [text for role, text in turns if role == "assistant"]
 
@@ -93,7 +98,7 @@ def plain(text):
 
 def test_chat_digests(spark):
     rows = conversations()
-    got = {r.conv_id: r for r in chat.digests(chat.windows(spark.createDataFrame(rows, TURNS), budget=400, history=60)).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.windows(spark.createDataFrame(rows, TURNS), budget=2000, history=300)).collect()}
     for conv, turns in by_conversation(rows).items():
         whole = "".join(f"{role}\n{text}\n" for role, text in turns)
         said = "".join(text for role, text in turns if role == "assistant")
