@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions.barrier import bind, computed_once
 from linkloom.llm.batches import free_name, whole_text
 from linkloom.session import stage
 
@@ -27,6 +28,7 @@ MASKS = (
     (2, ("11",)),
     (1, ("1",)),
 )
+EXACT = 3  # a benchmark text of so many words overlaps only as a whole, which its mask says already
 LEAST_SHARE = 0.7  # of the benchmark text's words, or
 WINDOW, LEAST_IN_WINDOW = 16, 13  # so many equal words among consecutive ones
 BROADCAST_ROWS = 200_000  # benchmark seeds or alignments; a row has 32 bytes
@@ -69,57 +71,87 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Seeds of the documents meet those of the benchmark in the scan's own tasks while the benchmark
     has at most BROADCAST_ROWS seeds; a larger one is joined by a shuffle on the seed. Documents are
-    seeded by the masks of the lengths that the benchmark has. Alignments are deduplicated and
-    written; so few go to the documents, for more the documents are shuffled.
+    seeded by the masks of the lengths that the benchmark has. The alignments of a document and a
+    benchmark text are one written row; of texts of up to EXACT words just the first, which needs no
+    comparison. So few rows go to the documents, for more the documents are shuffled; either way a
+    document's words are hashed once more, however many alignments it has.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(whole_text()).alias("words"))
     distinct = items.where(F.size("words") > 0).groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
     distinct = distinct.withColumn("item", F.xxhash64("words"))
-    sized = distinct.select("item", "words", _masks_of(F.col("words")).alias("kind"))
+    sized = distinct.select("item", "words", _masks_of(F.col("words")).alias("kind"), (F.size("words") <= EXACT).alias("exact"))
     kinds = sorted(r.kind for r in sized.select("kind").distinct().collect()) or [0]
     parts = [_seeds(sized.where(F.col("kind") == k).drop("kind"), MASKS[k][1]) for k in kinds]
     masks = list(dict.fromkeys(m for k in kinds for m in MASKS[k][1]))
-    seeds = reduce(DataFrame.unionByName, parts).select("seed", "item", F.col("place").alias("item_place"))
+    seeds = reduce(DataFrame.unionByName, parts).select("seed", "item", "exact", F.col("place").alias("item_place"))
     if seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(whole_text()).alias("words"))
-    hits = _seeds(texts, masks).join(seeds, "seed")
-    hits = stage(hits.select("doc_id", "item", (F.col("place") - F.col("item_place")).alias("doc_word")).distinct())
-    hits = F.broadcast(hits) if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hits
-    found = hits.withColumnRenamed("doc_id", "hit_id").join(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")),
-        F.col("hit_id").eqNullSafe(F.col("doc_id")),
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    hits = _seeds(texts.select("doc_id", word_hashes(F.col("text")).alias("words")), masks).join(seeds, "seed")
+    doc_word = F.col("place") - F.col("item_place")
+    hits = stage(
+        hits.groupBy("doc_id", "item").agg(
+            F.min(F.when(F.col("exact"), doc_word)).alias("first"),
+            F.collect_set(F.when(~F.col("exact"), doc_word)).alias("places"),
+        )
     )
-    found = found.select("doc_id", "item", "doc_word", word_hashes(F.col("text")).alias("words"))
-    verified = found.join(distinct.withColumnRenamed("words", "item_hashes"), "item").select(
-        "doc_id", "item", "item_ids", "doc_word", F.size("item_hashes").alias("item_words"),
-        F.transform(
-            "item_hashes",
-            lambda w, i: (
-                F.when((i + F.col("doc_word") >= 0) & (F.get("words", F.greatest(i + F.col("doc_word"), F.lit(0))) == w), 1)
-                .otherwise(0)
-            ),
-        ).alias("equal"),
+    whole = hits.where("first IS NOT NULL").join(distinct, "item").select(
+        "doc_id", "item", "item_ids", F.col("first").alias("doc_word"),
+        *[F.size("words").alias(n) for n in ("matched", "item_words", "densest")],
     )
-    verified = verified.withColumn("matched", F.aggregate("equal", F.lit(0), lambda a, b: a + b))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("equal") - WINDOW + 1, F.lit(1)))
-    sums = F.transform(
-        starts, lambda s: F.aggregate(F.slice("equal", s, WINDOW), F.lit(0), lambda a, b: a + b)
-    )
-    verified = verified.withColumn("densest", F.array_max(sums))
-    enough = (F.col("matched") >= LEAST_SHARE * F.col("item_words")) | (F.col("densest") >= LEAST_IN_WINDOW)
+    found = whole.unionByName(_compared(hits.where("first IS NULL"), texts, distinct))
     best = F.max_by(
         F.struct("item_ids", "doc_word", "matched", "item_words", "densest"),
         F.struct("matched", -F.col("doc_word")),
     )
     return (
-        verified.where(enough)
-        .groupBy("doc_id", "item")
+        found.groupBy("doc_id", "item")
         .agg(best.alias("best"))
         .select("doc_id", F.explode("best.item_ids").alias("item_id"), "best.doc_word", "best.matched", "best.item_words", "best.densest")
     )
 
 
+def _compared(hits: DataFrame, texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The best alignment of every document and benchmark text that overlap along one of their ``places``."""
+    rows, places = hits.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
+    hits = hits.withColumnRenamed("doc_id", "hit_id")
+    ids = hits.select("hit_id").distinct()
+    if rows + places <= BROADCAST_ROWS:
+        hits, ids = F.broadcast(hits), F.broadcast(ids)
+    mine = F.col("hit_id").eqNullSafe(F.col("doc_id"))
+    # hashed once, before a row for each benchmark text is made of it
+    read = computed_once(texts.join(ids, mine, "left_semi"), ["doc_id"], [word_hashes(F.col("text")).alias("words")])
+    met = read.join(hits, mine).join(distinct.withColumnRenamed("words", "item_hashes"), "item")
+    size = F.size("item_hashes")
+
+    def equal(at: Column) -> Column:
+        """1 for every word of the benchmark text that stands at its place."""
+        own = lambda i: F.get("words", F.greatest(i + at, F.lit(0)))
+        return F.transform("item_hashes", lambda w, i: F.when((i + at >= 0) & (own(i) == w), 1).otherwise(0))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, b: a + b)
+
+    def densest(same: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(same) - WINDOW + 1, F.lit(1)))
+        return F.array_max(F.transform(starts, lambda s: total(F.slice(same, s, WINDOW))))
+
+    def judged(at: Column) -> Column:
+        def told(same: Column) -> Column:
+            matched = total(same)
+            enough = (matched >= LEAST_SHARE * size) | (densest(same) >= LEAST_IN_WINDOW)
+            return F.struct(F.when(enough, matched).otherwise(-1).alias("matched"), (-at).alias("before"))
+
+        return bind(equal(at), told)
+
+    met = met.withColumn("best", F.array_max(F.transform("places", judged))).where("best.matched >= 0")
+    at = -F.col("best.before")
+    return met.select(
+        "doc_id", "item", "item_ids", at.alias("doc_word"), F.col("best.matched").alias("matched"),
+        size.alias("item_words"), densest(equal(at)).alias("densest"),
+    )
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that overlap no benchmark text."""
     name = free_name(docs, "hit_id")
