@@ -1,9 +1,11 @@
 """Document fingerprints: Merkle trees of sections, paragraphs and their pieces; DataFrame operations only.
 
 A text is cut, without loss, into pieces: a piece ends after a line break or a mark, or at LONGEST
-code points. The leaves are hashes of pieces. A section ends after a leaf whose hash ends in one of
-SECTION_ENDS, so an insertion moves no later section's bounds. The root is a hash over the sections'
-hashes. A fingerprint writes the tree down: ``root:section=leaf.leaf|section=leaf…``.
+code points. The leaves are hashes of pieces. A paragraph ends with a line break; its node is a hash over
+its leaves. A section ends after a paragraph whose hash ends in one of SECTION_ENDS, so an insertion moves
+no later section's bounds; its node is a hash over its paragraphs' hashes, and the root one over the
+sections'. Leaves enter the hashes above them with 63 bits and are written with 32, so equal roots mean
+equal texts. A fingerprint writes the tree down: ``root:section=paragraph>leaf.leaf,paragraph>leaf|section=…``.
 """
 
 from __future__ import annotations
@@ -26,26 +28,50 @@ def pieces(text: Column) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """A 32-bit hash of every piece."""
-    return F.transform(pieces(text), lambda p: F.shiftright(F.xxhash64(p), 32).cast("int"))
+    """A 63-bit hash of every piece, above a bit that tells whether a paragraph ends with it."""
 
+    def leaf(piece: Column) -> Column:
+        ends = F.endswith(piece, F.lit("\n")).cast("int").cast("long")
+        return F.xxhash64(piece).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(ends)
 
-def _digits(leaf: Column) -> Column:
-    return F.lower(F.substring(F.hex(leaf.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 32)), 2, 8))
+    return F.transform(pieces(text), leaf)
+
+
+def short(leaf_array: Column) -> Column:
+    """Leaves as they are written, for likeness."""
+    return F.transform(leaf_array, lambda x: F.shiftright(x, 32).cast("int"))
+
+
+def _hash(text: Column, digits: int = 16) -> Column:
+    return F.left(F.sha2(text, 256), F.lit(digits))
 
 
 def tree(leaf_array: Column) -> Column:
-    """The fingerprint of leaves. Sections are cut by one split, so the work is linear."""
+    """The fingerprint of leaves. Every level is cut by one split, so the work is linear."""
+
+    def marked(leaf: Column) -> Column:
+        mark = F.when(leaf.bitwiseAND(F.lit(1).cast("long")) == 1, ";").otherwise(".")
+        return F.concat(F.lower(F.lpad(F.hex(leaf), 16, "0")), mark)
+
+    def node(paragraph: Column) -> Column:
+        written = F.regexp_replace(paragraph, "([0-9a-f]{8})[0-9a-f]{8}", "$1")
+        return F.concat(_hash(paragraph), F.lit(">"), written)
+
+    def ended(paragraph: Column) -> Column:
+        mark = F.when(F.substring(paragraph, 16, 1).isin(*SECTION_ENDS), "|").otherwise(",")
+        return F.concat(paragraph, mark)
 
-    def written(sections: Column) -> Column:
-        named = F.transform(sections, lambda s: F.concat(F.left(F.sha2(s, 256), F.lit(16)), F.lit("="), s))
-        hashes = F.transform(named, lambda s: F.left(s, F.lit(16)))
-        root = F.left(F.sha2(F.array_join(hashes, ""), 256), F.lit(32))
-        return F.concat(root, F.lit(":"), F.array_join(named, "|"))
+    def section(paragraphs: Column) -> Column:
+        return F.concat(_hash(F.regexp_replace(paragraphs, ">[0-9a-f.]*", "")), F.lit("="), paragraphs)
 
-    joined = F.array_join(F.transform(leaf_array, _digits), ".")
-    sections = F.split(joined, f"(?<=[{SECTION_ENDS}])\\.")
-    return bind(sections, written)
+    def rooted(sections: Column) -> Column:
+        hashes = F.transform(sections, lambda s: F.left(s, F.lit(16)))
+        return F.concat(_hash(F.array_join(hashes, ""), 32), F.lit(":"), F.array_join(sections, "|"))
+
+    joined = F.regexp_replace(F.array_join(F.transform(leaf_array, marked), ""), "[.;]$", "")
+    nodes = F.transform(F.transform(F.split(joined, ";"), node), ended)
+    cut = F.split(F.regexp_replace(F.array_join(nodes, ""), "[|,]$", ""), r"\|")
+    return bind(F.transform(cut, section), rooted)
 
 
 def fingerprint(text: Column) -> Column:
@@ -54,8 +80,8 @@ def fingerprint(text: Column) -> Column:
 
 def leaves_of(print_: Column) -> Column:
     """The leaves written in a fingerprint, in order; none for an empty text."""
-    own = F.regexp_replace(F.substring_index(print_, ":", -1), "[0-9a-f]{16}=", "")
-    return F.filter(F.split(own, "[.|]"), lambda x: x != "")
+    own = F.regexp_replace(F.substring_index(print_, ":", -1), "[0-9a-f]{16}[=>]", "")
+    return F.filter(F.split(own, "[.,|]"), lambda x: x != "")
 
 
 def root_of(print_: Column) -> Column:
@@ -73,30 +99,32 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Numbers of the sections of ``b`` that ``a`` lacks, each with the places of its new leaves.
+    """Numbers of the sections of ``b`` that ``a`` lacks, in each the numbers of the paragraphs that ``a``
+    lacks, and in each of these the places of its new leaves.
 
-    Sections that both have are passed over by their hash alone.
+    Sections and paragraphs that both have are passed over by their hash alone.
     """
     branch = lambda p: F.split(F.substring_index(p, ":", -1), r"\|")
-    marked = F.transform(branch(b), lambda s, i: F.struct(i.alias("section"), s.alias("s")))
-    known = F.transform(branch(a), lambda s: F.left(s, F.lit(16)))
+    sections = F.transform(branch(a), lambda s: F.left(s, F.lit(16)))
+    paragraphs = F.regexp_extract_all(a, F.lit("([0-9a-f]{16})>"), F.lit(1))
     old = leaves_of(a)
-    changed = F.filter(marked, lambda m: ~F.array_contains(known, F.left(m["s"], F.lit(16))))
+
+    def numbered(parts: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+
+    def lacking(parts: Column, known: Column) -> Column:
+        return F.filter(numbered(parts), lambda p: ~F.array_contains(known, F.left(p["x"], F.lit(16))))
+
+    def places(paragraph: Column) -> Column:
+        new = F.filter(numbered(F.split(F.substring_index(paragraph, ">", -1), r"\.")), lambda x: ~F.array_contains(old, x["x"]))
+        return F.transform(new, lambda x: x["i"])
+
+    def changed(section: Column) -> Column:
+        own = lacking(F.split(F.substring_index(section, "=", -1), ","), paragraphs)
+        return F.transform(own, lambda p: F.struct(p["i"].alias("paragraph"), places(p["x"]).alias("leaves")))
+
     return F.transform(
-        changed,
-        lambda m: F.struct(
-            m["section"].alias("section"),
-            F.transform(
-                F.filter(
-                    F.transform(
-                        F.split(F.substring_index(m["s"], "=", -1), r"\."),
-                        lambda x, i: F.struct(x.alias("leaf"), i.alias("i")),
-                    ),
-                    lambda x: ~F.array_contains(old, x["leaf"]),
-                ),
-                lambda x: x["i"],
-            ).alias("leaves"),
-        ),
+        lacking(branch(b), sections), lambda s: F.struct(s["i"].alias("section"), changed(s["x"]).alias("paragraphs"))
     )
 
 
@@ -150,7 +178,7 @@ def compared(docs: DataFrame) -> DataFrame:
     found = computed_once(found, ["o", "o_null", "text", "taken"], [leaves(F.col("text")).alias("leaves")])
     sent = found.select(
         "o", "o_null", F.left("text", F.col("taken")).alias("next_text"),
-        F.array_distinct("leaves").alias("next_leaves"), root_of(tree(F.col("leaves"))).alias("next_root"),
+        F.array_distinct(short(F.col("leaves"))).alias("next_leaves"), root_of(tree(F.col("leaves"))).alias("next_root"),
     )
     met = keyed.join(sent, (F.col("k") == F.col("o")) & (F.col("k_null") == F.col("o_null")))
     n = F.length("text")
@@ -173,8 +201,8 @@ def compared(docs: DataFrame) -> DataFrame:
     near_next = F.when(root == F.col("next_root"), F.lit(1.0))
     return told.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        near_edited.otherwise(_overlap(F.col("leaves"), F.col("edited_leaves"))).alias("near_edited"),
-        near_next.otherwise(_overlap(F.col("leaves"), F.col("next_leaves"))).alias("near_next"),
+        near_edited.otherwise(_overlap(short(F.col("leaves")), short(F.col("edited_leaves")))).alias("near_edited"),
+        near_next.otherwise(_overlap(short(F.col("leaves")), F.col("next_leaves"))).alias("near_next"),
     )
 
 

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from linkloom.llm import decontamination, merkle, partenum
 from linkloom.llm.components import components
@@ -221,6 +223,28 @@ def test_compared(spark):
             assert 0.5 < r.near_edited < 0.85 and r.near_next < 0.4
 
 
+def plain_fingerprint(pieces):
+    """The tree by plain loops over pieces."""
+    sha = lambda s, n=16: hashlib.sha256(s.encode()).hexdigest()[:n]
+    paragraphs, sections = [[]], [[]]
+    for piece in pieces:
+        leaf = xxhash.xxh64(piece.encode(), seed=42).intdigest() & ~1 | piece.endswith("\n")
+        paragraphs[-1].append(f"{leaf:016x}")
+        if piece.endswith("\n"):
+            paragraphs.append([])
+    if len(paragraphs) > 1 and not paragraphs[-1]:
+        paragraphs.pop()
+    for leaves in paragraphs:
+        own = sha(".".join(leaves))
+        sections[-1].append((own, ".".join(x[:8] for x in leaves)))
+        if own[-1] in merkle.SECTION_ENDS:
+            sections.append([])
+    if len(sections) > 1 and not sections[-1]:
+        sections.pop()
+    named = [(sha(",".join(h for h, _ in s)), ",".join(f"{h}>{x}" for h, x in s)) for s in sections]
+    return sha("".join(h for h, _ in named), 32) + ":" + "|".join(f"{h}={x}" for h, x in named)
+
+
 def test_pieces_join_to_the_text(spark):
     rows = [t for _, t in merkle_rows() if t]
     from pyspark.sql import functions as F
@@ -228,25 +252,44 @@ def test_pieces_join_to_the_text(spark):
     df = spark.createDataFrame([(t,) for t in rows], "text string")
     for r in df.select("text", merkle.pieces(F.col("text")).alias("p"), merkle.fingerprint(F.col("text")).alias("f")).collect():
         assert "".join(r.p) == r.text
-        root, branches = r.f.split(":")
-        sections = [b.split("=") for b in branches.split("|")]
-        assert root == hashlib.sha256("".join(h for h, _ in sections).encode()).hexdigest()[:32]
-        assert all(h == hashlib.sha256(leaves.encode()).hexdigest()[:16] for h, leaves in sections)
+        assert r.f == plain_fingerprint(r.p)
+    assert spark.range(1).select(merkle.fingerprint(F.lit(""))).first()[0] == plain_fingerprint([])
+
+
+def test_roots_tell_short_texts_apart(spark):
+    from pyspark.sql import functions as F
+
+    texts = spark.range(400_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("text"))
+    assert texts.select(merkle.root_of(merkle.fingerprint(F.col("text"))).alias("r")).distinct().count() == 400_000
+
+
+def test_likeness_of_neighbours_by_plain_sets(spark):
+    """near_edited and near_next are the Dice share of the written leaves."""
+    rows = merkle_rows()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in merkle.compared(table).collect()}
+    leaves = lambda f: set(re.findall(r"(?<=[>.])[0-9a-f]{8}", f))
+    dice = lambda a, b: 1.0 if a == b else 2 * len(a & b) / (len(a) + len(b))
+    order = sorted(got, reverse=True)
+    for i, j in zip(order, order[1:] + order[:1]):
+        a, b, c = (leaves(f) for f in (got[i].fingerprint, got[i].edited_fingerprint, got[j].fingerprint))
+        assert got[i].near_edited == pytest.approx(dice(a, b)) and got[i].near_next == pytest.approx(dice(a, c))
 
 
 def test_edits_are_located(spark):
     from pyspark.sql import functions as F
 
-    lines = [f"line {i} of the text" for i in range(60)]
+    lines = [f"line {i} of the text, with two pieces" for i in range(60)]
     other = list(lines)
-    other[41] = "something else"
+    other[41] = "line 41 of the text, but changed"
     df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
     a, b = merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))
     row = df.select(merkle.edits(a, b).alias("e"), b.alias("b"), merkle.edits(a, a).alias("none")).first()
     assert row.none == []
-    sections = [s.split("=")[1].split(".") for s in row.b.split(":")[1].split("|")]
-    places = [sum(map(len, sections[: e.section])) + i for e in row.e for i in e.leaves]
-    assert places == [41]
+    sections = [s.split("=")[1].split(",") for s in row.b.split(":")[1].split("|")]
+    (section,) = row.e
+    assert [sum(map(len, sections[: section.section])) + p.paragraph for p in section.paragraphs] == [41]
+    assert section.paragraphs[0].leaves == [1]
 
 
 def test_odd_rows_of_fingerprints(spark):
@@ -382,3 +425,21 @@ def test_overlaps_of_nothing(spark):
     assert decontamination.overlaps(docs, none).count() == 0
     assert decontamination.without_contaminated(docs, none).count() == 1
     assert decontamination.overlaps(docs.limit(0), spark.createDataFrame([(1, "a b c")], none.schema)).count() == 0
+
+
+def test_short_items_and_repeated_words_in_long_texts(spark):
+    """One common word as a benchmark text, and a text of one word repeated: the time is that of the text."""
+    items = [(1, "the"), (2, "the end"), (3, "spam " * 40), (4, "v1 v2 v3 v4"), (5, "one two three")]
+    docs = [
+        (1, " ".join("the" if i % 3 == 0 else f"w{i}" for i in range(100_000))), (2, "spam " * 20_000), (3, "at the end"),
+        (4, "v1 v2 xx v4 v1 v2 v3 v4"), (5, "one two"), (6, "a one two three one two three"), (1, "other the end"),
+    ]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    started = time.time()
+    got = {(r.doc_id, r.item_id): (r.doc_word, r.matched, r.densest) for r in decontamination.overlaps(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert time.time() - started < 100
+    assert got == {
+        (1, 1): (0, 1, 1), (3, 1): (1, 1, 1), (1, 2): (1, 2, 2), (3, 2): (1, 2, 2), (2, 3): (0, 40, 16), (4, 4): (4, 4, 4), (6, 5): (1, 3, 3),
+    }
+    small = [(i, t) for i, t in docs if len(t) < 1000]
+    assert {k for k in got if k not in ((1, 1), (2, 3))} == plain_overlaps(small, items) - {(1, 1)}
