@@ -93,11 +93,35 @@ def domains(links: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         F.max("last_seen").alias("last_seen"),
         F.count(F.lit(1)).alias("link_count"),
     )
+    return described_hosts(grouped, rules)
+
+
+def described_hosts(grouped: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Hosts with their registered domain."""
     return with_registered_domain(grouped, rules=rules).select(
         "hostname", "registered_domain", "first_seen", "last_seen", "link_count"
     )
 
 
+def host_counts(links: DataFrame, resightings: DataFrame) -> DataFrame:
+    """What new links and later sightings (normalized_url, last_seen) of known ones add to their hosts."""
+    new = links.groupBy("hostname").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count(F.lit(1)).alias("link_count")
+    )
+    again = with_url_parts(resightings.select("normalized_url", "last_seen")).groupBy("hostname").agg(
+        F.max("last_seen").alias("last_seen")
+    )
+    again = again.select("hostname", F.lit(None).cast("timestamp_ntz").alias("first_seen"), "last_seen", F.lit(0).cast("long").alias("link_count"))
+    return folded_hosts(new.unionByName(again))
+
+
+def folded_hosts(counts: DataFrame) -> DataFrame:
+    """Sums of hosts; they can be folded in any order and any number of times."""
+    return counts.groupBy("hostname").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("link_count").alias("link_count")
+    )
+
+
 def domain_counts(occurrences: DataFrame) -> DataFrame:
     """Hostname and number of links, from occurrences, with as little shuffled as possible."""
     unique = occurrences.where("valid").select("normalized_url", "hostname").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from linkloom.functions.text import iso_time, safe_directory
 from linkloom.operators.search import of_domain
 from linkloom.plans.library import Library
+from linkloom.session import stage
 
 ALL_COLUMNS = (
     "normalized_url",
@@ -116,10 +117,10 @@ def domain_metadata(domains: DataFrame) -> DataFrame:
 def export_directories(links: DataFrame, domains: DataFrame, folder: str) -> None:
     """A folder per host with its links as text and CSV, and a table of host metadata.
 
-    Rows are ranged by host and URL: most hosts lie in one file, a host with very many links in
-    several, and no task writes to more folders than its range holds.
+    Rows are ranged by host and URL, and written once for both formats: most hosts lie in one file, a
+    host with very many links in several, and no task writes to more folders than its range holds.
     """
-    rows = by_directory(links).repartitionByRange("directory", "normalized_url")
+    rows = stage(by_directory(links).repartitionByRange("directory", "normalized_url"))
     sorted_rows = rows.sortWithinPartitions("directory", "normalized_url")
     sorted_rows.write.mode("overwrite").partitionBy("directory").option("header", True).option(
         "escape", '"'

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from linkloom.functions import fixed
 from linkloom.functions.urls import normalize_urls
 from linkloom.operators import filters
-from linkloom.operators.links import described, first_sightings, with_link_ids
+from linkloom.operators.links import described, first_sightings, host_counts, with_link_ids
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.operators.reports import import_report
+from linkloom.operators.trigrams import file_trigrams
 from linkloom.plans.library import Library, sized
 from linkloom.session import stage_counted
 from linkloom.sources.csv import scan_csv
@@ -210,6 +211,11 @@ class Importer:
         library.write_part(first.join(again, "normalized_url", "left_semi"), "resightings", import_id)
 
         added = library.table("links", import_id).where(F.col("import_id") == import_id)
+        resighted = library.table("resightings", import_id).where(F.col("import_id") == import_id)
+        library.write_part(host_counts(added, resighted), "host_counts", import_id)
+        sketch = added.select("registered_domain").where("registered_domain <> ''").distinct()
+        library.write_part(sketch.agg(F.hll_sketch_agg("registered_domain").alias("registered_domains")), "sketches", import_id)
+        library.write_part(file_trigrams(library.of_imports("links", [import_id])), "trigrams", import_id)
         cells = filters.cells_for(indexed["rows"])
         library.write_part(filters.filter_cells(added, "normalized_url", max(cells, 1)), "url_filters", import_id)
         new_hosts = library.write_part(library.new_hosts(added.select("hostname").distinct(), last), "hosts", import_id)

@@ -11,10 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators import filters, workqueue
-from linkloom.operators.links import domains as roll_up_domains
-from linkloom.operators.links import link_sources
-from linkloom.operators.reports import import_activity, recent_activity
+from linkloom.operators import filters, trigrams, workqueue
+from linkloom.operators.links import described_hosts, folded_hosts, host_counts, link_sources
+from linkloom.operators.reports import import_activity, library_totals, recent_activity
 from linkloom.operators.search import PAGE_COLUMNS, LinkFilter, fetch_page, page_size, search, source_links, source_summary
 from linkloom.session import counted, stage
 
@@ -43,6 +42,11 @@ SCHEMAS = {
     "resightings": "normalized_url string, last_seen timestamp_ntz, import_id long",
     "url_filters": "cells long, cell long, bits long, import_id long",
     "hosts": "hostname string, import_id long",
+    "host_counts": (
+        "hostname string, first_seen timestamp_ntz, last_seen timestamp_ntz, link_count long, import_id long"
+    ),
+    "sketches": "registered_domains binary, import_id long",
+    "trigrams": "file string, codes array<int>, import_id long",
     "queue_events": (
         "seq long, action string, link_id long, priority string, event_time timestamp_ntz, change_id long"
     ),
@@ -115,12 +119,32 @@ class Library:
         last = self.last_import() if until is None else until
         return self._read(name).where(F.col("import_id") <= last)
 
-    def of_imports(self, name: str, import_ids: list[int]) -> DataFrame:
-        """A table's rows of some imports; the parts of others are not even listed."""
-        if not import_ids:
+    def search(self, conditions: LinkFilter) -> DataFrame:
+        """The links that meet the conditions, with their queue status, reading few files where ``q`` or
+        ``path_contains`` has three letters in a row.
+
+        Only files that hold all trigrams of these are opened, and those of imports that left none.
+        """
+        wanted = trigrams.pattern_codes(conditions.q) | trigrams.pattern_codes(conditions.path_contains)
+        links = self.table("links")
+        if wanted:
+            last = self.last_import()
+            unindexed = [r.import_id for r in self._filters(last) if r.filter_cells is None]
+            files = self.table("trigrams", last).where(trigrams.holds(wanted)).select("import_id", "file").distinct().collect()
+            places = [f"{self.path('links')}/import_id={r.import_id}/{r.file}" for r in files]
+            places += [f"{self.path('links')}/import_id={i}" for i in unindexed]
+            links = self._read_places("links", places)
+        return search(workqueue.with_status(links, self.queue()), conditions)
+
+    def _read_places(self, name: str, places: list[str]) -> DataFrame:
+        """A table from some of its folders or files; others are not even listed."""
+        if not places:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        parts = [f"{self.path(name)}/import_id={i}" for i in import_ids]
-        return self.spark.read.schema(SCHEMAS[name]).option("basePath", self.path(name)).parquet(*parts)
+        return self.spark.read.schema(SCHEMAS[name]).option("basePath", self.path(name)).parquet(*places)
+
+    def of_imports(self, name: str, import_ids: list[int]) -> DataFrame:
+        """A table's rows of some imports."""
+        return self._read_places(name, [f"{self.path(name)}/import_id={i}" for i in import_ids])
 
     def occurrences(self) -> DataFrame:
         return self.table("occurrences")
@@ -149,7 +173,23 @@ class Library:
         return workqueue.with_status(found, self.queue())
 
     def domains(self) -> DataFrame:
-        return roll_up_domains(self.links(last_seen=True))
+        """Hosts with their first and last sighting and number of links, folded from the sums of each import."""
+        last = self.last_import()
+        counts = self.table("host_counts", last).drop("import_id")
+        older = [r.import_id for r in self._filters(last) if r.filter_cells is None]
+        if older:
+            links, again = self.of_imports("links", older), self.of_imports("resightings", older)
+            counts = counts.unionByName(host_counts(links, again))
+        return described_hosts(folded_hosts(counts))
+
+    def totals(self) -> dict[str, int]:
+        """Links, hosts, registered domains, sources and queue entries, without a look at the links."""
+        return library_totals(self.domains(), self.sources(), self.queue()).first().asDict()
+
+    def registered_domain_estimate(self) -> int:
+        """About how many registered domains there are, from a sketch of fixed size that each import left."""
+        union = self.table("sketches").agg(F.hll_sketch_estimate(F.hll_union_agg("registered_domains")).alias("n"))
+        return union.first().n or 0
 
     def queue_events(self) -> DataFrame:
         return self._read("queue_events")

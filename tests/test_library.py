@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from linkloom.operators.search import LinkFilter, fetch_page
+from linkloom.operators.links import domains
+from linkloom.operators.search import LinkFilter, fetch_page, search
 from linkloom.plans import export
 from linkloom.plans.importer import Importer
 from linkloom.plans.library import Library, utc
@@ -183,7 +184,7 @@ def test_only_imports_whose_filter_fires_are_read(spark, tmp_path, monkeypatch):
 
 def test_libraries_without_filters(spark, tmp_path, monkeypatch):
     """Imports that left no filter, as by an older version, are all read."""
-    commit = Library.commit
+    commit, table = Library.commit, Library.table
     with monkeypatch.context() as patch:
         patch.setattr(Library, "commit", lambda self, *a: commit(self, *a[:-1], None))
         patch.setattr("linkloom.plans.importer.filters.filter_cells", lambda df, c, n: df.sparkSession.createDataFrame([], "cells long, cell long, bits long"))
@@ -195,6 +196,9 @@ def test_libraries_without_filters(spark, tmp_path, monkeypatch):
     assert (report["duplicates"], report["unique_urls"]) == (1, 11)
     assert opened(library.known_links(spark.createDataFrame([("http://h0.test/1",)], "normalized_url string"), 3, 1)) == [1, 2]
     assert {r.hostname for r in library.table("hosts").collect()} == {"fresh.test"}
+    with monkeypatch.context() as patch:
+        patch.setattr(Library, "table", lambda self, name, until=None: table(self, name, until).where("import_id > 2") if name == "host_counts" else table(self, name, until))
+        assert sorted(map(tuple, library.domains().collect())) == sorted(map(tuple, domains(library.links(last_seen=True)).collect()))
 
 
 def test_a_page_reads_the_imports_it_needs(spark, tmp_path, monkeypatch):
@@ -230,6 +234,45 @@ def test_a_page_reads_the_imports_it_needs(spark, tmp_path, monkeypatch):
     assert Library(spark, str(tmp_path / "none")).page()["items"] == []
 
 
+def test_totals_and_hosts_without_the_links(spark, tmp_path, monkeypatch):
+    """Hosts are folded from the sums of the imports: equal to a roll-up of all links, none of which is read."""
+    library = grown(spark, tmp_path, imports=3)
+    again = spark.createDataFrame([(1, "http://h0.test/1"), (2, "http://sub.h9.test/x"), (3, "http://h9.test/")], "position int, u string")
+    Importer(library).import_list(again, "u", "late", utc(T3))
+    want = sorted(tuple(r) for r in domains(library.links(last_seen=True)).collect())
+    found = library.domains()
+    assert not [f for f in found.inputFiles() if "/links/" in f]
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert [str(r.last_seen)[:10] for r in found.where("hostname = 'h0.test'").collect()] == ["2026-01-03"]
+    totals = library.totals()
+    assert totals == {"total_urls": 15, "total_domains": 6, "registered_domains": 6, "source_files": 4, "queued": 0}
+    assert library.registered_domain_estimate() == 6
+    assert Library(spark, str(tmp_path / "none")).registered_domain_estimate() == 0
+
+
+def test_search_opens_files_that_may_match(spark, tmp_path):
+    library = Library(spark, str(tmp_path / "lib"))
+    importer = Importer(library)
+    for name, urls in (
+        ("alpha", ["http://one.test/Museum/map.PDF?q=1", "http://one.test/_x%41/ü"]),
+        ("beta", ["http://two.test/museum", "http://two.test/opening"]),
+        ("gamma", ["http://three.test/a"]),
+    ):
+        rows = spark.createDataFrame(list(enumerate(urls)), "position int, u string")
+        importer.import_list(rows, "u", name, utc(T1))
+    cases = {
+        LinkFilter(q="MUSEUM"): [1, 2], LinkFilter(q="m_seum/%pdf"): [1], LinkFilter(q="two.t", path_contains="open"): [2],
+        LinkFilter(q="gamma"): [3], LinkFilter(q="nowhere"): [], LinkFilter(q="/ü"): [1], LinkFilter(q="xy"): [1, 2, 3],
+        LinkFilter(extension="pdf"): [1, 2, 3], LinkFilter(q="%41/"): [1], LinkFilter(path_contains="museum%"): [1, 2],
+    }
+    for conditions, imports in cases.items():
+        found = library.search(conditions)
+        assert opened(found) == imports, conditions
+        want = search(library.links(), conditions)
+        assert sorted(r.link_id for r in found.collect()) == sorted(r.link_id for r in want.collect()), conditions
+    assert library.search(LinkFilter(q="MUSEUM")).count() == 2
+
+
 def test_progress_in_numbers(spark, tmp_path, inbox):
     """The numbers of an import come while it writes, and agree with its report."""
     told = []
@@ -318,7 +361,7 @@ def test_queue_of_a_library(spark, tmp_path, inbox):
     assert details[:2] == [("HARVEST QUEUED", "1 urls"), ("EXPORT CREATED", "2 txt")]
 
 
-def test_exports(spark, tmp_path, inbox):
+def test_exports(spark, tmp_path, inbox, monkeypatch):
     library = Library(spark, str(tmp_path / "lib"))
     Importer(library).import_path(str(inbox), utc(T1))
     links = library.links()
@@ -331,7 +374,13 @@ def test_exports(spark, tmp_path, inbox):
     export.export_domain(links, "example.gov", str(tmp_path / "dom"), "json")
     urls = [r.url for r in spark.read.json(str(tmp_path / "dom")).orderBy("url").collect()]
     assert urls == ["https://example.gov/s.pdf", "https://plans.example.gov/p.csv"]
+    plans = []
+    for kind in ("csv", "text", "parquet"):
+        own = getattr(DataFrameWriter, kind)
+        monkeypatch.setattr(DataFrameWriter, kind, lambda self, *a, own=own, **k: (plans.append(self._df), own(self, *a, **k))[1])
     export.export_directories(links, library.domains(), str(tmp_path / "dirs"))
+    ranged = [p for p in plans if "rangepartitioning" in p._jdf.queryExecution().executedPlan().toString()]
+    assert len(plans) == 3 and len(ranged) == 1  # one range sort for both formats
     names = sorted(p.name for p in (tmp_path / "dirs" / "links_csv").iterdir() if p.is_dir())
     assert names == [f"directory={h}" for h in ("example.gov", "maps.example.net", "museum.example.org", "plans.example.gov")]
     assert spark.read.json(str(tmp_path / "dirs" / "metadata")).agg(F.sum("link_count")).first()[0] == 5

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from linkloom.operators import links as L
 from linkloom.operators import reports as R
+from linkloom.operators import search
 from linkloom.operators import workqueue as Q
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.operators.occurrences import occurrences
@@ -152,3 +153,15 @@ def test_reports(spark):
     assert tuple(R.library_totals(domains.where("false"), sources, queue.limit(0)).first()) == (0, 0, 0, 5, 0)
     assert R.registered_domain_count(domains).first()[0] == R.registered_domain_count(domains, True).first()[0] == 1
     assert [tuple(r) for r in R.tld_breakdown(domains).collect()] == [(".com", 5), (".gov", 4)]
+
+
+def test_history_of_a_hot_source_is_dealt_over_blocks(spark, monkeypatch):
+    """With many sources, a source that holds nearly all places is joined in many tasks."""
+    places = spark.range(4000).selectExpr("concat('u', id) AS normalized_url", "if(id < 3900, 1L, id) AS source_id", "id AS source_row", "'c' AS source_column")
+    sources = places.selectExpr("source_id", "concat('s', source_id) AS source_file", "timestamp_ntz'2026-01-01' AS imported_at").distinct()
+    want = sorted(map(tuple, search.source_history(places, sources).collect()))
+    monkeypatch.setattr(search, "BROADCAST_SOURCES", 5)
+    found = search.source_history(places, sources)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 4000
+    keyed = places.withColumn("block", F.pmod(F.xxhash64("normalized_url", "source_row"), F.lit(search.SOURCE_BLOCKS)))
+    assert keyed.groupBy("source_id", "block").count().agg(F.max("count")).first()[0] < 200
