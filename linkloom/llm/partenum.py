@@ -11,8 +11,8 @@ link is lost. A choice in which a set has nothing is no signature; sets with not
 
 Sharing a signature only names candidates. They are compared with the smallest document of their
 group first, not pair by pair; groups whose documents are then one class are done, however large. Of
-groups with the same documents one is kept. What is left is compared within groups, block by block, in
-rounds: first some FIRST partners of each document, by a hash of the pair, then four times as many, and
+groups with the same documents one is kept. What is left is compared within groups, block by block: each
+document in the largest of its groups, then in all that still hold several classes. That goes in rounds: first some FIRST partners of each document, by a hash of the pair, then four times as many, and
 so on until every pair had its turn. Groups whose documents have become one class drop out after each
 round, so few come to the later ones. Counts of shingles in cells are compared first: their differences
 add up to no more than the sets differ, so what exceeds the bound is no link, and only the rest is
@@ -40,7 +40,7 @@ BROADCAST_IDS = 200_000
 GROUP = 512  # rows that are compared in one place; larger groups come in blocks of so many
 MOST = 16 * GROUP  # still larger groups are signed on the next level
 SKETCH = 64  # cells, a byte each
-FINE = 256  # cells that are compared within groups
+FINE = 128  # cells that are compared within groups
 FIRST = 8  # partners a document is compared with in the first round
 FILTER_BITS = 1 << 27  # at most, of the filter of shared signatures
 HOT_SHARE = 1000  # equal sets of more than 1/HOT_SHARE of all rows are hot; there are fewer than that many
@@ -397,17 +397,17 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     digests = stage(set_digests(docs, words))
     same = ["n_shingles", "h1", "h2"]
     real = digests.where("doc_id IS NOT NULL AND n_shingles > 0")
-    placed = _placed(real, same)
+    placed = _placed(real.select("doc_id", *same), same)
     # an id with several sets is a node of its own, has no sketch, and is tied to the classes of its sets
     several = F.lit(False)
     for c in same:
         several = several | (F.min(c) < F.max(c))
-    class_of = placed.groupBy("doc_id").agg(
-        several.alias("several"), F.min("node").alias("node"), F.min("n_shingles").alias("size"), *[F.min(c).alias(c) for c in CELLS + FINE_CELLS]
-    )
+    class_of = placed.groupBy("doc_id").agg(several.alias("several"), F.min("node").alias("node"), F.min("n_shingles").alias("size"))
     class_of = stage(class_of.withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("node"))))
     nodes = class_of.where(F.col("doc_id") == F.col("node"))
-    nodes = stage(nodes.select("node", F.when(F.col("several"), -1).otherwise(F.col("size")).alias("size"), *CELLS, *FINE_CELLS))
+    nodes = nodes.select("node", F.when(F.col("several"), -1).otherwise(F.col("size")).alias("size"))
+    sketches = real.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in CELLS + FINE_CELLS])
+    nodes = stage(nodes.join(sketches, F.col("node") == F.col("doc_id")).drop("doc_id"))
     mixed = class_of.where("several").select(F.col("doc_id").alias("b"))
     if mixed.isEmpty():
         links = mixed.select(F.col("b").alias("a"), "b")
@@ -435,17 +435,23 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         left = stage(left.drop("component"))
         if left.isEmpty():
             break
-        close = left.where(F.col("n_nodes") <= GROUP).unionByName(in_blocks(left.where(blocks))).select("signature", "node")
-        for turn in range(len(turns(2 * GROUP))):
-            close = stage(_undecided(close, label))
-            if close.isEmpty():
-                break
-            sketched = close.join(nodes.select(F.col("node").alias("of"), "size", *FINE_CELLS), F.col("node") == F.col("of")).drop("of")
-            pairs = group_pairs(sketched, percent, turn).distinct()
-            pairs = stage(pairs.join(done, ["a", "b"], "left_anti"))
-            label = _joined(label, linked(pairs, known, words, percent))
-            done = done.unionByName(pairs)
-            close = close.select("signature", "node")
+        close = left.where(F.col("n_nodes") <= GROUP).unionByName(in_blocks(left.where(blocks)))
+        close = stage(close.select("signature", "node"))
+        # each document in the largest of its groups first; what they join need not be compared in the others
+        sizes = close.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+        largest = close.join(sizes.withColumnRenamed("signature", "s"), F.col("signature") == F.col("s"))
+        largest = largest.groupBy("node").agg(F.max(F.struct("n", "signature")).alias("best"))
+        largest = stage(largest.select("best.signature", "node"))
+        for rows, rounds in ((largest, 2), (close, len(turns(2 * GROUP)))):
+            for turn in range(rounds):
+                rows = stage(_undecided(rows, label))
+                if rows.isEmpty():
+                    break
+                sketched = rows.join(nodes.select(F.col("node").alias("of"), "size", *FINE_CELLS), F.col("node") == F.col("of")).drop("of")
+                pairs = group_pairs(sketched, percent, turn).distinct()
+                pairs = stage(pairs.join(done, ["a", "b"], "left_anti"))
+                label = _joined(label, linked(pairs, known, words, percent))
+                done = done.unionByName(pairs)
         if last:
             break
         rest = stage(left.where(F.col("n_nodes") > MOST).select("node").distinct())
