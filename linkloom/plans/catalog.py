@@ -158,6 +158,40 @@ def stream_import(spark, sf):
     return library.domains().select("hostname", "registered_domain", "link_count")
 
 
+def _two_lists(spark: SparkSession, sf: str) -> Library:
+    """A library after two lists were imported, the second of which has much of the first."""
+    library = Library(spark, f"{shared_folder(spark)}/linkloom-library-{uuid.uuid4().hex}")
+    importer = Importer(library)
+    pages = corpus.derived(spark, sf, corpus.PAGE_LIST, "pages")
+    importer.import_list(pages, "url", "pages", utc("2026-01-01 00:00:00"))
+    importer.import_list(corpus.derived(spark, sf, corpus.URL_LIST, "pages"), "url", "list", utc("2026-01-02 00:00:00"))
+    return library
+
+
+def import_again(spark, sf):
+    """What each of two imports found that have URLs in common."""
+    sources = _two_lists(spark, sf).sources()
+    return sources.select("source_id", "source_file", "urls_discovered", "urls_inserted", "duplicates", "invalid_urls")
+
+
+def library_hosts(spark, sf):
+    """Hosts folded from what each import left of them."""
+    return _two_lists(spark, sf).domains()
+
+
+def library_search(spark, sf):
+    """A search by the trigrams of a library's files."""
+    found = _two_lists(spark, sf).search(S.LinkFilter(q="TION", path_contains="/en/"))
+    return found.select("link_id", "normalized_url", "source_file", "status")
+
+
+def library_page(spark, sf):
+    """A page of a library's links, of the imports that it takes."""
+    page = _two_lists(spark, sf).page(S.LinkFilter(scheme="https"), limit=60, after=101)
+    rows = [(i["link_id"], i["normalized_url"], page["next"]) for i in page["items"]]
+    return spark.createDataFrame(rows, "link_id long, normalized_url string, next_id long")
+
+
 def page_links_query(spark, sf):
     pages = corpus.derived(spark, sf, corpus.RESULT_PAGES, "pages")
     return page_links(pages, "page_id").select("page_id", "position", "url")
@@ -498,6 +532,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "new_files_only": new_files_only,
     "ingest_url_table": ingest_url_table,
     "stream_import": stream_import,
+    "import_again": import_again,
+    "library_hosts": library_hosts,
+    "library_search": library_search,
+    "library_page": library_page,
     "page_links": page_links_query,
     "harvested_links": harvested_links,
     "extract_urls": extract_urls_query,

@@ -148,6 +148,8 @@ SELECT p.page_id, 'yahoo' AS engine,
 FROM pages p JOIN ({RESULT_LINKS}) l ON p.page_id = l.page_id AND l.engine = 'yahoo' AND l.href LIKE 'https://r.%'
 """
 
+PAGE_LIST = "SELECT page_id + 1 AS position, url FROM pages"
+
 URL_LIST = """
 SELECT page_id + 1 AS position,
        CASE page_id % 5 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN replace(url, 'http', 'ftp')

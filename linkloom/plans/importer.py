@@ -1,6 +1,7 @@
 """Importing files and URL lists into a library."""
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -208,17 +209,33 @@ class Importer:
         numbers |= {"inserted": indexed["rows"]}
         numbers |= {"duplicate": numbers["discovered"] - numbers["invalid"] - numbers["inserted"]}
         self._tell("INDEXED", numbers)
-        library.write_part(first.join(again, "normalized_url", "left_semi"), "resightings", import_id)
-
-        added = library.table("links", import_id).where(F.col("import_id") == import_id)
-        resighted = library.table("resightings", import_id).where(F.col("import_id") == import_id)
-        library.write_part(host_counts(added, resighted), "host_counts", import_id)
-        sketch = added.select("registered_domain").where("registered_domain <> ''").distinct()
-        library.write_part(sketch.agg(F.hll_sketch_agg("registered_domain").alias("registered_domains")), "sketches", import_id)
-        library.write_part(file_trigrams(library.of_imports("links", [import_id])), "trigrams", import_id)
+        added = library.of_imports("links", [import_id])
         cells = filters.cells_for(indexed["rows"])
-        library.write_part(filters.filter_cells(added, "normalized_url", max(cells, 1)), "url_filters", import_id)
-        new_hosts = library.write_part(library.new_hosts(added.select("hostname").distinct(), last), "hosts", import_id)
+
+        def resighted() -> None:
+            library.write_part(first.join(again, "normalized_url", "left_semi"), "resightings", import_id)
+            library.write_part(host_counts(added, library.of_imports("resightings", [import_id])), "host_counts", import_id)
+
+        def sketched() -> None:
+            domains = added.select("registered_domain").where("registered_domain <> ''").distinct()
+            sketch = domains.agg(F.hll_sketch_agg("registered_domain").alias("registered_domains"))
+            library.write_part(sketch, "sketches", import_id)
+
+        def filtered() -> None:
+            library.write_part(filters.filter_cells(added, "normalized_url", max(cells, 1)), "url_filters", import_id)
+
+        def hosts() -> int:
+            found = library.new_hosts(added.select("hostname").distinct(), last)
+            return library.write_part(found, "hosts", import_id)["rows"]
+
+        # small jobs that need nothing of each other
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            new_hosts = pool.submit(hosts)
+            waiting = [pool.submit(f) for f in (resighted, sketched, filtered)]
+            waiting.append(pool.submit(library.write_part, file_trigrams(added), "trigrams", import_id))
+            for written_part in waiting:
+                written_part.result()
+            new_hosts = new_hosts.result()
         inserted = added.groupBy("source_id").agg(F.count(F.lit(1)).alias("urls_inserted"))
         seen = written.groupBy("source_id").agg(
             F.count(F.lit(1)).alias("urls_discovered"),
@@ -245,7 +262,7 @@ class Importer:
             "last_source_id": of_import.agg(F.coalesce(F.max("source_id"), F.lit(before["last_source_id"]))).first()[0],
             "last_link_id": before["last_link_id"] + indexed["rows"],
             "unique_urls": before["unique_urls"] + report["unique_urls"],
-            "unique_domains": before["unique_domains"] + new_hosts["rows"],
+            "unique_domains": before["unique_domains"] + new_hosts,
             "http_urls": before["http_urls"] + report["http_urls"],
             "https_urls": before["https_urls"] + report["https_urls"],
         }
