@@ -28,6 +28,7 @@ CLASSES = ("upper", "lower", "digit", "mark", "stop", "space", "line")
 NAMES = ("size", "upper", "digit", "mark", "stop", "line", "word_length", "distinct", "distinct_low", "upper_high", "mark_high")
 BROADCAST_SITES = 50_000
 HOST, PATH = "source", "lang"
+SLICE = 1 << 20  # bytes of text whose features are worked out at once; some hundred bytes a byte are needed
 
 
 def _class_table() -> np.ndarray:
@@ -78,9 +79,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Logistic:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column("text"))
-            columns = {n: pa.array(x[:, i], pa.float64()) for i, n in enumerate(NAMES)}
-            yield pa.RecordBatch.from_pydict({**columns, "label": batch.column("label")})
+            for part in slices(batch, "text", SLICE):
+                x = features(part.column("text"))
+                columns = {n: pa.array(x[:, i], pa.float64()) for i, n in enumerate(NAMES)}
+                yield pa.RecordBatch.from_pydict({**columns, "label": part.column("label")})
 
     kinds = ", ".join(f"{n} double" for n in NAMES)
     rows = labelled(docs, labels, "quality", most).mapInArrow(run, f"{kinds}, label int").toPandas()
@@ -96,7 +98,7 @@ def evidence(model: Logistic, text: Column) -> Column:
     @F.pandas_udf("double")
     def told(texts: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_pydict({"text": pa.array(texts.fillna("").tolist(), pa.string())})
-        parts = [model.logit(features(p.column("text"))) for p in slices(batch, "text")]
+        parts = [model.logit(features(p.column("text"))) for p in slices(batch, "text", SLICE)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0)).clip(-12, 12)
 
     return told(text)
