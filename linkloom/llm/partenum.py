@@ -41,6 +41,7 @@ GROUP = 512  # rows that are compared in one place; larger groups come in blocks
 MOST = 16 * GROUP  # still larger groups are signed on the next level
 SKETCH = 64  # cells, a byte each
 FINE = 128  # cells that are compared within groups
+COMPARED = 8192  # pairs of sketches at a time
 FIRST = 8  # partners a document is compared with in the first round
 FILTER_BITS = 1 << 27  # at most, of the filter of shared signatures
 HOT_SHARE = 1000  # equal sets of more than 1/HOT_SHARE of all rows are hot; there are fewer than that many
@@ -207,19 +208,16 @@ def group_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
         low, high = (int(x * 2**53) for x in own[turn])
         cells, size = _matrix(group, names=FINE_CELLS)
         node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
-        first, second = [], []
-        for i in range(len(node) - 1):
-            other = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
-            least, most = np.minimum(node[i], node[other]), np.maximum(node[i], node[other])
-            place = mixed(mixed(least.view(np.uint64), 61) + most.view(np.uint64), 62) >> np.uint64(11)
-            other = other[(place >= np.uint64(low)) & (place < np.uint64(high))]
-            if len(other):
-                other = other[_may_link(cells[i], size[i], cells[other], size[other], percent)]
-                first.append(np.full(len(other), node[i]))
-                second.append(node[other])
-        if not first:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        x, y = np.concatenate(first), np.concatenate(second)
+        least, most = np.minimum.outer(node, node), np.maximum.outer(node, node)
+        place = mixed(mixed(least.view(np.uint64), 61) + most.view(np.uint64), 62) >> np.uint64(11)
+        mine = (place >= np.uint64(low)) & (place < np.uint64(high)) & (component[:, None] != component)
+        first, second = np.nonzero(np.triu(mine, 1))
+        kept = [np.zeros(0, dtype=bool)]
+        for at in range(0, len(first), COMPARED):
+            i, j = first[at : at + COMPARED], second[at : at + COMPARED]
+            kept.append(_may_link(cells[i], size[i], cells[j], size[j], percent))
+        kept = np.concatenate(kept)
+        x, y = node[first[kept]], node[second[kept]]
         return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +319,13 @@ def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                         {"a": part.column("a").filter(mask), "b": part.column("b").filter(mask)}
                     )
 
-    texts = _text_rows(docs)
-    left = texts.select(F.col("doc_id").alias("ka"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("kb"), F.col("text").alias("text_b"))
-    met = pairs.join(left, F.col("a") == F.col("ka")).select("a", "b", "text_a")
-    met = met.join(right, F.col("b") == F.col("kb")).select("a", "b", "text_a", "text_b")
+    texts = _text_rows(docs).withColumnRenamed("doc_id", "of")
+    left, right = pairs, texts
+    if pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then just the texts that are compared are shuffled
+        left = F.broadcast(pairs)
+        right = texts.join(F.broadcast(pairs.select(F.col("b").alias("kb")).distinct()), F.col("of") == F.col("kb"), "left_semi")
+    met = texts.join(left, F.col("of") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
+    met = met.join(right, F.col("b") == F.col("of")).select("a", "b", "text_a", F.col("text").alias("text_b"))
     return met.mapInArrow(run, "a long, b long").distinct()
 
 

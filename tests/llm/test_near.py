@@ -82,6 +82,7 @@ def test_levels_of_signatures(spark, monkeypatch, most):
     monkeypatch.setattr(partenum, "GROUP", 2)
     monkeypatch.setattr(partenum, "MOST", most)
     monkeypatch.setattr(partenum, "FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(partenum, "BROADCAST_IDS", 3 if most == 2 else 200_000)
     monkeypatch.setattr(partenum, "HOT_SHARE", 10**9 if most == 2 else 1)
     rows = corpus(9)[::3]
     table = spark.createDataFrame(rows, "doc_id long, text string")
