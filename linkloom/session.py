@@ -102,6 +102,18 @@ def scratch(spark: SparkSession) -> Iterator[str]:
             delete_folder(spark, folder)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python functions that run meanwhile get at most so many rows at once: for rows with whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet and return the written table.
 
