@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from linkloom.llm.batches import free_name, slices, whole_text
 from linkloom.llm.components import components
 from linkloom.llm.shingles import mixed, shingle_sets
-from linkloom.session import delete_folder, new_scope, stage
+from linkloom.session import arrow_batches, delete_folder, new_scope, stage
 
 BROADCAST_IDS = 200_000
 GROUP = 512  # rows that are compared in one place; larger groups come in blocks of so many
 MOST = 16 * GROUP  # still larger groups are signed on the next level
 SKETCH = 64  # cells, a byte each
 FINE = 128  # cells that are compared within groups
+BATCH_ROWS = 2000  # that a Python function gets at once; a pair has two whole texts
 COMPARED = 8192  # pairs of sketches at a time
 FIRST = 8  # partners a document is compared with in the first round
 FILTER_BITS = 1 << 27  # at most, of the filter of shared signatures
@@ -379,20 +380,8 @@ def _groups(rows: DataFrame, class_of: DataFrame) -> DataFrame:
     return nodes.join(sizes, F.col("signature") == F.col("s")).select("signature", "node", "pivot", "n_nodes", "weight")
 
 
-def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: classes of texts linked by similarity.
-
-    Texts are lower-cased (A-Z) and cut at white space; a text's set are its distinct shingles of
-    ``words`` words, a shorter text's whole sequence is one. Two documents link when
-    100 * common >= percent * union. A text that is null or has no words has no shingle and no link.
-    component_id is the smallest doc_id reachable; a document without links is its own. Rows that
-    share a doc_id are one node: each is returned, and they are linked through their id. Rows without
-    doc_id are returned with null and are never linked. An empty table gives no rows; other columns
-    are not looked at.
-    """
-    if not 50 <= percent <= 100:
-        raise ValueError("percent has to lie between 50 and 100")
-    docs = _text_rows(docs)
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Digests of all rows, the node of every doc_id, and the component of every node with a link."""
     known = docs.where(F.col("doc_id").isNotNull())
     digests = stage(set_digests(docs, words))
     same = ["n_shingles", "h1", "h2"]
@@ -458,6 +447,24 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if rest.isEmpty():
             break
         signing = known.join(rest, F.col("doc_id") == F.col("node"), "left_semi")
+    return digests, class_of, label
+
+
+def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: classes of texts linked by similarity.
+
+    Texts are lower-cased (A-Z) and cut at white space; a text's set are its distinct shingles of
+    ``words`` words, a shorter text's whole sequence is one. Two documents link when
+    100 * common >= percent * union. A text that is null or has no words has no shingle and no link.
+    component_id is the smallest doc_id reachable; a document without links is its own. Rows that
+    share a doc_id are one node: each is returned, and they are linked through their id. Rows without
+    doc_id are returned with null and are never linked. An empty table gives no rows; other columns
+    are not looked at.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent has to lie between 50 and 100")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        digests, class_of, label = _classes(_text_rows(docs), words, percent)
     named = class_of.select("doc_id", "node").join(label.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
     named = named.select("doc_id", F.coalesce("component", "node").alias("component_id"))
     keyed = named.withColumnRenamed("doc_id", "k")
