@@ -15,15 +15,21 @@ from linkloom.llm import decontamination, packing, partenum, quality, toxicity
 from linkloom.session import delete_folder, new_scope, ship_package, staging_below
 
 WORDS, PERCENT = 5, 80  # near duplicates: shingles of five words, similarity 0.8 or more
+BATCH_ROWS = "2000"  # whole texts that a Python function gets at once
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[str] = []
 
 
 def _own_scope(stage: Stage) -> Stage:
-    """The stage with a folder of its own for what it writes; that of the stage before is deleted."""
+    """The stage with a folder of its own for what it writes; that of the stage before is deleted.
+
+    Its result is worked out after it has returned, so the size of batches stays set in the session.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        spark.conf.set(BATCHES, BATCH_ROWS)
         while _left:
             delete_folder(spark, _left.pop())
         _left.append(new_scope(spark))
@@ -84,6 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each one's result is written and read again."""
     docs = _table(spark, sf_dir, "documents")
     scope = new_scope(spark)
+    batches = spark.conf.get(BATCHES)
     before = None
     for name, stage in STAGES:
         path = f"{scope}/{name}"
@@ -94,4 +101,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before = path
     while _left:
         delete_folder(spark, _left.pop())
+    spark.conf.set(BATCHES, batches)
     return docs
