@@ -176,10 +176,10 @@ def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array(_may_link(*_matrix(batch, "_a"), *_matrix(batch, "_b"), percent), pa.bool_())
+            mask = pa.array(_may_link(*_matrix(batch, "_a", FINE_CELLS), *_matrix(batch, "_b", FINE_CELLS), percent), pa.bool_())
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(mask) for c in ("a", "b")})
 
-    nodes = nodes.select("node", "size", *CELLS)
+    nodes = nodes.select("node", "size", *FINE_CELLS)
     sides = [nodes.withColumnsRenamed({c: f"{c}_{x}" for c in nodes.columns}) for x in ("a", "b")]
     met = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b"))
     return met.mapInArrow(run, "a long, b long")
