@@ -19,12 +19,12 @@ def _base(url: Column) -> Column:
 
 
 def _run(url: Column, base: Column) -> Column:
-    return F.substring(url, F.length(base) + 1, F.length(url))
+    return F.substring(url, F.length(base) + 1, F.lit(fixed.TO_THE_END))
 
 
 def _kept(base: Column, run: Column) -> Column:
     balance = F.least(_count(base, "(") - _count(base, ")"), _count(run, ")"))
-    return F.when(F.length(run) == 0, 0).otherwise(balance)
+    return F.when(run == "", 0).otherwise(balance)
 
 
 def _stripped(base: Column, run: Column, kept: Column) -> Column:

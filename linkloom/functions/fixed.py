@@ -36,6 +36,8 @@ CONTROLS = "".join(chr(i) for i in range(33))
 # Prose punctuation dropped from the end of a match. Brackets, braces and quotes cannot occur in one.
 TRAILING_PUNCTUATION = ".,;:!?)]}'\"”’»"
 MAX_URL_LENGTH = 8192
+# A length beyond any text's, so that what is left of one is taken without counting its characters.
+TO_THE_END = 2**31 - 1
 
 DEFAULT_SCHEMES = ("http", "https")
 DEFAULT_PORTS = {"http": 80, "https": 443}

@@ -13,7 +13,7 @@ from linkloom.functions.barrier import computed_once
 
 def _rest(text: Column, taken: Column, skip: int = 1) -> Column:
     """What follows ``taken`` and ``skip`` separators in ``text``."""
-    return F.substring(text, F.length(taken) + 1 + skip, F.length(text))
+    return F.substring(text, F.length(taken) + 1 + skip, F.lit(fixed.TO_THE_END))
 
 
 def trim_space(text: Column) -> Column:
@@ -60,7 +60,7 @@ def split_url(df: DataFrame, url: str) -> DataFrame:
     """
     u = F.col(url)
     rest, authority, place = F.col("rest"), F.col("authority"), F.col("place")
-    after_slashes = F.substring(rest, F.lit(3), F.length(rest))
+    after_slashes = F.substring(rest, F.lit(3), F.lit(fixed.TO_THE_END))
     for mark in "/?#":
         after_slashes = F.substring_index(after_slashes, mark, 1)
     return (

@@ -1,5 +1,7 @@
 """Links, domains and provenance derived from occurrences."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,33 +12,46 @@ from linkloom.operators.numbering import with_dense_ids
 from linkloom.operators.occurrences import READING_ORDER
 
 
-def first_sightings(occurrences: DataFrame) -> DataFrame:
+# What a first sighting can tell, besides its URL.
+SIGHTING_COLUMNS = (*READING_ORDER, "source_file", "source_column", "first_seen", "last_seen", "sightings", "original_url")
+# What aggregates of fixed width tell, with no struct to compare.
+_PLAIN = {"source_id", "last_seen", "sightings"}
+
+
+def first_sightings(occurrences: DataFrame, wanted: Sequence[str] = SIGHTING_COLUMNS) -> DataFrame:
     """One row per valid normalized_url: its first occurrence, last sighting and frequency.
 
     A minimum over a struct that starts with the reading order needs a single shuffle and is
     combined on the map side, so a URL that holds a third of all rows is sent once per task. The
     URL parts follow from normalized_url and are not shuffled; the original text only where it
-    differs.
+    differs, and of all columns just those ``wanted``. Where these are of fixed width, the reading
+    order's first column included, it is a hash aggregate: nothing is sorted.
     """
-    first = F.struct(
-        *READING_ORDER,
-        F.expr("nullif(raw_url, normalized_url)").alias("raw_url"),
-        "source_file",
-        "source_column",
-        F.col("seen_at").alias("first_seen"),
-    )
-    return (
-        occurrences.where("valid")
-        .groupBy("normalized_url")
-        .agg(
-            F.min(first).alias("first"),
-            F.max("seen_at").alias("last_seen"),
-            F.count(F.lit(1)).alias("sightings"),
-        )
-        .select("normalized_url", "first.*", "last_seen", "sightings")
-        .withColumn("original_url", F.coalesce("raw_url", "normalized_url"))
-        .drop("raw_url")
+    plain = {
+        "source_id": F.when(~F.bool_or(F.col("source_id").isNull()), F.min("source_id")),
+        "last_seen": F.max("seen_at"),
+        "sightings": F.count(F.lit(1)),
+    }
+    grouped = occurrences.where("valid").groupBy("normalized_url")
+    names = [c for c in SIGHTING_COLUMNS if c in wanted]
+    if set(names) <= _PLAIN:
+        if not names:
+            return occurrences.where("valid").select("normalized_url").distinct()
+        return grouped.agg(*[plain[c].alias(c) for c in names])
+    carried = {
+        "original_url": F.expr("nullif(raw_url, normalized_url)").alias("original_url"),
+        "source_file": F.col("source_file"),
+        "source_column": F.col("source_column"),
+        "first_seen": F.col("seen_at").alias("first_seen"),
+    }
+    first = F.struct(*READING_ORDER, *[c for name, c in carried.items() if name in names])
+    found = grouped.agg(
+        F.min(first).alias("first"), *[plain[c].alias(c) for c in ("last_seen", "sightings") if c in names]
     )
+    told = {c: F.col(c) if c in ("last_seen", "sightings") else F.col(f"first.{c}") for c in names}
+    if "original_url" in told:
+        told["original_url"] = F.coalesce("first.original_url", "normalized_url")
+    return found.select("normalized_url", *[c.alias(name) for name, c in told.items()])
 
 
 def sighting_times(occurrences: DataFrame) -> DataFrame:
@@ -70,17 +85,23 @@ def described(first: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     return with_registered_domain(with_url_parts(first), rules=rules)
 
 
-def links(occurrences: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def links(
+    occurrences: DataFrame, rules: DataFrame | None = None, wanted: Sequence[str] = SIGHTING_COLUMNS
+) -> DataFrame:
     """The link table without ids."""
-    return described(first_sightings(occurrences), rules)
+    return described(first_sightings(occurrences, wanted), rules)
 
 
-def with_link_ids(first: DataFrame, start: Column | int = 1) -> DataFrame:
+def with_link_ids(
+    first: DataFrame, start: Column | int = 1, wanted: Sequence[str] = SIGHTING_COLUMNS
+) -> DataFrame:
     """Number first sightings in their order, so that the highest id is the newest link.
 
-    Numbering writes the rows once, so it comes before the columns that can be derived.
+    Numbering writes the rows once, so it comes before the columns that can be derived, and without
+    those columns of the order that are not ``wanted``.
     """
-    return with_dense_ids(first, list(READING_ORDER), "link_id", start)
+    left_out = [c for c in READING_ORDER if c not in wanted]
+    return with_dense_ids(first, list(READING_ORDER), "link_id", start, left_out)
 
 
 def domains(links: DataFrame, rules: DataFrame | None = None) -> DataFrame:

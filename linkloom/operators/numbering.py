@@ -1,5 +1,7 @@
 """Consecutive numbers over a total order, without sorting in one task."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,8 +10,10 @@ from linkloom.session import stage
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in these bits
 
 
-def with_dense_ids(df: DataFrame, order: list[Column | str], name: str, start: Column | int = 1) -> DataFrame:
-    """Add ``name``: start, start+1, … in the order of the given columns.
+def with_dense_ids(
+    df: DataFrame, order: list[Column | str], name: str, start: Column | int = 1, left_out: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``name``: start, start+1, … in the order of the given columns; those ``left_out`` go.
 
     The rows are range-partitioned and sorted, and written once with their place in their
     partition. Only one count per partition is summed up, so the window over them and the
@@ -19,6 +23,7 @@ def with_dense_ids(df: DataFrame, order: list[Column | str], name: str, start: C
     ranged = stage(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
+        .drop(*left_out)
         .withColumn("spot", spot)
         .withColumn("range_no", F.shiftright("spot", _ROW_BITS))
     )

@@ -74,11 +74,14 @@ def queue_list(queue: DataFrame, links: DataFrame, limit: int | None = 50, offse
 def add_events(
     queue: DataFrame, links: DataFrame, wanted: DataFrame, priority: Column, at: Column, seq: Column
 ) -> DataFrame:
-    """ADD events for the wanted links that exist and are not queued yet."""
+    """ADD events for the wanted links that exist and are not queued yet.
+
+    The wanted links are few beside all links, which are not shuffled where the wanted can be broadcast.
+    """
     return (
-        wanted.select("link_id")
+        links.select("link_id")
+        .join(wanted.select("link_id"), "link_id", "left_semi")
         .distinct()
-        .join(links.select("link_id"), "link_id", "left_semi")
         .join(queue.select("link_id"), "link_id", "left_anti")
         .select(
             seq.cast("long").alias("seq"),

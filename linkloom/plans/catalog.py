@@ -15,11 +15,11 @@ from linkloom.operators import reports as R
 from linkloom.operators import search as S
 from linkloom.operators import workqueue as Q
 from linkloom.operators.hosts import with_registered_domain
-from linkloom.operators.occurrences import occurrences
+from linkloom.operators.occurrences import READING_ORDER, occurrences
 from linkloom.plans import corpus, export
 from linkloom.plans.importer import Importer
-from linkloom.plans.library import Library, utc
-from linkloom.session import shared_folder, spread, stage
+from linkloom.plans.library import Library, sized, utc
+from linkloom.session import shared_folder, spread, stage, stage_counted
 from linkloom.sources.csv import csv_dialects, scan_cells, scan_csv
 from linkloom.sources.files import discover_files, fingerprints
 from linkloom.sources.pages import distinct_links, page_links
@@ -35,32 +35,55 @@ LINK_COLUMNS = (
     "link_id", "normalized_url", "original_url", "scheme", "hostname", "registered_domain", "port", "path",
     "query", "fragment", "first_seen", "last_seen", "source_file", "source_row", "source_column",
 )
+# What the places of links are made of.
+PLACE_COLUMNS = ("normalized_url", "source_id", "source_row", "source_column", "valid")
+# What a list of links shows of their sightings.
+LISTED = tuple(c for c in S.PAGE_COLUMNS if c in L.SIGHTING_COLUMNS)
 
 
 def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return occurrences(corpus.records(spark, sf))
 
 
-def _links(spark: SparkSession, sf: str) -> DataFrame:
-    return L.links(_occurrences(spark, sf))
+def _links(spark: SparkSession, sf: str, *told: str) -> DataFrame:
+    """Links, with those columns of their sightings that are told."""
+    return L.links(_occurrences(spark, sf), wanted=told)
 
 
-def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return L.with_url_parts(L.with_link_ids(L.first_sightings(_occurrences(spark, sf))))
+def _numbered(spark: SparkSession, sf: str, *told: str, found: DataFrame | None = None) -> DataFrame:
+    """Numbered links, with those columns of their sightings that are told."""
+    found = _occurrences(spark, sf) if found is None else found
+    first = L.first_sightings(found, (*READING_ORDER, *told))
+    return L.with_url_parts(L.with_link_ids(first, wanted=told))
+
+
+def _settled(queue: DataFrame) -> DataFrame:
+    """The queue as a written table, which is broadcast if it is small: links are far more."""
+    written, told = stage_counted(queue)
+    return sized(written, told["rows"])
 
 
 def _queue(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.current_queue(corpus.queue_events(spark, sf))
+    return _settled(Q.current_queue(corpus.queue_events(spark, sf)))
 
 
-def _link_list(spark: SparkSession, sf: str) -> DataFrame:
+def _link_list(spark: SparkSession, sf: str, *told: str, found: DataFrame | None = None) -> DataFrame:
     """Numbered links with registered domain and the status the queue gives them."""
-    return Q.with_status(with_registered_domain(_numbered(spark, sf)), _queue(spark, sf))
+    return Q.with_status(with_registered_domain(_numbered(spark, sf, *told, found=found)), _queue(spark, sf))
+
+
+def _counted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Occurrences and first sightings as counters of sources need them."""
+    found = corpus.occurrence_table(spark, sf, "source_id", "normalized_url", "valid")
+    return found, L.first_sightings(found, ("source_id",))
+
+
+def _source_table(spark: SparkSession, sf: str, found: DataFrame, first: DataFrame) -> DataFrame:
+    return corpus.source_table(corpus.records(spark, sf, dealt=False), found, first)
 
 
 def _sources(spark: SparkSession, sf: str) -> DataFrame:
-    found = corpus.occurrence_table(spark, sf)
-    return corpus.source_table(corpus.records(spark, sf), found, L.first_sightings(found))
+    return _source_table(spark, sf, *_counted(spark, sf))
 
 
 def _port_as_text(df: DataFrame) -> DataFrame:
@@ -253,7 +276,8 @@ def export_partition_key(spark, sf):
 
 
 def links_query(spark, sf):
-    return _port_as_text(with_registered_domain(_numbered(spark, sf)).select(*LINK_COLUMNS))
+    found = _numbered(spark, sf, *[c for c in LINK_COLUMNS if c in L.SIGHTING_COLUMNS])
+    return _port_as_text(with_registered_domain(found).select(*LINK_COLUMNS))
 
 
 def _times(spark: SparkSession, sf: str) -> DataFrame:
@@ -270,19 +294,19 @@ def domains_query(spark, sf):
 
 
 def source_counters(spark, sf):
-    found = corpus.occurrence_table(spark, sf)
-    return L.source_counters(found, L.first_sightings(found))
+    return L.source_counters(*_counted(spark, sf))
 
 
 def link_sources(spark, sf):
-    return L.link_sources(corpus.occurrence_table(spark, sf))
+    return L.link_sources(corpus.occurrence_table(spark, sf, *PLACE_COLUMNS))
 
 
 def new_links_only(spark, sf):
     """What the order logs add to a library of the notes and documents."""
-    found = corpus.occurrence_table(spark, sf)
-    known = L.first_sightings(found.where(F.col("source_id") < 100))
-    orders = L.first_sightings(found.where(F.col("source_id") >= 100))
+    told = ("original_url", "source_id", "source_row")
+    found = corpus.occurrence_table(spark, sf, "normalized_url", "raw_url", *READING_ORDER, "valid")
+    known = L.first_sightings(found.where(F.col("source_id") < 100), ())
+    orders = L.first_sightings(found.where(F.col("source_id") >= 100), told)
     return L.new_links(orders, known).select("normalized_url", "original_url", "source_id", "source_row")
 
 
@@ -291,20 +315,18 @@ def domain_source_counts(spark, sf):
 
 
 def url_source_history(spark, sf):
-    found = corpus.occurrence_table(spark, sf)
+    found = corpus.occurrence_table(spark, sf, *PLACE_COLUMNS, "source_file", "seen_at")
     sources = found.select("source_id", "source_file", F.col("seen_at").alias("imported_at")).distinct()
     return S.source_history(L.link_sources(found), sources)
 
 
 def source_detail(spark, sf):
-    return S.source_summary(corpus.occurrence_table(spark, sf))
+    return S.source_summary(corpus.occurrence_table(spark, sf, *PLACE_COLUMNS, "hostname"))
 
 
 def import_report(spark, sf):
-    found = corpus.occurrence_table(spark, sf)
-    first = L.first_sightings(found)
-    sources = corpus.source_table(corpus.records(spark, sf), found, first)
-    return R.import_report(sources, L.with_url_parts(first))
+    found, first = _counted(spark, sf)
+    return R.import_report(_source_table(spark, sf, found, first), L.with_url_parts(first))
 
 
 # Reports ---------------------------------------------------------------------------------------
@@ -372,12 +394,12 @@ def search_links(spark, sf):
     wanted = S.LinkFilter(
         q="Example.CO", registered_domain="example.com", scheme="HTTPS", status="DISCOVERED", path_contains="rders/1"
     )
-    return S.search(_link_list(spark, sf), wanted).select(*S.PAGE_COLUMNS)
+    return S.search(_link_list(spark, sf, *LISTED), wanted).select(*S.PAGE_COLUMNS)
 
 
 def search_total(spark, sf):
     wanted = S.LinkFilter(q="_1", scheme="http", extension="pdf")
-    return S.search(_links(spark, sf), wanted).agg(F.count(F.lit(1)).alias("total"))
+    return S.search(_links(spark, sf, "source_file"), wanted).agg(F.count(F.lit(1)).alias("total"))
 
 
 def search_simple(spark, sf):
@@ -393,12 +415,12 @@ def links_by_extension(spark, sf):
 
 def links_in_date_range(spark, sf):
     wanted = S.LinkFilter(date_from="2023-06-01", date_to="2024-10-23")
-    return S.search(_links(spark, sf), wanted).select("normalized_url", "first_seen")
+    return S.search(_links(spark, sf, "first_seen"), wanted).select("normalized_url", "first_seen")
 
 
 def links_page(spark, sf):
     """The second page of a source's kind of links: ids below 5000, newest first."""
-    return S.marked_page(S.newest_links(_link_list(spark, sf).select(*S.PAGE_COLUMNS), 50, after=5000), 50)
+    return S.marked_page(S.newest_links(_link_list(spark, sf, *LISTED).select(*S.PAGE_COLUMNS), 50, after=5000), 50)
 
 
 def domains_page(spark, sf):
@@ -422,8 +444,8 @@ def domain_links_page(spark, sf):
 
 def source_links(spark, sf):
     """The links of a source of notes, newest first."""
-    places = L.link_sources(corpus.occurrence_table(spark, sf))
-    return S.source_links(places, _link_list(spark, sf), 3, 120, 5)
+    found = corpus.occurrence_table(spark, sf, *PLACE_COLUMNS, "col_idx", "match_idx")
+    return S.source_links(L.link_sources(found), _link_list(spark, sf, found=found), 3, 120, 5)
 
 
 def _labelled_ids(spark, sf):
@@ -432,7 +454,7 @@ def _labelled_ids(spark, sf):
 
 def url_detail(spark, sf):
     """Detail of the links whose numbers are in a table, with their queue entry."""
-    found = S.link_detail(_numbered(spark, sf), _labelled_ids(spark, sf), _queue(spark, sf))
+    found = S.link_detail(_numbered(spark, sf, "last_seen"), _labelled_ids(spark, sf), _queue(spark, sf))
     return found.select(
         "link_id", "normalized_url", "last_seen", "queue_status", "queue_priority", "queue_added_at"
     )
@@ -473,9 +495,9 @@ def queue_after_clear(spark, sf):
     cleared = events.unionByName(Q.clear_event(events, at))
     links = _numbered(spark, sf)
     added = Q.add_events(
-        Q.current_queue(cleared), links, _labelled_ids(spark, sf), F.lit("HIGH"), at, F.col("link_id") + F.lit(10**12)
+        _settled(Q.current_queue(cleared)), links, _labelled_ids(spark, sf), F.lit("HIGH"), at, F.col("link_id") + F.lit(10**12)
     )
-    queue = Q.current_queue(cleared.unionByName(added))
+    queue = _settled(Q.current_queue(cleared.unionByName(added)))
     return Q.with_status(links, queue).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -483,7 +505,7 @@ def queue_after_clear(spark, sf):
 
 
 def export_all(spark, sf):
-    return export.export_rows(_links(spark, sf))
+    return export.export_rows(_links(spark, sf, "original_url", "first_seen", "source_file"))
 
 
 def export_domain(spark, sf):
@@ -491,7 +513,7 @@ def export_domain(spark, sf):
 
 
 def export_by_domain(spark, sf):
-    return export.by_directory(_links(spark, sf))
+    return export.by_directory(_links(spark, sf, "original_url", "first_seen"))
 
 
 def export_metadata(spark, sf):
@@ -499,7 +521,7 @@ def export_metadata(spark, sf):
 
 
 def export_selected(spark, sf):
-    chosen = export.chosen_links(with_registered_domain(_numbered(spark, sf)), "selected", link_ids=_labelled_ids(spark, sf))
+    chosen = export.chosen_links(with_registered_domain(_numbered(spark, sf, "source_file")), "selected", link_ids=_labelled_ids(spark, sf))
     return export.export_columns(chosen)
 
 
@@ -509,14 +531,15 @@ def export_queue(spark, sf):
 
 
 def export_columns(spark, sf):
-    chosen = export.chosen_links(_links(spark, sf), "source", source="docs-src1.csv")
+    chosen = export.chosen_links(_links(spark, sf, *L.SIGHTING_COLUMNS), "source", source="docs-src1.csv")
     return export.export_columns(chosen, original=True, timestamps=True)
 
 
 def export_written(spark, sf):
     """A full export written as CSV and read back."""
     folder = f"{shared_folder(spark)}/linkloom-export-{uuid.uuid4().hex}"
-    export.export_all(_links(spark, sf), folder)
+    first = L.first_sightings(_occurrences(spark, sf), [c for c in export.ALL_COLUMNS if c in L.SIGHTING_COLUMNS])
+    export.export_all(L.described(export.in_export_order(first)), folder, ordered=True)
     written = spark.read.option("header", True).option("escape", '"').csv(folder)
     return written.na.fill("", ["path", "query"])
 

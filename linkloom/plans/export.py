@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linkloom.functions.text import iso_time, safe_directory
+from linkloom.operators.links import with_url_parts
 from linkloom.operators.search import of_domain
 from linkloom.plans.library import Library
 from linkloom.session import stage
@@ -19,6 +20,7 @@ ALL_COLUMNS = (
     "first_seen",
     "source_file",
 )
+EXPORT_ORDER = ("hostname", "normalized_url")
 DOMAIN_COLUMNS = ("normalized_url", "original_url", "scheme", "path", "query", "first_seen")
 
 
@@ -87,8 +89,18 @@ def write_rows(rows: DataFrame, folder: str, fmt: str = "csv", order: tuple[str,
         rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 
 
-def export_all(links: DataFrame, folder: str, fmt: str = "csv") -> None:
-    write_rows(export_rows(links), folder, fmt, ("hostname", "normalized_url"))
+def in_export_order(first: DataFrame) -> DataFrame:
+    """First sightings in the order of a full export, by host and URL.
+
+    What follows from a URL is left to be worked out where the rows are then, instead of being moved.
+    """
+    named = with_url_parts(first).select(*first.columns, "hostname")
+    return named.repartitionByRange(*EXPORT_ORDER).sortWithinPartitions(*EXPORT_ORDER).select(*first.columns)
+
+
+def export_all(links: DataFrame, folder: str, fmt: str = "csv", ordered: bool = False) -> None:
+    """A full export; ``ordered`` links are in its order already."""
+    write_rows(export_rows(links), folder, fmt, () if ordered else EXPORT_ORDER)
 
 
 def export_domain(links: DataFrame, name: str, folder: str, fmt: str = "txt") -> None:

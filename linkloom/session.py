@@ -18,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+SHARES = 8  # tasks that a split is dealt over where there are few
 _SCOPES: list[str] = []
 _PROMISED: set[str] = set()
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
@@ -145,10 +146,12 @@ def stage_counted(df: DataFrame, **numbers: Column) -> tuple[DataFrame, dict]:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Distribute rows that arrive in a few large splits over all cores, by unique-ish keys.
 
-    Extraction costs far more than reading. An input of many splits, as any large one, is left
-    alone; nothing is shuffled then.
+    Extraction costs far more than reading, and a compressed row grows to many times its size before
+    it is grouped: a split becomes SHARES tasks, so that none has to sort more than fits its memory. An
+    input of many splits, as any large one, is left alone; nothing is shuffled then.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores:
+    splits = df.rdd.getNumPartitions()
+    if splits >= 4 * cores:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(max(cores, SHARES * splits), *keys)
