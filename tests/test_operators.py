@@ -7,7 +7,9 @@ from linkloom.operators import reports as R
 from linkloom.operators import search
 from linkloom.operators import workqueue as Q
 from linkloom.operators.numbering import with_dense_ids
-from linkloom.operators.occurrences import occurrences
+from linkloom.operators.occurrences import READING_ORDER, occurrences
+from linkloom.plans import export
+from linkloom.session import spread
 from linkloom.sources.tables import new_files
 
 RECORD = "source_id long, source_file string, source_row long, col_idx int, source_column string, seen_at timestamp_ntz, text string"
@@ -165,3 +167,59 @@ def test_history_of_a_hot_source_is_dealt_over_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want and len(want) == 4000
     keyed = places.withColumn("block", F.pmod(F.xxhash64("normalized_url", "source_row"), F.lit(search.SOURCE_BLOCKS)))
     assert keyed.groupBy("source_id", "block").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_first_sightings_tell_what_is_wanted(spark):
+    rows = [*random_rows(4), (None, 7, 0, None, "http://Hot.com/ http://h1.com/1"), (1, None, 0, None, "http://h1.com/1 http://h2.com/2")]
+    found = occurrences(records(spark, rows).repartition(5)).cache()
+    names = L.SIGHTING_COLUMNS
+    whole = L.first_sightings(found)
+    assert whole.columns == ["normalized_url", *names]
+    whole = {r.normalized_url: r for r in whole.collect()}
+    assert whole["http://hot.com/"].source_id is None
+    for wanted in ((), ("source_id",), ("last_seen", "sightings"), ("original_url",), ("source_row", "source_column"), (*READING_ORDER, "source_file", "first_seen")):
+        told = L.first_sightings(found, wanted).collect()
+        assert sorted(r.normalized_url for r in told) == sorted(whole)
+        assert all(r[c] == whole[r.normalized_url][c] for r in told for c in wanted)
+    plan = L.first_sightings(found, ("source_id",))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+    numbered = L.with_link_ids(L.first_sightings(found, READING_ORDER), wanted=())
+    assert numbered.columns == ["normalized_url", "link_id"]
+    assert set(map(tuple, numbered.collect())) == {(r.normalized_url, r.link_id) for r in L.with_link_ids(L.first_sightings(found)).collect()}
+    found.unpersist()
+
+
+def test_few_splits_become_more_tasks_than_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    dealt = spread(spark.range(0, 1000, 1, cores + 1), "id")
+    assert dealt.rdd.getNumPartitions() == 8 * (cores + 1) and dealt.distinct().count() == 1000
+    assert spread(spark.range(0, 1000, 1, 4 * cores), "id").rdd.getNumPartitions() == 4 * cores
+
+
+def test_links_are_not_shuffled_for_a_few_places(spark):
+    links = spark.range(1, 200).selectExpr("id AS link_id", "concat('u', id) AS normalized_url", "'h' AS hostname", "'s' AS status")
+    places = spark.createDataFrame([("u5", 3), ("u9", 3), ("u5", 3), ("u7", 4), ("none", 3), (None, 3)], "normalized_url string, source_id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        page = search.source_links(places, links, 3)
+        assert [r.link_id for r in page.collect()] == [9, 5, 5]
+        assert "SortMergeJoin" not in page._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_export_order_comes_before_the_derived_columns(spark, tmp_path):
+    first = L.first_sightings(occurrences(records(spark, random_rows(5))))
+    export.export_all(L.described(first), str(tmp_path / "a"))
+    export.export_all(L.described(export.in_export_order(first)), str(tmp_path / "b"), ordered=True)
+    a, b = ([line for p in sorted((tmp_path / f).glob("part-*")) for line in p.read_text().splitlines()[1:]] for f in "ab")
+    assert a == b and len(a) > 20
+
+
+def test_wanted_links_that_exist_are_queued_once(spark):
+    links = spark.createDataFrame([(n,) for n in (1, 2, 2, 3, 4)], "link_id long")
+    wanted = spark.createDataFrame([(n,) for n in (2, 2, 4, 9, None)], "link_id long")
+    queue = spark.createDataFrame([(4,)], "link_id long")
+    events = Q.add_events(queue, links, wanted, F.lit("HIGH"), F.lit(None).cast("timestamp_ntz"), F.col("link_id") + 10)
+    assert [(r.seq, r.link_id, r.priority) for r in events.collect()] == [(12, 2, "HIGH")]
