@@ -41,6 +41,12 @@ TO_THE_END = 2**31 - 1
 
 DEFAULT_SCHEMES = ("http", "https")
 DEFAULT_PORTS = {"http": 80, "https": 443}
+# After the scheme, a URL that normalising leaves as it is: a lower-case host with no two marks in a row, a port
+# that no scheme has by default, and no mark for an empty query or fragment.
+NORMAL_REST = (
+    r"://[a-z0-9]++(?:[._-][a-z0-9]++)*+(?::(?:[1-5][0-9]{4}|[1-9][0-9]{3}))?+"
+    r"(?:/[^?#\t\r\n]*+)?+(?:\?[^#\t\r\n]++)?+(?:#[^\t\r\n]++)?+\z"
+)
 
 # Result links that lead back to a search engine are not kept.
 SEARCH_HOSTS = (

@@ -1,5 +1,6 @@
 """Splitting and normalising URLs."""
 
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -99,6 +100,12 @@ def split_url(df: DataFrame, url: str) -> DataFrame:
     )
 
 
+def is_normal(url: Column, schemes: Sequence[str] = fixed.DEFAULT_SCHEMES) -> Column:
+    """Whether one pattern shows that a URL is valid and already what normalising would make of it."""
+    named = "|".join(re.escape(s.lower()) for s in schemes if re.fullmatch(r"[a-z][a-z0-9+.\-]*", s.lower()))
+    return url.rlike(f"^(?:{named}){fixed.NORMAL_REST}") if named else F.lit(False)
+
+
 def _registry_names():
     """The Arrow function for hosts outside plain ASCII, closed over nothing but itself."""
 
@@ -143,9 +150,13 @@ def normalize_urls(
     schemes: Sequence[str] = fixed.DEFAULT_SCHEMES,
     international_hosts: bool = True,
     trimmed: bool = False,
+    parts: bool = True,
 ) -> DataFrame:
     """Add normalized_url, scheme, hostname, port, path, query, fragment, valid and reason.
 
+    Without ``parts`` just normalized_url, valid and reason: what one pattern shows to be normal already
+    is not split then, which is most of the work.
+
     Scheme and host are lower-cased, the host loses outer dots and takes its IDNA form, default
     ports go; path, query and fragment stay as they are. ``reason`` of an invalid URL is one of
     ``empty``, ``scheme``, ``host``, ``port``, ``authority``.
@@ -161,8 +172,12 @@ def normalize_urls(
     default = F.lit(False)
     for scheme, port in fixed.DEFAULT_PORTS.items():
         default = default | ((F.col("scheme") == scheme) & (number == port))
+    cleaned = df.withColumn("cleaned", F.col(raw) if trimmed else clean_url(F.col(raw)))
+    if not parts:  # the functions below are not run for NULL
+        cleaned = cleaned.withColumn("normal", F.coalesce(is_normal(F.col("cleaned"), accepted), F.lit(False)))
+        cleaned = cleaned.withColumns({"kept": F.when(F.col("normal"), F.col("cleaned")), "cleaned": F.when(~F.col("normal"), F.col("cleaned"))})
     split = (
-        split_url(df.withColumn("cleaned", F.col(raw) if trimmed else clean_url(F.col(raw))), "cleaned")
+        split_url(cleaned, "cleaned")
         .withColumns(
             {
                 "host": F.btrim(F.lower(host), F.lit(".")),
@@ -219,6 +234,10 @@ def normalize_urls(
         F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise(""),
         F.when(F.col("fragment") != "", F.concat(F.lit("#"), "fragment")).otherwise(""),
     )
+    if not parts:
+        checked = split.withColumn("reason", F.when(~F.col("normal"), reason)).withColumn("valid", F.col("reason").isNull())
+        told = F.when(F.col("normal"), F.col("kept")).when(F.col("valid"), normalized).otherwise(F.col("cleaned"))
+        return computed_once(checked, df.columns, [told.alias("normalized_url"), F.col("valid"), F.col("reason")])
     checked = split.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
 
     def part(column: Column, name: str) -> Column:

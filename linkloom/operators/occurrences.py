@@ -16,14 +16,17 @@ def occurrences(
     records: DataFrame,
     schemes: Sequence[str] = fixed.DEFAULT_SCHEMES,
     international_hosts: bool = True,
+    parts: bool = True,
 ) -> DataFrame:
     """Extract and normalise the URLs of text records.
 
-    ``records`` has source_id, source_file, source_row, col_idx, source_column, seen_at and text.
+    ``records`` has source_id, source_file, source_row, col_idx, source_column, seen_at and text. Without
+    ``parts`` URLs are normalised but their parts are not told.
     """
     return normalize_urls(
         extract_urls(records),
         schemes=schemes,
         international_hosts=international_hosts,
         trimmed=True,
+        parts=parts,
     )

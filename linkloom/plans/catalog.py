@@ -45,21 +45,36 @@ def _occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return occurrences(corpus.records(spark, sf))
 
 
+def _normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences without the parts of their URLs, which follow from those that are different."""
+    return occurrences(corpus.records(spark, sf), parts=False)
+
+
 def _links(spark: SparkSession, sf: str, *told: str) -> DataFrame:
     """Links, with those columns of their sightings that are told."""
-    return L.links(_occurrences(spark, sf), wanted=told)
+    return L.links(_normalized(spark, sf), wanted=told)
+
+
+def _ids(spark: SparkSession, sf: str, *told: str, found: DataFrame | None = None) -> DataFrame:
+    """Numbered URLs without their parts, with those columns of their sightings that are told."""
+    found = _normalized(spark, sf) if found is None else found
+    first = L.first_sightings(found, (*READING_ORDER, *told))
+    return L.with_link_ids(first, wanted=told)
 
 
 def _numbered(spark: SparkSession, sf: str, *told: str, found: DataFrame | None = None) -> DataFrame:
     """Numbered links, with those columns of their sightings that are told."""
-    found = _occurrences(spark, sf) if found is None else found
-    first = L.first_sightings(found, (*READING_ORDER, *told))
-    return L.with_url_parts(L.with_link_ids(first, wanted=told))
+    return L.with_url_parts(_ids(spark, sf, *told, found=found))
 
 
-def _settled(queue: DataFrame) -> DataFrame:
-    """The queue as a written table, which is broadcast if it is small: links are far more."""
-    written, told = stage_counted(queue)
+def _queued(spark: SparkSession, sf: str, queue: DataFrame) -> DataFrame:
+    """The numbered links that are in the queue: only they are split into parts."""
+    return L.with_url_parts(Q.queued_links(_ids(spark, sf), queue))
+
+
+def _settled(few: DataFrame) -> DataFrame:
+    """The queue, or few URLs, as a written table, which is broadcast if it is small: links are far more."""
+    written, told = stage_counted(few)
     return sized(written, told["rows"])
 
 
@@ -67,9 +82,14 @@ def _queue(spark: SparkSession, sf: str) -> DataFrame:
     return _settled(Q.current_queue(corpus.queue_events(spark, sf)))
 
 
-def _link_list(spark: SparkSession, sf: str, *told: str, found: DataFrame | None = None) -> DataFrame:
+def _listed(spark: SparkSession, sf: str, ids: DataFrame) -> DataFrame:
+    """Numbered URLs with their parts, registered domain and the status the queue gives them."""
+    return Q.with_status(with_registered_domain(L.with_url_parts(ids)), _queue(spark, sf))
+
+
+def _link_list(spark: SparkSession, sf: str, *told: str) -> DataFrame:
     """Numbered links with registered domain and the status the queue gives them."""
-    return Q.with_status(with_registered_domain(_numbered(spark, sf, *told, found=found)), _queue(spark, sf))
+    return _listed(spark, sf, _ids(spark, sf, *told))
 
 
 def _counted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -282,7 +302,7 @@ def links_query(spark, sf):
 
 def _times(spark: SparkSession, sf: str) -> DataFrame:
     """Links with the times they were seen at, which rise with the reading order of the corpus."""
-    return L.sighting_times(_occurrences(spark, sf))
+    return L.sighting_times(_normalized(spark, sf))
 
 
 def _domains(spark: SparkSession, sf: str) -> DataFrame:
@@ -443,9 +463,12 @@ def domain_links_page(spark, sf):
 
 
 def source_links(spark, sf):
-    """The links of a source of notes, newest first."""
+    """The links of a source of notes, newest first; only its own are split into parts."""
     found = corpus.occurrence_table(spark, sf, *PLACE_COLUMNS, "col_idx", "match_idx")
-    return S.source_links(L.link_sources(found), _link_list(spark, sf, found=found), 3, 120, 5)
+    places = L.link_sources(found)
+    own = _settled(places.where(F.col("source_id") == 3).select("normalized_url").distinct())
+    ids = _ids(spark, sf, found=found).join(own, "normalized_url", "left_semi")
+    return S.source_links(places, _listed(spark, sf, ids), 3, 120, 5)
 
 
 def _labelled_ids(spark, sf):
@@ -464,18 +487,19 @@ def url_detail(spark, sf):
 
 
 def queue_list(spark, sf):
-    return Q.queue_list(_queue(spark, sf), _numbered(spark, sf), limit=None)
+    queue = _queue(spark, sf)
+    return Q.queue_list(queue, _queued(spark, sf, queue), limit=None)
 
 
 def queued_links(spark, sf):
-    return Q.queued_links(_numbered(spark, sf), _queue(spark, sf)).select("link_id", "normalized_url")
+    return Q.queued_links(_ids(spark, sf), _queue(spark, sf)).select("link_id", "normalized_url")
 
 
 def queue_after_add(spark, sf):
     """The queue after all links whose numbers are in a table were added."""
     events = corpus.queue_events(spark, sf)
     at, seq = utc("2025-01-01 00:00:00"), F.col("link_id") + F.lit(10**12)
-    added = Q.add_events(_queue(spark, sf), _numbered(spark, sf), _labelled_ids(spark, sf), F.lit("low"), at, seq)
+    added = Q.add_events(_queue(spark, sf), _ids(spark, sf), _labelled_ids(spark, sf), F.lit("low"), at, seq)
     return Q.current_queue(events.unionByName(added)).drop("queue_id")
 
 
@@ -493,7 +517,7 @@ def queue_after_clear(spark, sf):
     events = corpus.queue_events(spark, sf)
     at = utc("2025-01-01 00:00:00")
     cleared = events.unionByName(Q.clear_event(events, at))
-    links = _numbered(spark, sf)
+    links = _ids(spark, sf)
     added = Q.add_events(
         _settled(Q.current_queue(cleared)), links, _labelled_ids(spark, sf), F.lit("HIGH"), at, F.col("link_id") + F.lit(10**12)
     )
@@ -526,7 +550,7 @@ def export_selected(spark, sf):
 
 
 def export_queue(spark, sf):
-    chosen = export.chosen_links(_numbered(spark, sf), "queue", queue=_queue(spark, sf))
+    chosen = export.chosen_links(_ids(spark, sf), "queue", queue=_queue(spark, sf))
     return export.export_columns(chosen, domain=False, source=False)
 
 
@@ -538,7 +562,7 @@ def export_columns(spark, sf):
 def export_written(spark, sf):
     """A full export written as CSV and read back."""
     folder = f"{shared_folder(spark)}/linkloom-export-{uuid.uuid4().hex}"
-    first = L.first_sightings(_occurrences(spark, sf), [c for c in export.ALL_COLUMNS if c in L.SIGHTING_COLUMNS])
+    first = L.first_sightings(_normalized(spark, sf), [c for c in export.ALL_COLUMNS if c in L.SIGHTING_COLUMNS])
     export.export_all(L.described(export.in_export_order(first)), folder, ordered=True)
     written = spark.read.option("header", True).option("escape", '"').csv(folder)
     return written.na.fill("", ["path", "query"])
