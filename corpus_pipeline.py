@@ -12,11 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import decontamination, packing, partenum, quality, toxicity
-from linkloom.session import delete_folder, new_scope, ship_package, staging_below
+from linkloom.session import BATCH_BYTES, BATCH_ROWS, delete_folder, new_scope, ship_package, smaller_batches, staging_below
 
 WORDS, PERCENT = 5, 80  # near duplicates: shingles of five words, similarity 0.8 or more
-BATCH_ROWS = "2000"  # whole texts that a Python function gets at once
-BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS = 2000  # whole texts that a Python function gets at once
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[str] = []
 
@@ -29,7 +28,7 @@ def _own_scope(stage: Stage) -> Stage:
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
-        spark.conf.set(BATCHES, BATCH_ROWS)
+        smaller_batches(spark, TEXTS)
         while _left:
             delete_folder(spark, _left.pop())
         _left.append(new_scope(spark))
@@ -90,7 +89,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each one's result is written and read again."""
     docs = _table(spark, sf_dir, "documents")
     scope = new_scope(spark)
-    batches = spark.conf.get(BATCHES)
+    batches = {name: spark.conf.get(name) for name in (BATCH_ROWS, BATCH_BYTES)}
     before = None
     for name, stage in STAGES:
         path = f"{scope}/{name}"
@@ -101,5 +100,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         before = path
     while _left:
         delete_folder(spark, _left.pop())
-    spark.conf.set(BATCHES, batches)
+    for name, value in batches.items():
+        spark.conf.set(name, value)
     return docs

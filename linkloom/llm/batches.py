@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +34,9 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of at most ``most`` bytes in ``column``, or one longer row."""
-    sizes = np.asarray(batch.column(column).cast(pa.large_binary()).to_numpy(zero_copy_only=False), dtype=object)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     begin = held = 0
-    for row, value in enumerate(sizes):
-        size = len(value) if value is not None else 0
+    for row, size in enumerate(sizes):
         if held and held + size > most:
             yield batch.slice(begin, row - begin)
             begin, held = row, 0

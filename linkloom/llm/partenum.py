@@ -15,8 +15,9 @@ groups with the same documents one is kept. What is left is compared within grou
 document in the largest of its groups, then in all that still hold several classes. That goes in rounds: first some FIRST partners of each document, by a hash of the pair, then four times as many, and
 so on until every pair had its turn. Groups whose documents have become one class drop out after each
 round, so few come to the later ones. Counts of shingles in cells are compared first: their differences
-add up to no more than the sets differ, so what exceeds the bound is no link, and only the rest is
-compared text by text. Documents of groups of more than MOST get the signatures of the next, more
+add up to no more than the sets differ, so what exceeds the bound is no link. They tell little of large
+sets: of what is left parities of cells are compared, twice as many as the sets have members, by the same
+argument. Only the rest is compared text by text. Documents of groups of more than MOST get the signatures of the next, more
 selective level instead; only on the last one blocks are made of groups of any size.
 """
 
@@ -133,8 +134,28 @@ def sketch(members: np.ndarray, cells: int = SKETCH) -> np.ndarray:
     return np.minimum(counts, 255).astype(np.uint8).view(np.int64)
 
 
+def odd_sketch(members: np.ndarray) -> bytes:
+    """Whether an odd number of members lies in each cell, a bit each; two cells a member at least."""
+    cells = 1 << max(6, (2 * len(members) - 1).bit_length())
+    at = (members & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1).tobytes()
+
+
+def odd_distance(x: bytes, y: bytes) -> int:
+    """Cells in which two odd sketches differ, each of which holds a member that only one set has.
+
+    The larger is folded to the cells of the smaller: a member's cell is told by its last bits.
+    """
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest and both sketches of the shingle set, for every row."""
+    """doc_id, n_shingles, a 128-bit digest and all sketches of the shingle set, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +172,11 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
                 }
                 for (names, _), own in zip(sketches, cells, strict=True):
                     columns |= {name: pa.array(own[:, i], pa.int64()) for i, name in enumerate(names)}
+                columns["odd"] = pa.array([odd_sketch(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
     kinds = ", ".join(f"{c} long" for c in CELLS + FINE_CELLS)
-    return _text_rows(docs).mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {kinds}")
+    return _text_rows(docs).mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {kinds}, odd binary")
 
 
 def _matrix(batch: pa.RecordBatch, suffix: str = "", names: tuple[str, ...] = CELLS) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +207,38 @@ def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return met.mapInArrow(run, "a long, b long")
 
 
+def close_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the odd sketches of ``sets`` (doc_id, n_shingles, odd) do not rule out.
+
+    An id with several sets is compared with each of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n_shingles_a", "odd_a", "n_shingles_b", "odd_b"))
+            near = [
+                odd_distance(x, y) * (100 + percent) <= (n + m) * (100 - percent)
+                for n, x, m, y in zip(*columns, strict=True)
+            ]
+            mask = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(mask) for c in ("a", "b")})
+
+    left, right = (
+        sets.select(F.col("doc_id").alias(f"of_{x}"), F.col("n_shingles").alias(f"n_shingles_{x}"), F.col("odd").alias(f"odd_{x}"))
+        for x in ("a", "b")
+    )
+    named = pairs.select("a", "b")
+    if _few(pairs):  # then just the sketches that are compared are shuffled
+        named = F.broadcast(named)
+        right = right.join(F.broadcast(pairs.select(F.col("b").alias("kb")).distinct()), F.col("of_b") == F.col("kb"), "left_semi")
+    met = left.join(named, F.col("of_a") == F.col("a")).join(right, F.col("b") == F.col("of_b"))
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _few(pairs: DataFrame) -> bool:
+    return pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+
 def turns(n: int) -> list[tuple[float, float]]:
     """The share of all pairs, by their hash, that has its turn in each round of a group of ``n``."""
     ends, partners, met = [0.0], FIRST, 0
@@ -303,8 +357,12 @@ def signature_rows(docs: DataFrame, words: int, percent: int, level: int) -> Dat
     return _text_rows(docs).mapInArrow(run, "signature long, doc_id long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity, compared member by member."""
+def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity, compared member by member.
+
+    Texts are shuffled for those only that the odd sketches of ``sets`` leave.
+    """
+    pairs = stage(close_pairs(pairs, sets, percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +380,7 @@ def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 
     texts = _text_rows(docs).withColumnRenamed("doc_id", "of")
     left, right = pairs, texts
-    if pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # then just the texts that are compared are shuffled
+    if _few(pairs):  # then just the texts that are compared are shuffled
         left = F.broadcast(pairs)
         right = texts.join(F.broadcast(pairs.select(F.col("b").alias("kb")).distinct()), F.col("of") == F.col("kb"), "left_semi")
     met = texts.join(left, F.col("of") == F.col("a")).select("a", "b", F.col("text").alias("text_a"))
@@ -413,9 +471,9 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         # leaves the two in different classes
         most = star.groupBy("b").agg(F.max(F.struct("count", -F.col("a"))).alias("best"))
         most = most.select((-F.col("best.col2")).alias("a"), "b")
-        label = _joined(label, linked(stage(possible_pairs(most, nodes, percent)), known, words, percent))
+        label = _joined(label, linked(stage(possible_pairs(most, nodes, percent)), real, known, words, percent))
         apart = star.join(most, ["a", "b"], "left_anti").select("a", "b")
-        label = _joined(label, linked(stage(possible_pairs(_apart(apart, label), nodes, percent)), known, words, percent))
+        label = _joined(label, linked(stage(possible_pairs(_apart(apart, label), nodes, percent)), real, known, words, percent))
         star = star.select("a", "b")
         done = star if done is None else done.unionByName(star)
         left = _undecided(groups, label).where("n_nodes > 2")
@@ -439,7 +497,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
                 sketched = rows.join(nodes.select(F.col("node").alias("of"), "size", *FINE_CELLS), F.col("node") == F.col("of")).drop("of")
                 pairs = group_pairs(sketched, percent, turn).distinct()
                 pairs = stage(pairs.join(done, ["a", "b"], "left_anti"))
-                label = _joined(label, linked(pairs, known, words, percent))
+                label = _joined(label, linked(pairs, real, known, words, percent))
                 done = done.unionByName(pairs)
         if last:
             break

@@ -19,6 +19,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 SHARES = 8  # tasks that a split is dealt over where there are few
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BYTES = 8 << 20  # of whole texts that a Python function gets at once, or one longer row
 _SCOPES: list[str] = []
 _PROMISED: set[str] = set()
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
@@ -105,14 +108,24 @@ def scratch(spark: SparkSession) -> Iterator[str]:
 
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Python functions that run meanwhile get at most so many rows at once: for rows with whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    """Python functions that run meanwhile get at most so many rows and TEXT_BYTES at once: for rows with
+    whole texts. A batch is held several times over, in the JVM as well as in Python, by every task.
+    """
+    before = smaller_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def smaller_batches(spark: SparkSession, rows: int) -> dict[str, str]:
+    """Set the limits of ``arrow_batches`` for the session; returns those before."""
+    before = {name: spark.conf.get(name) for name in (BATCH_ROWS, BATCH_BYTES)}
+    now = int(before[BATCH_ROWS])
+    spark.conf.set(BATCH_ROWS, str(min(rows, now) if now > 0 else rows))
+    spark.conf.set(BATCH_BYTES, str(TEXT_BYTES))
+    return before
 
 
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ import xxhash
 from linkloom.llm import decontamination, merkle, partenum
 from linkloom.llm.components import components
 from linkloom.llm.shingles import shingle_sets
+from linkloom.session import BATCH_BYTES, TEXT_BYTES, arrow_batches
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -90,6 +91,52 @@ def test_levels_of_signatures(spark, monkeypatch, most):
     assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
 
 
+
+def test_large_sets_are_ruled_out_before_their_texts_are_read(spark):
+    """Of large sets that have half in common counts in cells say too little; parities tell, and lose no link."""
+    rng = np.random.default_rng(3)
+    sets, pairs = {}, {"apart": [], "linked": []}
+    for n in (1, 3, 40, 700, 6_000, 17_000):
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets[len(sets)] = np.unique(base)
+        own = len(sets) - 1
+        for share, kind in ((0.5, "apart"), (0.9, "linked"), (1.25, "linked")):
+            if share < 1:
+                new = rng.integers(0, 2**64, n - round(n * share), dtype=np.uint64)
+                other = np.unique(np.concatenate([base[: round(n * share)], new]))
+            else:
+                other = np.unique(np.concatenate([base, rng.integers(0, 2**64, n // 5, dtype=np.uint64)]))
+            common = len(np.intersect1d(sets[own], other))
+            sets[len(sets)] = other
+            if (100 * common >= 80 * (n + len(other) - common)) == (kind == "linked"):
+                pairs[kind].append((own, len(sets) - 1))
+    fine = {i: partenum.sketch(s, partenum.FINE).view(np.uint8).astype(np.int16) for i, s in sets.items()}
+    unsure = [
+        (a, b) for a, b in pairs["apart"]
+        if partenum._may_link(fine[a], np.array(len(sets[a])), fine[b], np.array(len(sets[b])), 80)
+    ]
+    assert any(len(sets[a]) > 5_000 for a, _ in unsure)
+    rows = [(i, len(s), partenum.odd_sketch(s)) for i, s in sets.items()]
+    table = spark.createDataFrame(rows, "doc_id long, n_shingles long, odd binary")
+    every = spark.createDataFrame(unsure + pairs["linked"], "a long, b long")
+    left = {(r.a, r.b) for r in partenum.close_pairs(every, table, 80).collect()}
+    assert left >= set(pairs["linked"]) and len(pairs["linked"]) >= 8
+    assert not [p for p in left & set(unsure) if len(sets[p[0]]) > 500]
+
+
+def test_python_gets_whole_texts_by_bytes(spark):
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes])})
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('x', 100000) AS text")
+    before = spark.conf.get(BATCH_BYTES)
+    with arrow_batches(spark, partenum.BATCH_ROWS):
+        most = texts.mapInArrow(told, "bytes long").agg({"bytes": "max"}).first()[0]
+    assert most < 1.2 * TEXT_BYTES
+    assert spark.conf.get(BATCH_BYTES) == before
+
+
 @pytest.mark.parametrize("level", range(partenum.LEVELS))
 @pytest.mark.parametrize("percent", [80, 85])
 def test_similar_sets_share_a_signature(level, percent):
