@@ -9,12 +9,17 @@ in a whole choice in more than ``spare`` first-level parts, so similar sets shar
 link is lost. A choice in which a set has nothing is no signature; sets with nothing in more than
 ``spare`` first-level parts sign those parts as well, which keeps the guarantee.
 
+The same guarantee keeps common passages from bringing everything together. A signature of members that
+very many sets have makes a crowded group, whose pairs grow with the square of the input. A set that has at
+most ``spare`` parts in crowded groups, or with nothing in them, shares one more signature with each similar
+set, which is not crowded: it is not compared in its crowded groups. Those that stay there are few.
+
 Sharing a signature only names candidates. They are compared with the smallest document of their
 group first, not pair by pair; groups whose documents are then one class are done, however large. Of
 groups with the same documents one is kept. What is left is compared within groups, block by block: each
 document in the largest of its groups, then in all that still hold several classes. That goes in rounds: first some FIRST partners of each document, by a hash of the pair, then four times as many, and
 so on until every pair had its turn. Groups whose documents have become one class drop out after each
-round, so few come to the later ones. Counts of shingles in cells are compared first: their differences
+round, so few come to the later ones, as do those whose pairs all had their turn. Counts of shingles in cells are compared first: their differences
 add up to no more than the sets differ, so what exceeds the bound is no link. They tell little of large
 sets: of what is left parities of cells are compared, twice as many as the sets have members, by the same
 argument. Only the rest is compared text by text. Documents of groups of more than MOST get the signatures of the next, more
@@ -32,18 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.batches import free_name, slices, whole_text
+from linkloom.llm.batches import free_name, runs, slices, whole_text
 from linkloom.llm.components import components
 from linkloom.llm.shingles import mixed, shingle_sets
 from linkloom.session import arrow_batches, delete_folder, new_scope, stage
 
 BROADCAST_IDS = 200_000
 GROUP = 512  # rows that are compared in one place; larger groups come in blocks of so many
-MOST = 16 * GROUP  # still larger groups are signed on the next level
+MOST = 2 * GROUP  # still larger groups are signed on the next level
+CROWD = 64  # nodes; what stays in larger groups are only those that have more of them than they can do without
 SKETCH = 64  # cells, a byte each
 FINE = 128  # cells that are compared within groups
 BATCH_ROWS = 2000  # that a Python function gets at once; a pair has two whole texts
 COMPARED = 8192  # pairs of sketches at a time
+PAIRS = 1 << 17  # pairs that are named at a time
 FIRST = 8  # partners a document is compared with in the first round
 FILTER_BITS = 1 << 27  # at most, of the filter of shared signatures
 HOT_SHARE = 1000  # equal sets of more than 1/HOT_SHARE of all rows are hot; there are fewer than that many
@@ -79,7 +86,7 @@ def scheme(band: int, start: int, percent: int, level: int) -> Scheme:
     miss = (1 if k <= 40 else 0, 2, 3)[level]
     split = (3 if k <= 40 else 1, 5, 8)[level]
     parts = -(-(k + 1) // (miss + 1))
-    spare = 1 + parts // 25
+    spare = 2 + parts // 8
     return Scheme(band, parts + spare, split, split - miss, spare)
 
 
@@ -88,12 +95,21 @@ LEVELS = 3
 
 def signatures(members: np.ndarray, percent: int, level: int, starts: list[int]) -> np.ndarray:
     """Signatures of one set of distinct 64-bit members."""
+    return signed(members, percent, level, starts)[0]
+
+
+def signed(members: np.ndarray, percent: int, level: int, starts: list[int]) -> tuple[np.ndarray, int]:
+    """Signatures of one set, the last bit of which tells a set's bands apart, and its room.
+
+    Room is how many signatures of a band the set can do without: of the parts in which similar sets
+    agree, ``spare`` + 1 at least, it may lack those in which it has nothing, and so many more.
+    """
     size = len(members)
     band = int(np.searchsorted(starts, size, side="right")) - 1
     bands = [band]
     if size * 100 // percent >= starts[band + 1]:
         bands.append(band + 1)
-    out = []
+    out, room = [], []
     for number in bands:
         s = scheme(number, starts[number], percent, level)
         cells = s.parts * s.split
@@ -112,12 +128,13 @@ def signatures(members: np.ndarray, percent: int, level: int, starts: list[int])
         some = np.stack([filled[:, c].any(axis=1) for c in chosen], axis=1)
         place = np.arange(s.parts * len(chosen), dtype=np.uint64).reshape(values.shape)
         tag = mixed(place, 1000 * (level + 1) + number)
-        signed = mixed(values ^ tag)
-        out.append(signed[some])
-        lacking = ~some.all(axis=1)
-        if lacking.sum() > s.spare:
-            out.append(mixed(tag[~some], 5))
-    return np.concatenate(out)
+        own = [mixed(values ^ tag)[some]]
+        lacking = int((~some.all(axis=1)).sum())
+        if lacking > s.spare:
+            own.append(mixed(tag[~some], 5))
+        out += [x & ~np.uint64(1) | np.uint64(number & 1) for x in own]
+        room.append(max(s.spare - lacking, 0))
+    return np.concatenate(out), min(room)
 
 
 def _text_rows(docs: DataFrame) -> DataFrame:
@@ -185,12 +202,16 @@ def _matrix(batch: pa.RecordBatch, suffix: str = "", names: tuple[str, ...] = CE
     return np.ascontiguousarray(cells).view(np.uint8).astype(np.int16), batch.column("size" + suffix).to_numpy()
 
 
+def _sizes_fit(size_a, size_b, percent: int) -> np.ndarray:
+    """False where sizes prove that two sets are no link."""
+    return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) | (size_a < 0) | (size_b < 0)
+
+
 def _may_link(cells_a, size_a, cells_b, size_b, percent: int) -> np.ndarray:
     """False where sizes or sketches prove that two sets are no link."""
     apart = np.abs(cells_a - cells_b).sum(axis=-1, dtype=np.int64)
     fits = apart * (100 + percent) <= (size_a + size_b) * (100 - percent)
-    fits &= 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
-    return fits | (size_a < 0) | (size_b < 0)
+    return (fits | (size_a < 0) | (size_b < 0)) & _sizes_fit(size_a, size_b, percent)
 
 
 def possible_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -239,12 +260,16 @@ def _few(pairs: DataFrame) -> bool:
     return pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
+def partners_before(turn: int) -> int:
+    """How many partners of each document had their turn before a round; groups of no more rows are done."""
+    return FIRST * (4**turn - 1) // 3
+
+
 def turns(n: int) -> list[tuple[float, float]]:
     """The share of all pairs, by their hash, that has its turn in each round of a group of ``n``."""
-    ends, partners, met = [0.0], FIRST, 0
+    ends = [0.0]
     while ends[-1] < 1:
-        met, partners = met + partners, 4 * partners
-        ends.append(min(1.0, met / max(n, 1)))
+        ends.append(min(1.0, partners_before(len(ends)) / max(n, 1)))
     return list(zip(ends, ends[1:]))
 
 
@@ -253,27 +278,36 @@ def group_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     their sketches do not rule out.
 
     ``rows``: signature, node, component, size and fine sketch. A group is bounded, and is compared
-    where its rows lie, one after the other; only pairs that may be links leave the task.
+    where its rows lie, many small ones together; only pairs that may be links leave the task.
     """
 
-    def pairs(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        own = turns(group.num_rows)
-        if turn >= len(own):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        low, high = (int(x * 2**53) for x in own[turn])
-        cells, size = _matrix(group, names=FINE_CELLS)
-        node, component = group.column("node").to_numpy(), group.column("component").to_numpy()
-        least, most = np.minimum.outer(node, node), np.maximum.outer(node, node)
-        place = mixed(mixed(least.view(np.uint64), 61) + most.view(np.uint64), 62) >> np.uint64(11)
-        mine = (place >= np.uint64(low)) & (place < np.uint64(high)) & (component[:, None] != component)
-        first, second = np.nonzero(np.triu(mine, 1))
-        kept = [np.zeros(0, dtype=bool)]
-        for at in range(0, len(first), COMPARED):
-            i, j = first[at : at + COMPARED], second[at : at + COMPARED]
-            kept.append(_may_link(cells[i], size[i], cells[j], size[j], percent))
-        kept = np.concatenate(kept)
-        x, y = node[first[kept]], node[second[kept]]
-        return np.minimum(x, y), np.maximum(x, y)
+    def pairs(batch: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = np.diff(bounds)
+        spans = {n: turns(n)[turn] if turn < len(turns(n)) else (0.0, 0.0) for n in np.unique(sizes).tolist()}
+        low, high = (np.repeat([int(spans[n][side] * 2**53) for n in sizes.tolist()], sizes).astype(np.uint64) for side in (0, 1))
+        partners = np.where(high > low, np.repeat(bounds[1:], sizes) - np.arange(len(batch)) - 1, 0)
+        cells, size = _matrix(batch, names=FINE_CELLS)
+        node, component = batch.column("node").to_numpy(), batch.column("component").to_numpy()
+        ends = np.cumsum(partners)
+        begin = 0
+        while begin < len(batch):  # rows with some PAIRS partners in all
+            done = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+            own = np.arange(begin, end)
+            i = np.repeat(own, partners[begin:end])
+            j = runs(own + 1, partners[begin:end])
+            begin = end
+            kept = (component[i] != component[j]) & _sizes_fit(size[i], size[j], percent)
+            i, j = i[kept], j[kept]
+            least, most = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            place = mixed(mixed(least.view(np.uint64), 61) + most.view(np.uint64), 62) >> np.uint64(11)
+            kept = (place >= low[i]) & (place < high[i])
+            i, j, least, most = i[kept], j[kept], least[kept], most[kept]
+            for at in range(0, len(i), COMPARED):
+                some = slice(at, at + COMPARED)
+                may = _may_link(cells[i[some]], size[i[some]], cells[j[some]], size[j[some]], percent)
+                if may.any():
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(least[some][may]), "b": pa.array(most[some][may])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -282,14 +316,7 @@ def group_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
             batch = table.combine_chunks().to_batches()[0]
             signature = batch.column("signature").to_numpy()
             bounds = np.append(np.flatnonzero(np.diff(signature, prepend=signature[0] - 1)), len(signature))
-            a, b = [], []
-            for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if end - begin > 1:
-                    low, high = pairs(batch.slice(begin, end - begin))
-                    a.append(low)
-                    b.append(high)
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+            yield from pairs(batch, bounds)
 
         for batch in batches:
             signature = batch.column("signature").to_numpy()
@@ -323,7 +350,7 @@ def in_blocks(rows: DataFrame) -> DataFrame:
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int, level: int) -> DataFrame:
-    """signature and doc_id. Of equal sets in one task only the first signs; they are one class anyway."""
+    """signature, doc_id and room. Of equal sets in one task only the first signs; they are one class anyway."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -334,7 +361,7 @@ def signature_rows(docs: DataFrame, words: int, percent: int, level: int) -> Dat
                 largest = max(map(len, sets), default=0)
                 if largest >= starts[-2]:
                     starts = band_starts(percent, 2 * largest)
-                found, ids = [], []
+                found, rooms, ids = [], [], []
                 for key, members in zip(part.column("doc_id").to_pylist(), sets, strict=True):
                     if not len(members):
                         continue
@@ -342,19 +369,22 @@ def signature_rows(docs: DataFrame, words: int, percent: int, level: int) -> Dat
                     if digest in seen:
                         continue
                     seen.add(digest)
-                    found.append(signatures(members, percent, level, starts))
+                    own, room = signed(members, percent, level, starts)
+                    found.append(own)
+                    rooms.append(room)
                     ids.append(key)
                 if not found:
                     continue
-                counts = [len(f) for f in found]
+                of = pa.array(np.repeat(np.arange(len(ids)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "signature": pa.array(np.concatenate(found).view(np.int64), pa.int64()),
-                        "doc_id": pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), counts))),
+                        "doc_id": pa.array(ids, pa.int64()).take(of),
+                        "room": pa.array(rooms, pa.int32()).take(of),
                     }
                 )
 
-    return _text_rows(docs).mapInArrow(run, "signature long, doc_id long")
+    return _text_rows(docs).mapInArrow(run, "signature long, doc_id long, room int")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -410,32 +440,51 @@ def _passing(rows: DataFrame, filled: np.ndarray) -> DataFrame:
             bits = sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
             yield batch.filter(pa.array(bits & np.uint64(1) == 1, pa.bool_()))
 
-    return rows.mapInArrow(run, "signature long, doc_id long")
+    return rows.mapInArrow(run, "signature long, doc_id long, room int")
 
 
 def _groups(rows: DataFrame, class_of: DataFrame) -> DataFrame:
-    """Rows of signatures that several classes share: signature, node, pivot, n_nodes.
+    """Rows of signatures that several classes share: signature, node, room, pivot, n_nodes, weight, odd.
 
     Nearly all signatures are one document's alone: they end in the sums, and a filter of the others
     keeps them from being shuffled with their documents. All rows are deleted as soon as those of
-    shared signatures are written. Of groups with the same nodes the first is kept.
+    shared signatures are written. Of groups with the same nodes the first is kept; ``weight`` is how many
+    there are, and ``odd`` how many of those are of bands with odd numbers.
     """
     spark = rows.sparkSession
     written = new_scope(spark)
     rows = stage(rows, written)
     shared = stage(rows.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("signature"))
     met = _passing(rows, _shared_filter(shared))
-    met = met.join(shared.select(F.col("signature").alias("s")), F.col("signature") == F.col("s")).select("signature", "doc_id")
+    met = met.join(shared.select(F.col("signature").alias("s")), F.col("signature") == F.col("s")).select("signature", "doc_id", "room")
     nodes = met.join(class_of.select(F.col("doc_id").alias("k"), "node"), F.col("doc_id") == F.col("k"))
-    nodes = stage(nodes.select("signature", "node").distinct())
+    nodes = stage(nodes.groupBy("signature", "node").agg(F.min("room").alias("room")))
     delete_folder(spark, written)
     sizes = nodes.groupBy("signature").agg(
         F.min("node").alias("pivot"),
         F.count(F.lit(1)).alias("n_nodes"),
         *[F.bit_xor(F.xxhash64("node", F.lit(n))).alias(f"x{n}") for n in range(2)],
     )
-    sizes = sizes.where("n_nodes > 1").groupBy("pivot", "n_nodes", "x0", "x1").agg(F.min("signature").alias("s"), F.count(F.lit(1)).alias("weight"))
-    return nodes.join(sizes, F.col("signature") == F.col("s")).select("signature", "node", "pivot", "n_nodes", "weight")
+    sizes = sizes.where("n_nodes > 1").groupBy("pivot", "n_nodes", "x0", "x1").agg(
+        F.min("signature").alias("s"), F.count(F.lit(1)).alias("weight"), F.sum(F.col("signature").bitwiseAND(F.lit(1))).alias("odd")
+    )
+    return nodes.join(sizes, F.col("signature") == F.col("s")).select("signature", "node", "room", "pivot", "n_nodes", "weight", "odd")
+
+
+def _uncrowded(groups: DataFrame) -> DataFrame:
+    """signature, node and n_nodes of what has to be compared in ``groups``.
+
+    Nodes that have room for all their crowded groups leave those: they meet each similar set in a
+    group that is not crowded, or is one class and so not among ``groups``.
+    """
+    rows = ("signature", "node", "n_nodes")
+    crowded = groups.where(F.col("n_nodes") > CROWD)
+    odd = F.sum("odd")
+    bound = crowded.groupBy("node").agg((F.greatest(odd, F.sum("weight") - odd) > F.min("room")).alias("bound")).where("bound")
+    stay = stage(crowded.join(bound.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_semi").select("signature", "node"))
+    sizes = stay.groupBy(F.col("signature").alias("s")).agg(F.count(F.lit(1)).alias("n_nodes")).where("n_nodes > 1")
+    stay = stay.join(sizes, F.col("signature") == F.col("s")).select(*rows)
+    return groups.where(F.col("n_nodes") <= CROWD).select(*rows).unionByName(stay)
 
 
 def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -476,10 +525,10 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         label = _joined(label, linked(stage(possible_pairs(_apart(apart, label), nodes, percent)), real, known, words, percent))
         star = star.select("a", "b")
         done = star if done is None else done.unionByName(star)
-        left = _undecided(groups, label).where("n_nodes > 2")
+        left = _uncrowded(stage(_undecided(groups, label).where("n_nodes > 2").drop("component")))
         last = level == LEVELS - 1
         blocks = (F.col("n_nodes") > GROUP) & (F.lit(last) | (F.col("n_nodes") <= MOST))
-        left = stage(left.drop("component"))
+        left = stage(left)
         if left.isEmpty():
             break
         close = left.where(F.col("n_nodes") <= GROUP).unionByName(in_blocks(left.where(blocks)))
@@ -491,7 +540,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         largest = stage(largest.select("best.signature", "node"))
         for rows, rounds in ((largest, 2), (close, len(turns(2 * GROUP)))):
             for turn in range(rounds):
-                rows = stage(_undecided(rows, label))
+                rows = stage(_undecided(rows, label, partners_before(turn)))
                 if rows.isEmpty():
                     break
                 sketched = rows.join(nodes.select(F.col("node").alias("of"), "size", *FINE_CELLS), F.col("node") == F.col("of")).drop("of")
@@ -504,7 +553,7 @@ def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Data
         rest = stage(left.where(F.col("n_nodes") > MOST).select("node").distinct())
         if rest.isEmpty():
             break
-        signing = known.join(rest, F.col("doc_id") == F.col("node"), "left_semi")
+        signing = known.join(_sized(rest), F.col("doc_id") == F.col("node"), "left_semi")
     return digests, class_of, label
 
 
@@ -546,13 +595,13 @@ def _placed(real: DataFrame, same: list[str]) -> DataFrame:
     return cold.unionByName(warm)
 
 
-def _undecided(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows, with their component, of groups (signature, node) that hold more than one."""
+def _undecided(rows: DataFrame, label: DataFrame, above: int = 0) -> DataFrame:
+    """The rows, with their component, of groups (signature, node) of more than ``above`` rows that hold several."""
     own = label.select(F.col("node").alias("of"), F.col("component").alias("other"))
     named = rows.drop("component").join(own, F.col("node") == F.col("of"), "left")
     named = named.withColumn("component", F.coalesce("other", "node")).drop("of", "other")
-    several = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    several = several.where("lo < hi").select(F.col("signature").alias("s"))
+    several = named.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = several.where((F.col("lo") < F.col("hi")) & (F.col("n") > above)).select(F.col("signature").alias("s"))
     return named.join(several, F.col("signature") == F.col("s"), "left_semi")
 
 

@@ -36,7 +36,7 @@ LEAST_PRECISION = 0.9
 MOST_TERMS = 2000
 MISSPELLED = 0.6  # of an exact hit
 MOST_CHANCE = 100_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 CACHED_LETTERS = 64  # longer words are looked up each time
 WINDOW = 6
 QUOTES = "\"“”„«»‘’"

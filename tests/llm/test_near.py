@@ -187,6 +187,72 @@ def test_every_pair_has_one_turn(spark):
     assert 0 < len(met[0]) < 120 * 8
 
 
+def test_groups_are_in_the_rounds_in_which_they_have_pairs():
+    for n in (1, 2, 8, 9, 40, 41, 168, 169, 1024, 5000):
+        own = len(partenum.turns(n))
+        assert [t for t in range(8) if n > partenum.partners_before(t)] == list(range(own))
+
+
+@pytest.mark.parametrize("level", range(partenum.LEVELS))
+def test_sets_can_do_without_as_many_signatures_as_they_have_room_for(level):
+    """Whatever groups a set leaves, one more signature is shared with each similar set."""
+    rng = np.random.default_rng(level)
+    starts = partenum.band_starts(80, 20_000)
+    rooms = []
+    for size in [1, 3, 6, 12, 17, 33, 60, 130, 251, 500, 1200, 3000]:
+        for _ in range(6 if size < 500 else 2):
+            members = rng.integers(0, 2**63, size).astype(np.uint64)
+            gone = int(rng.integers(0, size // 5 + 1))
+            other = members[gone:]
+            (a, room_a), (b, room_b) = (partenum.signed(np.unique(s), 80, level, starts) for s in (members, other))
+            shared = set(a.tolist()) & set(b.tolist())
+            most = max(sum(s % 2 == band for s in shared) for band in (0, 1))
+            assert most > max(room_a, room_b)
+            rooms.append(room_a)
+    assert max(rooms) > 8
+
+
+def test_nodes_leave_crowded_groups_that_they_have_room_for(spark, monkeypatch):
+    monkeypatch.setattr(partenum, "CROWD", 3)
+    room = {1: 2, 2: 1, 3: 1, 4: 0, 5: 0, 6: 9}
+    groups = {10: ([1, 2, 3, 4, 5, 6], 2, 1), 12: ([1, 3, 4, 5], 1, 1), 14: ([1, 2, 4], 1, 0)}  # nodes, weight, odd
+    rows = [(s, n, room[n], min(g), len(g), weight, odd) for s, (g, weight, odd) in groups.items() for n in g]
+    table = spark.createDataFrame(rows, "signature long, node long, room int, pivot long, n_nodes long, weight long, odd long")
+    left = {}
+    for r in partenum._uncrowded(table).collect():
+        left.setdefault((r.signature, r.n_nodes), []).append(r.node)
+    assert {k: sorted(v) for k, v in left.items()} == {(14, 3): [1, 2, 4], (10, 3): [3, 4, 5], (12, 3): [3, 4, 5]}
+
+
+def test_a_common_passage_brings_few_pairs_together(spark, monkeypatch):
+    """Texts that share a passage and no more are not compared pair by pair, and no link is lost."""
+    monkeypatch.setattr(partenum, "CROWD", 4)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    texts = [passage + " " + " ".join(word() for _ in range(400)) for _ in range(60)]
+    texts += [varied(rng, t, 0.01) for t in texts[::6]]
+    rows = list(enumerate(texts, 1))
+    named, grouped = [], partenum.group_pairs
+
+    def watched(rows, percent, turn):
+        named.append(rows.groupBy("signature").count().selectExpr("sum(count * (count - 1) / 2)").first()[0])
+        return grouped(rows, percent, turn)
+
+    monkeypatch.setattr(partenum, "group_pairs", watched)
+    got = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted(map(tuple, got)) == plain_components(rows, 4, 85)
+    assert sum(named) < 60 * 59 / 4
+
+
+@pytest.mark.parametrize("crowd", [1, 3])
+def test_crowded_groups_lose_no_link(spark, monkeypatch, crowd):
+    monkeypatch.setattr(partenum, "CROWD", crowd)
+    rows = corpus(4)
+    got = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(map(tuple, got)) == plain_components(rows, 5, 80)
+
+
 def test_blocks_bring_every_pair_together(spark, monkeypatch):
     monkeypatch.setattr(partenum, "GROUP", 4)
     rows = spark.range(19).selectExpr("7L AS signature", "id AS node", "19L AS n_nodes")
