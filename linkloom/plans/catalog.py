@@ -560,10 +560,10 @@ def export_columns(spark, sf):
 
 
 def export_written(spark, sf):
-    """A full export written as CSV and read back."""
+    """A full export written as CSV, in compressed parts, and read back."""
     folder = f"{shared_folder(spark)}/linkloom-export-{uuid.uuid4().hex}"
     first = L.first_sightings(_normalized(spark, sf), [c for c in export.ALL_COLUMNS if c in L.SIGHTING_COLUMNS])
-    export.export_all(L.described(export.in_export_order(first)), folder, ordered=True)
+    export.export_all(L.described(export.in_export_order(first)), folder, ordered=True, compression="gzip")
     written = spark.read.option("header", True).option("escape", '"').csv(folder)
     return written.na.fill("", ["path", "query"])
 

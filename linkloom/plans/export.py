@@ -72,21 +72,25 @@ def export_columns(
     return links.select(*(columns or [F.col("normalized_url").alias("url")]))
 
 
-def write_rows(rows: DataFrame, folder: str, fmt: str = "csv", order: tuple[str, ...] = ()) -> None:
+def write_rows(
+    rows: DataFrame, folder: str, fmt: str = "csv", order: tuple[str, ...] = (), compression: str | None = None
+) -> None:
     """Write csv (with header), json (one object a line) or txt (the URL alone), in global order.
 
-    Range partitions, each sorted, make the parts one sorted whole when read in name order.
+    Range partitions, each sorted, make the parts one sorted whole when read in name order. Parts are
+    plain text, or compressed by a codec of Spark's (gzip), which readers tell by their names.
     """
     if order:
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    options = {"compression": compression} if compression else {}
     if fmt == "json":
-        rows.write.mode("overwrite").json(folder)
+        rows.write.mode("overwrite").options(**options).json(folder)
     elif fmt == "txt":
         names = [c for c in ("url", "normalized_url") if c in rows.columns]
         value = F.coalesce(*[F.col(c) for c in names], F.lit("")) if names else F.lit("")
-        rows.select(value.alias("value")).write.mode("overwrite").text(folder)
+        rows.select(value.alias("value")).write.mode("overwrite").options(**options).text(folder)
     else:
-        rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+        rows.write.mode("overwrite").options(**options).option("header", True).option("escape", '"').csv(folder)
 
 
 def in_export_order(first: DataFrame) -> DataFrame:
@@ -98,9 +102,11 @@ def in_export_order(first: DataFrame) -> DataFrame:
     return named.repartitionByRange(*EXPORT_ORDER).sortWithinPartitions(*EXPORT_ORDER).select(*first.columns)
 
 
-def export_all(links: DataFrame, folder: str, fmt: str = "csv", ordered: bool = False) -> None:
+def export_all(
+    links: DataFrame, folder: str, fmt: str = "csv", ordered: bool = False, compression: str | None = None
+) -> None:
     """A full export; ``ordered`` links are in its order already."""
-    write_rows(export_rows(links), folder, fmt, () if ordered else EXPORT_ORDER)
+    write_rows(export_rows(links), folder, fmt, () if ordered else EXPORT_ORDER, compression)
 
 
 def export_domain(links: DataFrame, name: str, folder: str, fmt: str = "txt") -> None:

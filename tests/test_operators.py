@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from linkloom.operators import search
 from linkloom.operators import workqueue as Q
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.operators.occurrences import READING_ORDER, occurrences
-from linkloom.plans import export
+from linkloom.plans import catalog, export
 from linkloom.session import spread
 from linkloom.sources.tables import new_files
 
@@ -223,3 +224,26 @@ def test_wanted_links_that_exist_are_queued_once(spark):
     queue = spark.createDataFrame([(4,)], "link_id long")
     events = Q.add_events(queue, links, wanted, F.lit("HIGH"), F.lit(None).cast("timestamp_ntz"), F.col("link_id") + 10)
     assert [(r.seq, r.link_id, r.priority) for r in events.collect()] == [(12, 2, "HIGH")]
+
+
+def test_export_written_takes_less_disk_than_its_rows(spark, tmp_path):
+    """The export's parts are compressed CSV that reads as the rows that were exported, in its order."""
+    when = "TIMESTAMP'2024-03-01 00:00:00'"
+    spark.range(400).selectExpr(
+        "id AS l_orderkey", "id * 3 AS l_partkey", "id % 50 AS l_suppkey", "1 AS l_linenumber",
+        "CASE id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'A' ELSE 'N' END AS l_returnflag", f"{when} AS l_shipdate",
+    ).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(40).selectExpr("id AS page_id", "concat('https://example.com/a,b\"', id, '/x') AS url", "'' AS html").write.parquet(
+        str(tmp_path / "pages.parquet")
+    )
+    spark.createDataFrame([(1, "a http://one.example.org/\"q\"", "en", "src1")], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    written = catalog.export_written(spark, str(tmp_path))
+    parts = written.inputFiles()
+    assert all(p.endswith(".csv.gz") for p in parts)
+    rows = written.collect()
+    assert sorted(map(str, rows)) == sorted(map(str, catalog.export_all(spark, str(tmp_path)).na.fill("").collect()))
+    plain = sum(len(",".join(v or "" for v in r)) for r in rows)
+    assert sum(Path(p.removeprefix("file:")).stat().st_size for p in parts) < plain / 3
+    assert sum((r.original_url or "").startswith("HTTPS://Shop") for r in rows) > 100
