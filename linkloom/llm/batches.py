@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
+_KEPT: dict[str, dict[tuple, object]] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,24 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def kept(kind: str, key: tuple, make: Callable[[], object], alone: bool = False) -> object:
+    """What a Python worker keeps from task to task, made once. One kind at a time: workers outlive their stage.
+
+    Of a kind that is kept ``alone`` it is the last one only.
+    """
+    if kind not in _KEPT or (alone and key not in _KEPT[kind]):
+        _KEPT.clear()
+    own = _KEPT.setdefault(kind, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def forget() -> None:
+    """Drop what stages before have left in this worker."""
+    _KEPT.clear()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of at most ``most`` bytes in ``column``, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -13,10 +13,12 @@ from itertools import chain
 
 import numpy as np
 
+from linkloom.llm.batches import kept
 from linkloom.llm.batches import runs as _runs
 
 # A worker keeps at most this many words; then it starts anew. Bounds memory, never the result.
 CACHED_WORDS = 1_400_000
+CACHED_BARE = 700_000  # of words without the space before them, of which there are fewer
 LONGEST_CACHED = 128
 # White space before white space; a text of plain ASCII without one of these has none.
 _ODD_SPACE = re.compile(r"\s[ \n]|\x00")
@@ -78,6 +80,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(file))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced, self.offsets = spaced, offsets
+        self.most = CACHED_WORDS if spaced else CACHED_BARE
         self._forget()
 
     def _forget(self) -> None:
@@ -128,7 +131,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> dict[str, np.ndarray]:
         """ids of all texts one after the other, lengths by text; begins and ends if asked for."""
-        if self.words.given > CACHED_WORDS or self.ids.size > 16 * CACHED_WORDS:
+        if self.words.given > self.most or self.ids.size > 16 * self.most:
             self._forget()
         split = [self._parts(text) for text in texts]
         counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
@@ -155,12 +158,6 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[last] - total[last - counts]
 
 
-_ENCODERS: dict[tuple, TextEncoder] = {}
-
-
 def encoder(file: str, spaced: bool, offsets: bool = False) -> TextEncoder:
-    """The worker's encoder; it lives as long as the Python worker."""
-    key = (file, spaced, offsets)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(*key)
-    return _ENCODERS[key]
+    """The worker's encoder; it lives until the worker keeps something else."""
+    return kept("encoder", (file, spaced, offsets), lambda: TextEncoder(file, spaced, offsets))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.batches import free_name, whole_text
+from linkloom.llm.batches import forget, free_name, kept, whole_text
 from linkloom.llm.learning import TRAIN_ROWS, Logistic, held_out, labelled
 from linkloom.llm.shingles import shingle_sets
 from linkloom.session import stage
@@ -231,6 +231,7 @@ def learned_terms(sample: DataFrame) -> list[Term]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets = shingle_sets(batch.column("text"), 4)
             least = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
@@ -326,15 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     return Model(terms, Logistic(x, y, ridge=0.03), chance)
 
 
-_DETECTORS: dict[tuple, Detector] = {}
-
-
 def _detector(terms: Sequence[Term], chance: frozenset[str] = frozenset()) -> Detector:
-    key = (tuple(terms), chance)
-    if key not in _DETECTORS:
-        _DETECTORS.clear()
-        _DETECTORS[key] = Detector(terms, chance)
-    return _DETECTORS[key]
+    return kept("detector", (tuple(terms), chance), lambda: Detector(terms, chance), alone=True)
 
 
 def score(model: Model, text: Column) -> Column:

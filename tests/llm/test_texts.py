@@ -354,3 +354,19 @@ def test_features_of_sliced_batches():
     whole = quality.features(texts)
     for i in range(4):
         assert np.allclose(quality.features(texts.slice(i, 1))[0], whole[i])
+
+
+def test_a_worker_keeps_one_kind_of_thing():
+    """Workers live on in the next stage: what one operator keeps goes when another keeps something."""
+    from linkloom.llm import batches, encode
+
+    encoders = [encode.encoder(f, False, o) for f, o in [("byte_bpe_50k.json", False), ("byte_bpe_50k.json", True)]]
+    assert encode.encoder("byte_bpe_50k.json", False) is encoders[0]
+    terms = [toxicity.Term("zoxel", False, 3.0)]
+    detector = toxicity._detector(terms)
+    assert toxicity._detector(terms) is detector and list(batches._KEPT) == ["detector"]
+    other = toxicity._detector(terms * 2)
+    assert list(batches._KEPT["detector"].values()) == [other]
+    assert encode.encoder("byte_bpe_50k.json", False) is not encoders[0]
+    batches.forget()
+    assert not batches._KEPT
