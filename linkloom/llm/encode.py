@@ -18,7 +18,7 @@ from linkloom.llm.batches import runs as _runs
 
 # A worker keeps at most this many words; then it starts anew. Bounds memory, never the result.
 CACHED_WORDS = 1_400_000
-CACHED_BARE = 700_000  # of words without the space before them, of which there are fewer
+CACHED_BARE = 500_000  # of words without the space before them, of which there are fewer
 LONGEST_CACHED = 128
 # White space before white space; a text of plain ASCII without one of these has none.
 _ODD_SPACE = re.compile(r"\s[ \n]|\x00")

@@ -23,6 +23,7 @@ from linkloom.llm.encode import encoder
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.session import stage
 
+SLICE = 1 << 20  # bytes of text that are encoded at once
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, wi
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, spaced=False).encode
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 found = encode(part.column("text").to_pylist())
                 ends = np.cumsum(found["lengths"])
                 flat = np.insert(found["ids"], ends, end_id).astype("<u4")

@@ -49,6 +49,7 @@ CROWD = 64  # nodes; what stays in larger groups are only those that have more o
 SKETCH = 64  # cells, a byte each
 FINE = 128  # cells that are compared within groups
 BATCH_ROWS = 2000  # that a Python function gets at once; a pair has two whole texts
+SLICE = 1 << 18  # bytes of text that are hashed at once
 COMPARED = 8192  # pairs of sketches at a time
 PAIRS = 1 << 17  # pairs that are named at a time
 FIRST = 8  # partners a document is compared with in the first round
@@ -176,7 +177,7 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), words)
                 digest = [[int(mixed(s, seed).sum(dtype=np.uint64)) for s in sets] for seed in (41, 43)]
                 sketches = [(CELLS, SKETCH), (FINE_CELLS, FINE)]
@@ -356,7 +357,7 @@ def signature_rows(docs: DataFrame, words: int, percent: int, level: int) -> Dat
         seen: set[tuple[int, int]] = set()
         starts = band_starts(percent, 1 << 16)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), words)
                 largest = max(map(len, sets), default=0)
                 if largest >= starts[-2]:
@@ -396,8 +397,8 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, perce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for half in slices(batch, "text_a", 1 << 20):
-                for part in slices(half, "text_b", 1 << 20):
+            for half in slices(batch, "text_a", SLICE):
+                for part in slices(half, "text_b", SLICE):
                     left, right = (shingle_sets(part.column(c), words) for c in ("text_a", "text_b"))
                     good = []
                     for x, y in zip(left, right, strict=True):
