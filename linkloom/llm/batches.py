@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,13 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def release() -> None:
+    """Give what is free in this worker back to the system: an executor has more workers than run at once."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of at most ``most`` bytes in ``column``, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.batches import slices, whole_text
+from linkloom.llm.batches import release, slices, whole_text
 from linkloom.llm.encode import encoder
 from linkloom.operators.numbering import with_dense_ids
 from linkloom.session import stage
@@ -131,6 +131,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, wi
                 if with_ids:
                     columns["ids"] = pa.array(ids, pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(cut, PIECES + (", ids binary" if with_ids else ""))

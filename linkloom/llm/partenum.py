@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.batches import free_name, runs, slices, whole_text
+from linkloom.llm.batches import free_name, release, runs, slices, whole_text
 from linkloom.llm.components import components
 from linkloom.llm.shingles import mixed, shingle_sets
 from linkloom.session import arrow_batches, delete_folder, new_scope, stage
@@ -192,6 +192,7 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
                     columns |= {name: pa.array(own[:, i], pa.int64()) for i, name in enumerate(names)}
                 columns["odd"] = pa.array([odd_sketch(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
+        release()
 
     kinds = ", ".join(f"{c} long" for c in CELLS + FINE_CELLS)
     return _text_rows(docs).mapInArrow(run, f"doc_id long, n_shingles long, h1 long, h2 long, {kinds}, odd binary")
@@ -335,6 +336,7 @@ def group_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
             rest.append(batch.slice(first))
         if rest:
             yield from compared(pa.Table.from_batches(rest))
+        release()
 
     return rows.repartition("signature").sortWithinPartitions("signature").mapInArrow(run, "a long, b long")
 
@@ -384,6 +386,7 @@ def signature_rows(docs: DataFrame, words: int, percent: int, level: int) -> Dat
                         "room": pa.array(rooms, pa.int32()).take(of),
                     }
                 )
+        release()
 
     return _text_rows(docs).mapInArrow(run, "signature long, doc_id long, room int")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.batches import forget, free_name, kept, whole_text
+from linkloom.llm.batches import forget, free_name, kept, release, whole_text
 from linkloom.llm.learning import TRAIN_ROWS, Logistic, held_out, labelled
 from linkloom.llm.shingles import shingle_sets
 from linkloom.session import stage
@@ -36,7 +36,7 @@ LEAST_PRECISION = 0.9
 MOST_TERMS = 2000
 MISSPELLED = 0.6  # of an exact hit
 MOST_CHANCE = 100_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 CACHED_LETTERS = 64  # longer words are looked up each time
 WINDOW = 6
 QUOTES = "\"“”„«»‘’"
@@ -337,7 +337,9 @@ def score(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(regression.probability(_detector(terms, chance).features(texts.fillna("").tolist())))
+        found = pd.Series(regression.probability(_detector(terms, chance).features(texts.fillna("").tolist())))
+        release()
+        return found
 
     return scored(text)
 
